@@ -1,0 +1 @@
+"""No streaming operators: new data means running the batch jobs again."""
