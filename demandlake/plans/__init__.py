@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from demandlake.plans import features, ingestion  # noqa: F401
-from demandlake.plans.registry import ORACLES, QUERIES, Query
+from demandlake.plans.registry import ORACLES, QUERIES, Query, complete
 
 
 def queries() -> dict[str, Query]:
@@ -11,4 +11,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return {name: complete(sql) for name, sql in ORACLES.items()}

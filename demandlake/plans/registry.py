@@ -23,20 +23,20 @@ def shared(name: str, sql: str) -> None:
     SHARED[name] = sql.strip()
 
 
-def _needed(sql: str, found: set[str]) -> set[str]:
-    for name in set(re.findall(r"\bs_\w+\b", sql)) - found:
-        if name in SHARED:
-            found.add(name)
+def _needed(sql: str, found: list[str]) -> list[str]:
+    for name in sorted(set(re.findall(r"\bs_\w+\b", sql))):
+        if name in SHARED and name not in found:
             _needed(SHARED[name], found)
+            found.append(name)
     return found
 
 
 def complete(sql: str) -> str:
-    """Prefix a statement with the shared expressions it uses, in definition order."""
-    used = _needed(sql, set())
+    """Prefix a statement with the shared expressions it uses, each after its own inputs."""
+    used = _needed(sql, [])
     if not used:
         return sql.strip()
-    body = ",\n".join(f"{n} AS (\n{s}\n)" for n, s in SHARED.items() if n in used)
+    body = ",\n".join(f"{n} AS (\n{SHARED[n]}\n)" for n in used)
     return f"WITH {body}\n{sql.strip()}"
 
 
@@ -48,7 +48,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
             raise ValueError(f"query {name!r} is registered twice")
         QUERIES[name] = fn
         if sql is not None:
-            ORACLES[name] = complete(sql)
+            ORACLES[name] = sql
         return fn
 
     return add

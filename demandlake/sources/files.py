@@ -12,7 +12,12 @@ from pyspark.sql import types as T
 from demandlake.session import shared_folder
 
 # File suffixes accepted per upload category.
-UPLOAD_SUFFIXES = {"demand": (".csv",), "queries": (".csv", ".xlsx"), "exogenous_variables": (".csv",)}
+UPLOAD_SUFFIXES = {
+    "demand": (".csv",),
+    "queries": (".csv", ".xlsx"),
+    "exogenous_variables": (".csv",),
+    "rag_documents": (".pdf", ".md", ".markdown", ".txt", ".docx"),
+}
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -87,18 +92,19 @@ def scan_uploads(spark: SparkSession, path: str, category: str) -> DataFrame:
         name.alias("filename"),
         F.lit(category).alias("category"),
         F.col("path").alias("stored_path"),
+        suffix(name).alias("extension"),
         F.col("length").alias("size_bytes"),
         F.col("modificationTime").alias("uploaded_at"),
-        F.when(accepted(name, F.lit(category)), "uploaded").otherwise("rejected").alias("status"),
+        F.when(accepted(name, F.lit(category)), "saved").otherwise("rejected").alias("status"),
     )
 
 
 def append_manifest(records: DataFrame, manifest_path: str) -> None:
     """Append accepted files to the manifest."""
-    records.filter("status = 'uploaded'").write.mode("append").parquet(manifest_path)
+    records.filter("status = 'saved'").write.mode("append").parquet(manifest_path)
 
 
-def newest(manifest: DataFrame, n: int = 10) -> DataFrame:
+def newest(manifest: DataFrame, n: int = 5) -> DataFrame:
     """The n newest manifest records."""
     return manifest.orderBy(F.col("uploaded_at").desc(), "stored_path").limit(n)
 
