@@ -80,7 +80,7 @@ def sample(
     series: DataFrame, family: str, n: int, seed: int = 42, space: Mapping[str, Mapping[str, Any]] | None = None,
     fixed: Mapping[str, float] | None = None,
 ) -> DataFrame:
-    """``n`` candidates per series: (sku, family, candidate_id, params)."""
+    """``n`` candidates per series: (sku, family, candidate_id, params), params as JSON."""
     space = space or SPACES[family]
     check_space(space)
     trial = F.col("trial")
@@ -93,11 +93,17 @@ def sample(
             "sku",
             F.lit(family).alias("family"),
             F.format_string(f"{family}_%03d", trial).alias("candidate_id"),
-            F.struct(*[v.alias(k) for k, v in values.items()]).alias("params"),
+            F.to_json(F.struct(*[v.alias(k) for k, v in values.items()])).alias("params"),
         )
     )
 
 
+def parameter_columns(candidates: DataFrame, names: list[str]) -> DataFrame:
+    """Candidates with their parameters as DOUBLE columns."""
+    parsed = F.from_json("params", ", ".join(f"`{n}` double" for n in names))
+    return candidates.withColumn("_p", parsed).select("sku", "family", "candidate_id", *[F.col(f"_p.{n}").alias(n) for n in names])
+
+
 def grid(series: DataFrame, family: str, values: Mapping[str, list[float]]) -> DataFrame:
     """Every combination of the value lists per series."""
     from itertools import product
@@ -106,7 +112,7 @@ def grid(series: DataFrame, family: str, values: Mapping[str, list[float]]) -> D
     structs = [
         F.struct(
             F.lit(f"{family}_{i:03d}").alias("candidate_id"),
-            F.struct(*[F.lit(float(v)).alias(k) for k, v in r.items()]).alias("params"),
+            F.to_json(F.struct(*[F.lit(float(v)).alias(k) for k, v in r.items()])).alias("params"),
         )
         for i, r in enumerate(rows)
     ]

@@ -45,7 +45,7 @@ def _blocks(history: DataFrame, candidates: DataFrame, n_blocks: int):
     """Candidates with their block, and history copied to the blocks."""
     left = history.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
     right = candidates.select(
-        "sku", "family", "candidate_id", F.to_json("params").alias("params"),
+        "sku", "family", "candidate_id", "params",
         F.pmod(F.xxhash64("candidate_id"), F.lit(n_blocks)).cast("int").alias("_block"),
     )
     return left.groupBy("sku", "_block"), right.groupBy("sku", "_block")
@@ -136,7 +136,7 @@ def study(
     fit = last.select(*ids, F.col("status").alias("_last"))
     failed_fit = F.coalesce(F.col("_last").startswith("failed"), F.lit(False)) & (F.col("family") == filtered_family)
     tuning = (
-        candidates.select(*ids, F.to_json("params").alias("config"))
+        candidates.select(*ids, F.col("params").alias("config"))
         .join(pooled, ids, "left")
         .join(test, ids, "left")
         .join(fit, ids, "left")

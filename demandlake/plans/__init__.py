@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from demandlake.plans import backtest, features, ingestion, model_input  # noqa: F401
+from demandlake.plans import backtest, features, ingestion, model_input, retrieval  # noqa: F401
 from demandlake.plans.registry import ORACLES, QUERIES, Query, complete
 
 
