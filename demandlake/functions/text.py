@@ -27,17 +27,21 @@ def in_scope(question: Column, terms: Sequence[str] = SCOPE_TERMS) -> Column:
     return F.lower(question).rlike("|".join(terms))
 
 
+def tokens(question: Column) -> Column:
+    """Runs of letters, digits and underscores, of any script."""
+    return F.split(question, r"[^\p{L}\p{N}_]+")
+
+
 def years(question: Column) -> Column:
     """Distinct years 2020-2099 named as whole words, ascending."""
-    found = F.regexp_extract_all(question, F.lit(r"\b(20[2-9]\d)\b"), F.lit(1))
+    found = F.filter(tokens(question), lambda t: t.rlike(r"^20[2-9][0-9]$"))
     return F.array_sort(F.array_distinct(F.transform(found, lambda y: y.cast("int"))))
 
 
 def month(question: Column) -> Column:
     """The first month name or abbreviation, as a number."""
-    tokens = F.regexp_extract_all(F.lower(question), F.lit(r"\b[a-z]{3,9}\b"), F.lit(0))
     aliases = F.create_map(*[x for k, v in MONTH_ALIASES.items() for x in (F.lit(k), F.lit(v))])
-    known = F.filter(tokens, lambda t: F.map_contains_key(aliases, t))
+    known = F.filter(tokens(F.lower(question)), lambda t: F.map_contains_key(aliases, t))
     return F.try_element_at(aliases, F.try_element_at(known, F.lit(1)))
 
 
@@ -76,7 +80,7 @@ def format_share(share: Column) -> Column:
 def format_number(value: Column, decimals: int = 2, suffix: str = "", missing: str = "N/A") -> Column:
     """Fixed decimals with a suffix."""
     return F.when(value.isNull() | F.isnan(value), missing).otherwise(
-        F.concat(F.format_string(f"%.{decimals}f", value), F.lit(suffix))
+        F.concat(F.format_string(f"%.{decimals}f", F.bround(value, decimals)), F.lit(suffix))
     )
 
 

@@ -42,12 +42,14 @@ def _finite(values: Sequence[float]) -> list[float | None]:
 
 
 def _blocks(history: DataFrame, candidates: DataFrame, n_blocks: int):
-    """Candidates with their block, and history copied to the blocks."""
-    left = history.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    right = candidates.select(
-        "sku", "family", "candidate_id", "params",
-        F.pmod(F.xxhash64("candidate_id"), F.lit(n_blocks)).cast("int").alias("_block"),
-    )
+    """Candidates with their block, and history copied to the blocks.
+
+    The keys are aliased anew on both sides, since candidates are often
+    derived from the history they are matched with.
+    """
+    block = F.pmod(F.xxhash64("candidate_id"), F.lit(n_blocks)).cast("int")
+    left = history.withColumns({"sku": F.col("sku").alias("sku"), "_block": F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))})
+    right = candidates.select(F.col("sku").alias("sku"), "family", "candidate_id", "params", block.alias("_block"))
     return left.groupBy("sku", "_block"), right.groupBy("sku", "_block")
 
 

@@ -30,10 +30,9 @@ _TERMS = "forecast|demand|month|scenario|assumption|market share|pfizer|surgifoa
 _ALIAS = ", ".join(f"'{k}': {v}" for k, v in tx.MONTH_ALIASES.items())
 shared("s_parsed", f"""
 SELECT question_id, question, regexp_matches(lower(question), '{_TERMS}') AS in_scope,
-  list_sort(list_distinct(list_transform(regexp_extract_all(question, '\\b(20[2-9]\\d)\\b', 1), lambda y: CAST(y AS INTEGER)))) AS years,
-  CAST(list_transform(list_filter(regexp_extract_all(lower(question), '\\b[a-z]{{3,9}}\\b'), lambda t: list_contains({list(tx.MONTH_ALIASES)}, t)),
-       lambda t: MAP {{{_ALIAS}}}[t])[1] AS INTEGER) AS month
-FROM s_questions
+  list_sort(list_distinct(list_transform(list_filter(t, lambda x: regexp_matches(x, '^20[2-9][0-9]$')), lambda y: CAST(y AS INTEGER)))) AS years,
+  CAST(list_transform(list_filter(t, lambda x: list_contains({list(tx.MONTH_ALIASES)}, x)), lambda x: MAP {{{_ALIAS}}}[x])[1] AS INTEGER) AS month
+FROM (SELECT *, regexp_split_to_array(lower(question), '[^\\p{{L}}\\p{{N}}_]+') AS t FROM s_questions)
 """)
 
 
@@ -247,16 +246,18 @@ def e6_strings(spark, sf_dir):
     )
 
 
-@query("e7_regex", """
-SELECT question_id, array_to_string(regexp_extract_all(question, '\\b(20[2-9]\\d)\\b', 1), ',') AS years, CAST(len(regexp_extract_all(lower(question), '\\b[a-z]{3,9}\\b')) AS BIGINT) AS n_tokens,
-       regexp_extract(question, '^([A-Za-z_]+[A-Za-z0-9_]*)', 1) AS head FROM s_questions
+@query("e7_regex", r"""
+SELECT question_id, array_to_string(list_filter(t, lambda x: regexp_matches(x, '^20[2-9][0-9]$')), ',') AS years,
+  CAST(len(list_filter(t, lambda x: regexp_matches(x, '^[a-z]{3,9}$'))) AS BIGINT) AS n_tokens, regexp_extract(question, '^([A-Za-z_]+[A-Za-z0-9_]*)', 1) AS head
+FROM (SELECT *, regexp_split_to_array(lower(question), '[^\p{L}\p{N}_]+') AS t FROM s_questions)
 """)
 def e7_regex(spark, sf_dir):
     """Years, word tokens and a leading name by regular expression."""
     q = F.col("question")
+    t = tx.tokens(F.lower(q))
     return questions(spark, sf_dir).select(
-        "question_id", F.array_join(F.regexp_extract_all(q, F.lit(r"\b(20[2-9]\d)\b"), F.lit(1)), ",").alias("years"),
-        F.size(F.regexp_extract_all(F.lower(q), F.lit(r"\b[a-z]{3,9}\b"), F.lit(0))).cast("bigint").alias("n_tokens"), tx.coefficient_name(q).alias("head"),
+        "question_id", F.array_join(F.filter(t, lambda x: x.rlike("^20[2-9][0-9]$")), ",").alias("years"),
+        F.size(F.filter(t, lambda x: x.rlike("^[a-z]{3,9}$"))).cast("bigint").alias("n_tokens"), tx.coefficient_name(q).alias("head"),
     )
 
 
