@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from demandlake.functions import text as tx
 from demandlake.operators.descriptive import first_present, word_count, words
-from demandlake.session import running_total
+from demandlake.session import running_total, stage
 
 # Internal column to business name.
 BUSINESS_NAMES = {
@@ -41,13 +41,15 @@ def chunk(docs: DataFrame, size: int = 900, overlap: int = 120, text: str = "tex
     """Overlapping word chunks with ids that run densely through each source.
 
     Chunk ids need the number of chunks before a document. Those counts are accumulated
-    on the narrow (source, id, count) table, so no source is gathered in one task.
+    on the narrow (source, id, count) table, so no source is gathered in one task. Word
+    counts are staged, since the range partitioning behind the accumulation reads twice.
     """
     if size <= 0:
         raise ValueError("size must be positive.")
     if overlap < 0 or overlap >= size:
         raise ValueError("overlap must be non-negative and smaller than size.")
-    counts = docs.select(source, doc_id, chunk_count(word_count(F.col(text)), size, overlap).alias("n_chunks")).filter("n_chunks > 0")
+    lengths = stage(docs.select(source, doc_id, word_count(F.col(text)).alias("_n")))
+    counts = lengths.select(source, doc_id, chunk_count(F.col("_n"), size, overlap).alias("n_chunks")).filter("n_chunks > 0")
     offsets = running_total(counts, [doc_id], "n_chunks", "_before", [source]).select(source, doc_id, "n_chunks", "_before")
     split = docs.join(offsets, [source, doc_id]).withColumn("_w", words(F.col(text)))
     pos = split.select(source, doc_id, "_w", "_before", F.explode(F.sequence(F.lit(0), (F.col("n_chunks") - 1).cast("int"))).alias("_i"))

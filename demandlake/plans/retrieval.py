@@ -13,7 +13,7 @@ from demandlake.plans.registry import query, shared
 from demandlake.session import stage
 from demandlake.sources import files, series
 
-_WS = desc.BLANKS
+_WS = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 shared("s_words", f"""
 SELECT doc_id, source, CASE WHEN regexp_matches(text, '[^{_WS}]') THEN regexp_split_to_array(regexp_replace(text, '^[{_WS}]+|[{_WS}]+$', '', 'g'), '[{_WS}]+') ELSE [] END AS w FROM documents
 """)
