@@ -231,9 +231,8 @@ def w6_mean_ratio(spark, sf_dir):
 
 
 @query("w7_horizon_targets", """
-SELECT a.sku, a.month_start_date, a.monthly_demand, CAST(h AS INTEGER) AS horizon_step, b.monthly_demand AS target_ahead
-FROM s_monthly a, generate_series(1, 3) g(h), s_monthly b
-WHERE b.sku = a.sku AND b.month_start_date = a.month_start_date + CAST(h || ' month' AS INTERVAL)
+SELECT a.sku, a.month_start_date, a.y AS monthly_demand, CAST(h AS INTEGER) AS horizon_step, b.y AS target_ahead
+FROM s_pos a, generate_series(1, 3) g(h), s_pos b WHERE b.sku = a.sku AND b.rn = a.rn + h
 """)
 def w7_horizon_targets(spark, sf_dir):
     """Target h months ahead, h = 1..3."""
@@ -241,10 +240,8 @@ def w7_horizon_targets(spark, sf_dir):
 
 
 @query("mom_yoy_change", """
-SELECT a.sku, a.month_start_date, a.monthly_demand, round(a.monthly_demand / NULLIF(b.monthly_demand, 0) - 1, 6) AS mom_change,
-       round(a.monthly_demand / NULLIF(c.monthly_demand, 0) - 1, 6) AS yoy_change
-FROM s_monthly a LEFT JOIN s_monthly b ON a.sku = b.sku AND b.month_start_date = a.month_start_date - INTERVAL 1 MONTH
-LEFT JOIN s_monthly c ON a.sku = c.sku AND c.month_start_date = a.month_start_date - INTERVAL 12 MONTH
+SELECT a.sku, a.month_start_date, a.y AS monthly_demand, round(a.y / NULLIF(b.y, 0) - 1, 6) AS mom_change, round(a.y / NULLIF(c.y, 0) - 1, 6) AS yoy_change
+FROM s_pos a LEFT JOIN s_pos b ON a.sku = b.sku AND b.rn = a.rn - 1 LEFT JOIN s_pos c ON a.sku = c.sku AND c.rn = a.rn - 12
 """)
 def mom_yoy_change(spark, sf_dir):
     """Change to the previous month and to the same month of the year before."""
