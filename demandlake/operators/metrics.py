@@ -6,8 +6,11 @@ map side and are exact whatever the partitioning.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -261,11 +264,6 @@ def ljung_box(residuals: DataFrame, lags: int = 10, threshold: float = 0.05, key
 
 def _odd_chi2_tail(df: int):
     """Upper chi-square tail for odd degrees of freedom, vectorised."""
-    import math
-
-    import numpy as np
-    import pandas as pd
-
     @F.pandas_udf("double")
     def tail(x: pd.Series) -> pd.Series:
         half = x.to_numpy(dtype=float) / 2
