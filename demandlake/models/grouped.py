@@ -50,6 +50,10 @@ def _blocks(history: DataFrame, candidates: DataFrame, n_blocks: int):
     block = F.pmod(F.xxhash64("candidate_id"), F.lit(n_blocks)).cast("int")
     left = history.withColumns({"sku": F.col("sku").alias("sku"), "_block": F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))})
     right = candidates.select(F.col("sku").alias("sku"), "family", "candidate_id", "params", block.alias("_block"))
+    # Fits cost far more than their bytes suggest: a fixed number of partitions keeps
+    # adaptive execution from merging them into a few tasks by size.
+    n = int(history.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left, right = (df.repartition(n, "sku", "_block") for df in (left, right))
     return left.groupBy("sku", "_block"), right.groupBy("sku", "_block")
 
 

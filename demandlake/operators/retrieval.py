@@ -72,15 +72,24 @@ def dot(a, b):
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Per row of scores the k largest, ties by smaller id."""
-    order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores))[:, :k]
-    return ids[order], np.take_along_axis(scores, order, axis=1)
+def _best(qids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int, names: list[str]) -> pd.DataFrame:
+    """The k best vectors of every query, ties by smaller id, with a bounded score matrix."""
+    out_q, out_v, out_s = [], [], []
+    rows = max(1, 4_000_000 // max(len(ids), 1))
+    for start in range(0, len(qids), rows):
+        scores = queries[start:start + rows] @ vectors.T
+        for q, line in zip(qids[start:start + rows], scores, strict=True):
+            near = np.flatnonzero(line >= np.partition(line, -k)[-k]) if len(line) > k else np.arange(len(line))
+            order = near[np.lexsort((ids[near], -line[near]))[:k]]
+            out_q.append(np.repeat(q, len(order)))
+            out_v.append(ids[order])
+            out_s.append(line[order])
+    return pd.DataFrame(dict(zip(names, map(np.concatenate, (out_q, out_v, out_s)), strict=True)))
 
 
 def nearest(
     queries: DataFrame, vectors: DataFrame, k: int = 5, query_id: str = "query_id", vec_id: str = "vec_id", vector: str = "vector",
-    max_broadcast_values: int = 8_000_000, cell_rows: int = 20_000,
+    max_broadcast_values: int = 8_000_000, cell_rows: int = 10_000,
 ) -> DataFrame:
     """The k vectors of largest inner product for every query, exactly.
 
@@ -95,10 +104,6 @@ def nearest(
     schema = f"{query_id} {q.schema[query_id].dataType.simpleString()}, {vec_id} {v.schema[vec_id].dataType.simpleString()}, score double"
     columns = [query_id, vec_id, "score"]
 
-    def score(qids: np.ndarray, qmat: np.ndarray, ids: np.ndarray, mat: np.ndarray) -> pd.DataFrame:
-        best_ids, best = _best(ids, qmat @ mat.T, k)
-        return pd.DataFrame({query_id: np.repeat(qids, best.shape[1]), vec_id: best_ids.ravel(), "score": best.ravel()}, columns=columns)
-
     if size["n"] * (size["d"] or 0) <= max_broadcast_values:
         rows = q.collect()
         shared = q.sparkSession.sparkContext.broadcast((np.array([r[0] for r in rows]), np.array([r[1] for r in rows], dtype=float)))
@@ -108,7 +113,7 @@ def nearest(
             kept = None
             for pdf in batches:
                 if len(pdf) and len(qids):
-                    part = score(qids, qmat, pdf[vec_id].to_numpy(), np.stack(pdf["_v"].to_numpy()))
+                    part = _best(qids, qmat, pdf[vec_id].to_numpy(), np.stack(pdf["_v"].to_numpy()), k, columns)
                     both = part if kept is None else pd.concat([kept, part])
                     kept = both.sort_values([query_id, "score", vec_id], ascending=[True, False, True]).groupby(query_id, sort=False).head(k)
             if kept is not None:
@@ -127,7 +132,7 @@ def nearest(
         def block(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
             if not len(a) or not len(b):
                 return pd.DataFrame(columns=columns)
-            return score(a[query_id].to_numpy(), np.stack(a["_v"].to_numpy()), b[vec_id].to_numpy(), np.stack(b["_v"].to_numpy()))
+            return _best(a[query_id].to_numpy(), np.stack(a["_v"].to_numpy()), b[vec_id].to_numpy(), np.stack(b["_v"].to_numpy()), k, columns)
 
         partial = left.groupBy("_qb", "_vc").cogroup(right.groupBy("_qb", "_vc")).applyInPandas(block, schema)
     place = F.row_number().over(Window.partitionBy(query_id).orderBy(F.col("score").desc(), vec_id))
@@ -234,9 +239,7 @@ def evidence(questions: DataFrame, context: DataFrame, passages: DataFrame, scen
     return (
         questions.join(context.select(question_id, "history"), question_id, "left")
         .join(hits, question_id, "left")
-        .withColumn("_k", F.lit(1))
-        .join(F.broadcast(shared.withColumn("_k", F.lit(1))), "_k", "left")
-        .drop("_k")
+        .withColumn("scenarios", shared.scalar())
     )
 
 

@@ -422,10 +422,12 @@ FROM s_trials
 """)
 
 
-@query("w11_rank_trials", "SELECT sku, family, candidate_id, status, wmape, CAST(rank AS INTEGER) AS rank FROM s_ranked")
+@query("w11_rank_trials", "SELECT sku, family, candidate_id, status, wmape, CAST(rank AS DOUBLE) AS rank FROM s_ranked")
 def w11_rank_trials(spark, sf_dir):
     """Ranks of successful candidates; the others have none."""
-    return sel.rank_trials(with_failures(candidates(spark, sf_dir))).select("sku", "family", "candidate_id", "status", "wmape", "rank")
+    return sel.rank_trials(with_failures(candidates(spark, sf_dir))).select(
+        "sku", "family", "candidate_id", "status", "wmape", F.col("rank").cast("double").alias("rank")
+    )
 
 
 @query("w12_prechampions", """
@@ -451,12 +453,13 @@ def a24_trial_accounting(spark, sf_dir):
 
 
 @query("u2_success_and_failed", """
-SELECT sku, family, candidate_id, status, CAST(rank AS INTEGER) AS rank FROM s_ranked
+SELECT sku, family, candidate_id, status, CAST(rank AS DOUBLE) AS rank FROM s_ranked
 """)
 def u2_success_and_failed(spark, sf_dir):
     """Ranked successes followed by unranked failures, as an explicit union."""
     ranked = sel.rank_trials(with_failures(candidates(spark, sf_dir))).select("sku", "family", "candidate_id", "status", "rank")
-    return ranked.filter("rank IS NOT NULL").unionByName(ranked.filter("rank IS NULL"))
+    both = ranked.filter("rank IS NOT NULL").unionByName(ranked.filter("rank IS NULL"))
+    return both.withColumn("rank", F.col("rank").cast("double"))
 
 
 @query("u4_assembled_candidates", f"""
@@ -536,7 +539,7 @@ def w19_mixed_rank(spark, sf_dir):
 
 
 @query("j12_enriched_candidates", """
-SELECT c.sku, c.family, c.candidate_id, c.wmape, CAST(r.rank AS INTEGER) AS validation_rank, l.test_m2_wape, l.test_m3_wape
+SELECT c.sku, c.family, c.candidate_id, c.wmape, CAST(r.rank AS DOUBLE) AS validation_rank, l.test_m2_wape, l.test_m3_wape
 FROM s_cand c LEFT JOIN s_ranked r ON c.sku = r.sku AND c.family = r.family AND c.candidate_id = r.candidate_id
 LEFT JOIN (SELECT sku, family, candidate_id, round(SUM(abs(y_pred - y_true)) FILTER (WHERE lead_time = 2) / SUM(y_true) FILTER (WHERE lead_time = 2), 6) AS test_m2_wape,
   round(SUM(abs(y_pred - y_true)) FILTER (WHERE lead_time = 3) / SUM(y_true) FILTER (WHERE lead_time = 3), 6) AS test_m3_wape FROM s_lead GROUP BY 1, 2, 3) l
@@ -547,6 +550,7 @@ def j12_enriched_candidates(spark, sf_dir):
     c = stage(candidates(spark, sf_dir))
     leads = met.lead_time_wape(lead_pairs(spark, sf_dir), (2, 3))
     out = sel.enrich(c, sel.rank_trials(with_failures(c)), leads)
+    out = out.withColumn("validation_rank", F.col("validation_rank").cast("double"))
     return rounded(out.select("sku", "family", "candidate_id", "wmape", "validation_rank", "test_m2_wape", "test_m3_wape"))
 
 

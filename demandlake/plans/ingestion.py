@@ -142,7 +142,7 @@ def p5_month_number(spark, sf_dir):
 
 
 @query("p6_year_cast", """
-SELECT CASE WHEN day(o_orderdate) % 9 = 0 THEN NULL ELSE CAST(year(o_orderdate) AS INTEGER) END AS year,
+SELECT CASE WHEN day(o_orderdate) % 9 = 0 THEN NULL ELSE CAST(year(o_orderdate) AS DOUBLE) END AS year,
        COUNT(*) AS n_rows, CAST(SUM(CASE WHEN day(o_orderdate) % 9 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_failed
 FROM orders GROUP BY 1
 """)
@@ -153,7 +153,7 @@ def p6_year_cast(spark, sf_dir):
         F.when(F.dayofmonth(day) % 9 == 0, F.date_format(day, "yy?")).otherwise(F.date_format(day, "yyyy")).alias("text")
     )
     year = F.col("text").try_cast("int")
-    return text.groupBy(year.alias("year")).agg(
+    return text.groupBy(year.cast("double").alias("year")).agg(
         F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("text").try_cast("int").isNull()).alias("n_failed")
     )
 

@@ -1,8 +1,9 @@
-"""Session defaults and the two ways a frame is cut off from its lineage."""
+"""Session defaults, and how a frame is cut off from its lineage."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,19 +34,22 @@ def shared_folder(spark: SparkSession) -> str:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("Set spark.checkpoint.dir to a folder that every executor can read.")
-    return tempfile.mkdtemp(prefix="demandlake-")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="demandlake-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def stage(df: DataFrame) -> DataFrame:
-    """Materialise a frame that several branches read, in reliable storage.
+    """Write a frame that several branches read, and read it back.
 
-    Used for month- or week-grain tables, so that the fact tables behind them are
-    scanned once however many branches follow.
+    Used for month- or week-grain tables and for fitted predictions, so that the fact
+    tables and fits behind them run once, whatever follows or fails later. A written
+    table takes one pass; a checkpoint would run the last stage twice. The known schema
+    is passed on, so reading needs no look at the files.
     """
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def running_total(
