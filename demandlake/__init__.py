@@ -1,3 +1,11 @@
 """Demand analytics as Spark DataFrame operators, keyed by (sku, period)."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Functions that run in Python workers travel with their code, so executors need no copy
+# of this package on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

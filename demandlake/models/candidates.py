@@ -38,6 +38,31 @@ SPACES: dict[str, dict[str, dict[str, Any]]] = {
 }
 
 
+# Configuration grids of the weekly families, and the weekly horizons.
+WEEKLY_HORIZONS = (4, 9, 14)
+WEEKLY_GRIDS: dict[str, dict[str, list[float]]] = {
+    "structural": {
+        "changepoint_prior_scale": [0.01, 0.05, 0.1, 0.5],
+        "seasonality_prior_scale": [1.0, 5.0, 10.0],
+        "multiplicative": [0, 1],
+        "yearly_order": [3],
+    },
+    "tree": {"iterations": [200, 500, 1000], "learning_rate": [0.01, 0.05, 0.1], "depth": [4, 6, 8]},
+}
+WEEKLY_ORDERS = ((1, 1, 1), (2, 1, 1), (1, 1, 2))
+WEEKLY_SEASONAL_ORDERS = ((1, 1, 1, 52), (0, 1, 1, 52))
+
+
+def weekly_candidates(series: DataFrame, family: str) -> DataFrame:
+    """The weekly configuration grid of a family as a candidate table."""
+    if family != "autoregressive":
+        return grid(series, family, WEEKLY_GRIDS[family])
+    rows = [
+        dict(zip("pdqPDQs", (*order, *seasonal), strict=True)) for order in WEEKLY_ORDERS for seasonal in WEEKLY_SEASONAL_ORDERS
+    ]
+    return _listed(series, family, rows)
+
+
 def check_space(space: Mapping[str, Mapping[str, Any]]) -> None:
     """Raise on an empty space, reversed bounds, a step of 0 or no choices."""
     if not space:
@@ -108,7 +133,10 @@ def grid(series: DataFrame, family: str, values: Mapping[str, list[float]]) -> D
     """Every combination of the value lists per series."""
     from itertools import product
 
-    rows = [dict(zip(values, combo, strict=True)) for combo in product(*values.values())]
+    return _listed(series, family, [dict(zip(values, combo, strict=True)) for combo in product(*values.values())])
+
+
+def _listed(series: DataFrame, family: str, rows: list[dict[str, float]]) -> DataFrame:
     structs = [
         F.struct(
             F.lit(f"{family}_{i:03d}").alias("candidate_id"),

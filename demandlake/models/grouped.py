@@ -127,7 +127,7 @@ def study(
     history: DataFrame, candidates: DataFrame, cfg: BacktestConfig | None = None, top_n: int = 10,
     filtered_family: str = "autoregressive", lags: int = 10, prune: bool = False, **options,
 ) -> dict[str, DataFrame]:
-    """Evaluate, test, rank and shortlist candidates: predictions, tuning and prechampions.
+    """Evaluate, test, rank and shortlist candidates: predictions, cycle metrics, tuning, prechampions.
 
     Failed and pruned candidates stay in the tuning table with their status.
     """
@@ -135,7 +135,8 @@ def study(
     ids = ["sku", "family", "candidate_id"]
     run = staged_backtest if prune else backtest
     predictions = stage(run(history, candidates, cfg, **options))
-    pooled = met.pooled_metrics(met.cycle_metrics(predictions, cfg), cfg)
+    per_cycle = met.cycle_metrics(predictions, cfg)
+    pooled = met.pooled_metrics(per_cycle, cfg)
     last = predictions.filter((F.col("cycle_index") == cfg.n_cycles) & (F.col("horizon_step") == 1))
     resid = last.select(*ids, F.posexplode("residuals").alias("month_start_date", "residual"))
     test = met.ljung_box(resid, lags).select(*ids, "ljung_box_pvalue", "autocorrelation_excluded")
@@ -158,6 +159,7 @@ def study(
     ranked = sel.rank_trials(tuning)
     return {
         "predictions": predictions.drop("residuals"),
+        "metrics": per_cycle,
         "tuning": ranked,
         "prechampions": sel.prechampions(ranked, top_n, filtered_family),
     }

@@ -22,12 +22,8 @@ def _standardise(x: np.ndarray, xf: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return (x - mean) / sd, (xf - mean) / sd
 
 
-def structural(y, x, month, xf, monthf, params):
-    """Piecewise-linear trend, optional yearly terms and shrunk regressors, as one ridge fit.
-
-    A prior scale s of a coefficient group becomes the penalty noise / s^2 on the target
-    scaled to its largest value; the noise level comes from the first differences.
-    """
+def _structural_fit(y, x, month, xf, monthf, params):
+    """Design of all rows, coefficients on the scaled target, the scale, and where regressors start."""
     n, h = len(y), len(monthf)
     if n < 6:
         raise ValueError(f"structural fit needs 6 observations, has {n}")
@@ -48,16 +44,39 @@ def structural(y, x, month, xf, monthf, params):
         waves = [f(k * angle) for k in range(1, order + 1) for f in (np.sin, np.cos)]
         blocks.append(np.stack(waves, axis=1))
         prior += [float(params.get("seasonality_prior_scale", 10.0))] * (2 * order)
+    first = len(prior)
     if x.shape[1]:
         xs, xfs = _standardise(x, xf)
         blocks.append(np.concatenate([xs, xfs]))
         prior += [float(params.get("regressor_prior_scale", 1.0))] * x.shape[1]
     a = np.concatenate(blocks, axis=1)
-    beta = _ridge(a[:n], target, noise / np.square(prior))
+    return a, _ridge(a[:n], target, noise / np.square(prior)), scale, first
+
+
+def structural(y, x, month, xf, monthf, params):
+    """Piecewise-linear trend, optional yearly terms and shrunk regressors, as one ridge fit.
+
+    A prior scale s of a coefficient group becomes the penalty noise / s^2 on the target
+    scaled to its largest value; the noise level comes from the first differences. The
+    multiplicative mode is the same fit on the logarithm.
+    """
+    if params.get("multiplicative"):
+        if np.min(y) < 0:
+            raise ValueError("the multiplicative mode needs non-negative demand")
+        pred, resid = structural(np.log1p(y), x, month, xf, monthf, {**params, "multiplicative": 0})
+        return np.expm1(pred), y - np.expm1(np.log1p(y) - resid)
+    n = len(y)
+    a, beta, scale, _ = _structural_fit(y, x, month, xf, monthf, params)
     fitted = a @ beta * scale
     return fitted[n:], y - fitted[:n]
 
 
+def structural_contributions(y, x, month, params) -> np.ndarray:
+    """Contribution of every regressor to every fitted value, in units of demand."""
+    a, beta, scale, first = _structural_fit(y, x, month, x[:0], month[:0], params)
+    return a[:, first:] * beta[first:] * scale
+
+
 def _difference(z: np.ndarray, d: int, big_d: int, s: int) -> list[np.ndarray]:
     levels = [z]
     for _ in range(big_d):

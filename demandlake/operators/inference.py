@@ -139,13 +139,15 @@ def horizon_summary(forecasts: DataFrame, cfg: InferenceConfig | None = None, ke
     """Rows and range of each horizon table per series; a table without rows is marked skipped."""
     cfg = cfg or InferenceConfig()
     labels = [f"{h}m" for h in cfg.horizons]
+    named = "source_dataset" in forecasts.columns
+    source = lambda at: F.max(F.when(at, F.col("source_dataset"))) if named else F.max(F.lit(None).cast("string"))
     cols = []
     for x in labels:
         at = F.col("horizon_label") == x
         n = F.count_if(at)
         cols.append(F.struct(
             F.lit(x).alias("horizon_label"), n.alias("n_rows"), F.min(F.when(at, F.col("date"))).alias("start_date"),
-            F.max(F.when(at, F.col("date"))).alias("end_date"), (n == 0).alias("skipped"),
+            F.max(F.when(at, F.col("date"))).alias("end_date"), (n == 0).alias("skipped"), source(at).alias("source_dataset"),
         ).alias(x))
     agg = forecasts.groupBy(*keys).agg(*cols)
     return agg.select(*keys, F.inline(F.array(*[F.col(f"`{x}`") for x in labels])))
@@ -155,10 +157,10 @@ def inference_record(forecasts: DataFrame, cfg: InferenceConfig | None = None) -
     """One nested record per series: run, champion, horizons, interval flags and notes."""
     cfg = cfg or InferenceConfig()
     summary = horizon_summary(forecasts, cfg).groupBy("sku").agg(
-        F.array_sort(F.collect_list(F.struct("horizon_label", "n_rows", "start_date", "end_date", "skipped"))).alias("horizons")
+        F.array_sort(F.collect_list(F.struct("horizon_label", "n_rows", "start_date", "end_date", "skipped", "source_dataset"))).alias("horizons")
     )
     head = forecasts.groupBy("sku").agg(
-        *[F.first(c, ignorenulls=True).alias(c) for c in ("model_family", "champion_id", "run_id", "forecast_generated_at", "selection_metric", "selection_metric_value", "source_dataset")],
+        *[F.first(c, ignorenulls=True).alias(c) for c in ("model_family", "champion_id", "run_id", "forecast_generated_at", "selection_metric", "selection_metric_value")],
         F.max("has_prediction_interval").alias("has_prediction_interval"),
         F.first("interval_method", ignorenulls=True).alias("interval_method"),
     )

@@ -190,8 +190,9 @@ def champion_record(
     """One nested record per series: champion, family champions, selection, refit and contract."""
     cfg = cfg or SelectionConfig()
     names = [c for c in ("wmape", "wmape_m1", "wmape_m2", "wmape_m3", "mase", "bias", "rmse") if c in champions.columns]
+    own_config = [F.col("config").alias("hyperparameters")] if "config" in champions.columns else []
     fam = champions.groupBy("sku").agg(
-        F.array_sort(F.collect_list(F.struct("family", F.col("family_champion_id").alias("champion_id"), *names))).alias("family_champions")
+        F.array_sort(F.collect_list(F.struct("family", F.col("family_champion_id").alias("champion_id"), *names, *own_config))).alias("family_champions")
     )
     refit = history.groupBy("sku").agg(
         F.struct(
@@ -210,6 +211,7 @@ def champion_record(
             F.lit("production").alias("champion_level"),
             F.array(*[F.lit(r) for r in regressors]).cast("array<string>").alias("active_regressors"),
             F.col("refit.end_date").alias("training_cutoff"),
+            (own["hyperparameters"] if own_config else F.lit(None).cast("string")).alias("hyperparameters"),
             F.struct(*[own[n].alias(n) for n in names]).alias("metrics"),
             "family_champions",
             F.struct(

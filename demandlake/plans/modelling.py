@@ -275,6 +275,12 @@ def t2_top_features(spark, sf_dir):
     return explain.top_features(rounded(contributions(spark, sf_dir)), 15)
 
 
+@query("m18_structural_importance")
+def m18_structural_importance(spark, sf_dir):
+    """Contribution importance of the fitted structural model's regressors."""
+    return rounded(explain.structural_importance(doubles(spark, sf_dir), REGRESSORS, {"regressor_prior_scale": 1.0, "yearly_order": 2}))
+
+
 @query("m18_regression_importance")
 def m18_regression_importance(spark, sf_dir):
     """Absolute regression coefficients with standard errors and p-values."""
@@ -306,16 +312,56 @@ def m18_tree_importance(spark, sf_dir):
 
 # --------------------------------------------------------------------- weekly
 
-WEEKLY = BacktestConfig(horizon=4, n_cycles=3, season=52, min_train_periods=104)
+def weekly(spark, sf_dir, family, horizons, n_cycles=3):
+    """Pooled metrics of a family's weekly grid for several horizons."""
+    weeks = stage(series.demand_weeks(spark, sf_dir))
+    cand = candidates.weekly_candidates(weeks, family)
+    out = None
+    for h in horizons:
+        cfg = BacktestConfig(horizon=h, n_cycles=n_cycles, season=52, min_train_periods=104)
+        preds = grouped.backtest(weeks, cand, cfg, target="weekly_demand", date="week_start_date")
+        pooled = met.pooled_metrics(met.cycle_metrics(preds, cfg), cfg, with_std=False)
+        part = pooled.select("sku", "family", "candidate_id", F.lit(h).alias("horizon_weeks"), "wmape", "mase", "bias", "rmse", "n_cycles", "n_cycles_evaluated", "status")
+        out = part if out is None else out.unionByName(part)
+    return rounded(out)
 
 
 @query("m20_weekly_backtest")
 def m20_weekly_backtest(spark, sf_dir):
-    """Weekly candidates from a configuration grid, four weeks ahead."""
+    """Weekly structural grid, 4, 9 and 14 weeks ahead."""
+    return weekly(spark, sf_dir, "structural", candidates.WEEKLY_HORIZONS)
+
+
+@query("m20_weekly_autoregressive")
+def m20_weekly_autoregressive(spark, sf_dir):
+    """Weekly autoregressive orders, 4 and 14 weeks ahead."""
+    return weekly(spark, sf_dir, "autoregressive", (4, 14), 2)
+
+
+@query("m20_weekly_tree")
+def m20_weekly_tree(spark, sf_dir):
+    """Weekly boosted trees, four weeks ahead from the last origin; a grid's smallest depth, few rounds."""
+    cfg = BacktestConfig(horizon=4, n_cycles=1, season=52, min_train_periods=104)
+    fcfg = FeatureConfig(target_lags=(1, 2, 4), rolling_windows=(4,), include_std=False, trend_diffs=(), trend_pct_changes=())
+    weeks = stage(series.demand_weeks(spark, sf_dir))
+    preds = tree.backtest(weeks, [], {"tree_000": TREE}, cfg, fcfg, target="weekly_demand", date="week_start_date")
+    return _metrics(preds, cfg)
+
+
+@query("m20_weekly_best")
+def m20_weekly_best(spark, sf_dir):
+    """The best weekly candidate per item, refit on all weeks and forecast 14 weeks ahead."""
     weeks = stage(series.demand_weeks(spark, sf_dir))
-    cand = candidates.grid(weeks, "structural", {"changepoint_prior_scale": [0.01, 0.05, 0.1, 0.5], "seasonality_prior_scale": [1.0, 10.0], "yearly_order": [2.0]})
-    preds = grouped.backtest(weeks, cand, WEEKLY, target="weekly_demand", date="week_start_date")
-    return _metrics(preds, WEEKLY)
+    cfg = BacktestConfig(horizon=4, n_cycles=2, season=52, min_train_periods=104)
+    cand = candidates.weekly_candidates(weeks, "structural")
+    preds = stage(grouped.backtest(weeks, cand, cfg, target="weekly_demand", date="week_start_date"))
+    pooled = met.pooled_metrics(met.cycle_metrics(preds, cfg), cfg, with_std=False).withColumn("autocorrelation_excluded", F.lit(False))
+    best = sel.family_champions(pooled).select("sku", "family", F.col("family_champion_id").alias("candidate_id"))
+    ahead = weeks.groupBy("sku").agg(F.max("week_start_date").alias("last")).select(
+        "sku", F.explode(F.sequence(F.lit(1), F.lit(14))).alias("k"), "last"
+    ).select("sku", F.date_add("last", F.col("k") * 7).alias("week_start_date"))
+    champs = cand.join(best, ["sku", "family", "candidate_id"], "left_semi")
+    return rounded(grouped.forecast(weeks, ahead, champs, target="weekly_demand", date="week_start_date"))
 
 
 @query("m20_weekly_baseline", """

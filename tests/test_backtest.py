@@ -243,3 +243,22 @@ def test_buffer_features_equal_the_batch_features(spark):
     short = tree.demand_buffer(series(spark, [1.0, 2.0]), cfg)
     r = short.withColumns(tree.buffer_features(F.col("buffer"), cfg)).first()
     assert r["demand_lag_1"] == 2.0 and r["demand_lag_3"] is None and r["rolling_mean_3"] is None and r["demand_diff_12"] is None
+
+
+def test_multiplicative_mode_and_contributions():
+    month = np.arange(63) % 12 + 1
+    x = (np.arange(63) % 5 == 0).astype(float)[:, None]
+    y = np.exp(4 + 0.01 * np.arange(63) + 0.3 * x[:, 0])
+    pred, resid = solvers.structural(y[:60], x[:60], month[:60], x[60:], month[60:], {"multiplicative": 1, "regressor_prior_scale": 10.0})
+    assert np.abs(pred / y[60:] - 1).max() < 0.05 and np.abs(resid / y[:60]).max() < 0.05
+    with pytest.raises(ValueError, match="non-negative"):
+        solvers.structural(-y[:60], x[:60], month[:60], x[60:], month[60:], {"multiplicative": 1})
+    linear = 100 + 40 * x[:, 0]
+    parts = solvers.structural_contributions(linear, x, month, {"regressor_prior_scale": 10.0, "n_changepoints": 0})
+    assert parts[:, 0].max() - parts[:, 0].min() == pytest.approx(40, abs=1.0)
+
+
+def test_worker_functions_travel_by_value():
+    from pyspark import cloudpickle
+
+    assert "demandlake" in cloudpickle.list_registry_pickle_by_value()
