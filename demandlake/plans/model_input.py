@@ -90,14 +90,13 @@ def p17_structural_input(spark, sf_dir):
 @query("p17_tree_input", """
 SELECT f.month_start_date, f.monthly_demand, f.sku, CAST(month(f.month_start_date) AS BIGINT) AS month, f.promo_target,
   t.demand_lag_1, round(t.rolling_mean_3, 6) AS rolling_mean_3, t.demand_diff_12, round(t.demand_pct_change_1, 6) AS demand_pct_change_1,
-  CAST(CASE WHEN f.supply_limited IS NULL THEN 1 ELSE 0 END AS TINYINT)::INTEGER AS is_missing_supply_limited
-FROM s_holes f JOIN s_target t ON f.sku = t.sku AND f.month_start_date = t.month_start_date WHERE f.monthly_demand IS NOT NULL
+  CASE WHEN month(f.month_start_date) = 6 THEN 1 ELSE 0 END AS is_missing_supply_limited
+FROM s_features f JOIN s_target t ON f.sku = t.sku AND f.month_start_date = t.month_start_date
 """)
 def p17_tree_input(spark, sf_dir):
     """Tree projection: regressors, month, target features and a missingness flag."""
     base = feature_frame(spark, sf_dir).withColumn("supply_limited", F.when(F.month(MONTH) != 6, F.col("supply_limited")))
-    wide = mi.tree_input(base, ["promo_target"], flags=["supply_limited"]).filter(F.month(MONTH) != 2)
-    return rounded(wide.select(
+    return rounded(mi.tree_input(base, ["promo_target"], flags=["supply_limited"]).select(
         MONTH, "monthly_demand", "sku", "month", "promo_target", "demand_lag_1", "rolling_mean_3", "demand_diff_12", "demand_pct_change_1",
         F.col("is_missing_supply_limited").cast("int").alias("is_missing_supply_limited"),
     ))
@@ -114,24 +113,28 @@ def p28_missingness_flags(spark, sf_dir):
 
 
 @query("p30_driver_gaps", """
-SELECT f.month_start_date FROM s_future f LEFT JOIN s_drivers d ON d.month_start_date = f.month_start_date AND month(d.month_start_date) % 4 <> 0
-WHERE d.promo_target IS NULL
+SELECT month_start_date FROM (SELECT unnest(generate_series(last + INTERVAL 1 MONTH, last + INTERVAL 24 MONTH, INTERVAL 1 MONTH))::DATE AS month_start_date FROM s_last)
+WHERE month_start_date NOT IN (SELECT month_start_date FROM s_drivers)
 """)
 def p30_driver_gaps(spark, sf_dir):
-    """Future months without drivers, when every fourth month of the plan is missing."""
-    drivers = series.driver_months(spark, sf_dir).filter(F.month(MONTH) % 4 != 0)
-    return mi.driver_gaps(mi.future_months(series.demand_months(spark, sf_dir), 12), drivers, ["promo_target"]).select(MONTH)
+    """Months of the next two years that the driver plan does not reach."""
+    months = mi.future_months(series.demand_months(spark, sf_dir), 24)
+    return mi.driver_gaps(months, series.driver_months(spark, sf_dir), ["promo_target"]).select(MONTH)
 
 
 @query("p36_series_info", """
-SELECT h.sku, COUNT(*) AS n_rows, MIN(month_start_date) FILTER (WHERE ok) AS start_date, MAX(month_start_date) FILTER (WHERE ok) AS end_date,
-  COUNT(*) FILTER (WHERE monthly_demand IS NULL) AS n_null_target, COUNT(*) FILTER (WHERE monthly_demand IS NOT NULL AND supply_limited IS NULL) AS n_null_regressor,
-  CAST(datediff('month', MIN(month_start_date), MAX(month_start_date)) + 1 - COUNT(*) AS BIGINT) AS n_missing_periods
-FROM (SELECT *, monthly_demand IS NOT NULL AND supply_limited IS NOT NULL AS ok FROM s_holes WHERE month(month_start_date) <> 9) h GROUP BY 1
+SELECT sku, COUNT(*) AS n_rows, MIN(m) FILTER (WHERE month(m) NOT IN (2, 6)) AS start_date, MAX(m) FILTER (WHERE month(m) NOT IN (2, 6)) AS end_date,
+  COUNT(*) FILTER (WHERE month(m) = 2) AS n_null_target, COUNT(*) FILTER (WHERE month(m) = 6) AS n_null_regressor,
+  CAST(datediff('month', MIN(m), MAX(m)) + 1 - COUNT(*) AS BIGINT) AS n_missing_periods
+FROM (SELECT DISTINCT l_suppkey AS sku, date_trunc('month', l_shipdate)::DATE AS m FROM lineitem) GROUP BY 1
 """)
 def p36_series_info(spark, sf_dir):
-    """Gaps and dropped rows of each series when Septembers are absent."""
-    return mi.series_info(stage(holes(feature_frame(spark, sf_dir)).filter(F.month(MONTH) != 9)), ["supply_limited"])
+    """Gaps and dropped rows of every supplier's monthly series."""
+    months = series.table(spark, sf_dir, "lineitem").groupBy(
+        F.col("l_suppkey").alias("sku"), F.trunc(F.col("l_shipdate").cast("date"), "MM").alias(MONTH)
+    ).agg(F.sum("l_quantity").alias("monthly_demand"))
+    joined = months.join(F.broadcast(series.driver_months(spark, sf_dir)), MONTH, "left")
+    return mi.series_info(stage(holes(joined.withColumn("supply_limited", F.coalesce("supply_limited", F.lit(0.0))))), ["supply_limited"])
 
 
 @query("p36_autoregressive_input", """
@@ -450,14 +453,14 @@ def a11_date_range(spark, sf_dir):
 
 
 @query("a27_granularity", """
-SELECT user_id, round(med, 6) AS median_gap_days, CASE WHEN med IS NULL THEN 'unknown' WHEN med <= 2 THEN 'daily' WHEN med BETWEEN 5 AND 10 THEN 'weekly' WHEN med BETWEEN 26 AND 32 THEN 'monthly' ELSE 'irregular' END AS granularity
-FROM (SELECT user_id, CAST(median(gap) AS DOUBLE) AS med FROM (
-  SELECT user_id, datediff('day', lag(d) OVER (PARTITION BY user_id ORDER BY d), d) AS gap FROM (SELECT DISTINCT user_id, CAST(ts AS DATE) AS d FROM events WHERE event_type = 'purchase')) GROUP BY 1)
+SELECT user_id, event_type, round(med, 6) AS median_gap_days, CASE WHEN med IS NULL THEN 'unknown' WHEN med <= 2 THEN 'daily' WHEN med BETWEEN 5 AND 10 THEN 'weekly' WHEN med BETWEEN 26 AND 32 THEN 'monthly' ELSE 'irregular' END AS granularity
+FROM (SELECT user_id, event_type, CAST(median(gap) AS DOUBLE) AS med FROM (
+  SELECT user_id, event_type, datediff('day', lag(d) OVER (PARTITION BY user_id, event_type ORDER BY d), d) AS gap
+  FROM (SELECT DISTINCT user_id, event_type, CAST(ts AS DATE) AS d FROM events)) GROUP BY 1, 2)
 """)
 def a27_granularity(spark, sf_dir):
-    """How often each user buys."""
-    buys = series.table(spark, sf_dir, "events").filter("event_type = 'purchase'")
-    return rounded(desc.granularity(buys, "ts", ["user_id"]))
+    """How often each user does each thing."""
+    return rounded(desc.granularity(series.table(spark, sf_dir, "events"), "ts", ["user_id", "event_type"]))
 
 
 @query("granularity_routing", """

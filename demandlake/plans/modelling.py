@@ -161,6 +161,31 @@ def m24_prechampions(spark, sf_dir):
     return rounded(out["prechampions"])
 
 
+@query("m24_registered_study", """
+SELECT c.sku, 'naive' AS family, CASE c.candidate_id WHEN 'naive_1' THEN 'naive_000' WHEN 'naive_3' THEN 'naive_001' WHEN 'naive_6' THEN 'naive_002' ELSE 'naive_003' END AS candidate_id,
+  round(c.wmape, 6) AS wmape, round(c.mase, 6) AS mase, round(c.bias, 6) AS bias, round(c.wmape_std, 6) AS wmape_std, round(l.ljung_box_pvalue, 6) AS ljung_box_pvalue,
+  l.ljung_box_pvalue < 0.05 AS autocorrelation_excluded, CAST(row_number() OVER (PARTITION BY c.sku ORDER BY c.wmape, length(c.candidate_id), c.candidate_id) AS INTEGER) AS rank
+FROM s_pool c JOIN s_lb l ON c.sku = l.sku AND c.candidate_id = l.candidate_id
+""")
+def m24_registered_study(spark, sf_dir):
+    """Tuning table of a registered forecaster with four seasons: fits, residual test and ranks."""
+    hist = stage(series.demand_months(spark, sf_dir))
+    cand = candidates.grid(hist, "naive", {"season": [1, 3, 6, 12]})
+    tuning = grouped.study(hist, cand, CFG, filtered_family="naive", forecasters={"naive": naive_last})["tuning"]
+    return rounded(tuning.select("sku", "family", "candidate_id", "wmape", "mase", "bias", "wmape_std", "ljung_box_pvalue", "autocorrelation_excluded", "rank"))
+
+
+@query("m12_registered_refit", "SELECT sku, date, CAST(horizon AS INTEGER) AS horizon, forecast, 'success' AS status FROM s_naive_future")
+def m12_registered_refit(spark, sf_dir):
+    """A registered forecaster refit on the whole history for the next twelve months."""
+    hist = stage(series.demand_months(spark, sf_dir))
+    months = hist.groupBy("sku").agg(F.max("month_start_date").alias("last")).select(
+        "sku", F.explode(F.sequence(F.add_months("last", 1), F.add_months("last", 12), F.expr("INTERVAL 1 MONTH"))).alias("month_start_date")
+    )
+    fc = grouped.forecast(hist, months, candidates.grid(hist, "naive", {"season": [12]}), forecasters={"naive": naive_last})
+    return fc.drop("family", "candidate_id")
+
+
 def future(spark, sf_dir, hist, horizon=12):
     """Future frame with DOUBLE regressors."""
     drivers = feat.driver_features(series.driver_months(spark, sf_dir))
@@ -290,13 +315,13 @@ def m18_regression_importance(spark, sf_dir):
 @query("u3_importance_union", """
 SELECT sku, 'structural' AS family, feature, round(importance, 6) AS importance, 'contribution' AS importance_type, FALSE AS has_coefficient FROM s_importance UNION ALL
 SELECT sku, 'autoregressive', feature, round(abs(b), 6), 'abs_coefficient', TRUE FROM (
-  SELECT sku, 'promo_target' AS feature, regr_slope(monthly_demand, promo_target) AS b FROM s_features GROUP BY 1)
+  SELECT sku, 'expected_share' AS feature, regr_slope(monthly_demand, expected_share) AS b FROM s_features GROUP BY 1)
 """)
 def u3_importance_union(spark, sf_dir):
     """Importance tables of two families with differing columns in one."""
     first = contributions(spark, sf_dir).withColumn("importance_type", F.lit("contribution"))
-    hist = doubles(spark, sf_dir)
-    both = {"structural": first, "autoregressive": explain.regression_importance(hist, ["promo_target"])}
+    hist = stage(feature_frame(spark, sf_dir).select("sku", "monthly_demand", "expected_share"))
+    both = {"structural": first, "autoregressive": explain.regression_importance(hist, ["expected_share"])}
     out = explain.importance_table(both)
     return rounded(out.select("sku", "family", "feature", "importance", "importance_type", F.col("coefficient").isNotNull().alias("has_coefficient")))
 
