@@ -73,7 +73,7 @@ def _parallel(jobs: list[Callable], threads: int) -> list:
 
 def backtest(
     features: DataFrame, regressors: Sequence[str], candidates: dict[str, dict], cfg: BacktestConfig | None = None,
-    fcfg: FeatureConfig | None = None, threads: int = 4, **columns,
+    fcfg: FeatureConfig | None = None, threads: int = 8, **columns,
 ) -> DataFrame:
     """Direct multi-step backtest: one model per (candidate, cycle, step) over all series.
 
@@ -112,7 +112,7 @@ def backtest(
     return out
 
 
-def fit_direct(rows: DataFrame, horizon: int, params: dict | None = None, threads: int = 3) -> dict:
+def fit_direct(rows: DataFrame, horizon: int, params: dict | None = None, threads: int = 8) -> dict:
     """One model per step on the whole history: {h: model}."""
     def one(h: int) -> Callable:
         train = rows.filter(F.col("complete") & F.element_at("ahead", h).isNotNull())

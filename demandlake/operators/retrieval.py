@@ -98,7 +98,7 @@ def nearest(
     allows; beyond that, queries and vectors meet block by block in a shuffle whose
     groups have a bounded number of rows on both sides.
     """
-    q = queries.select(query_id, F.col(vector).cast("array<double>").alias("_v"))
+    q = stage(queries.select(query_id, F.col(vector).cast("array<double>").alias("_v")))
     v = vectors.select(vec_id, F.col(vector).cast("array<double>").alias("_v"))
     size = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_v")).alias("d")).first()
     schema = f"{query_id} {q.schema[query_id].dataType.simpleString()}, {vec_id} {v.schema[vec_id].dataType.simpleString()}, score double"

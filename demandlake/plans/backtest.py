@@ -581,3 +581,16 @@ def m13_champion_record(spark, sf_dir):
     history = stage(months(spark, sf_dir))
     champions = sel.family_champions(candidates(spark, sf_dir), FILTERED)
     return sel.champion_record(sel.production_champion(champions, FILTERED), champions, history, FILTERED)
+
+
+@query("m13_champion_fields", """
+SELECT p.sku, p.family AS model_family, p.candidate_id AS champion_id, m.cutoff AS training_cutoff, p.wmape, p.mase, CAST(2 AS INTEGER) AS n_family_champions, m.n_obs
+FROM s_prod p JOIN (SELECT sku AS k, MAX(month_start_date) AS cutoff, COUNT(*) AS n_obs FROM s_monthly GROUP BY 1) m ON m.k = p.sku
+""")
+def m13_champion_fields(spark, sf_dir):
+    """The champion record's main fields, flat."""
+    r = m13_champion_record(spark, sf_dir)
+    return r.select(
+        "sku", "model_family", "champion_id", "training_cutoff", F.col("metrics.wmape").alias("wmape"), F.col("metrics.mase").alias("mase"),
+        F.size("family_champions").alias("n_family_champions"), F.col("refit.n_obs").alias("n_obs"),
+    )

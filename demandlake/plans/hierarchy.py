@@ -106,3 +106,15 @@ def h4_diagnostics(spark, sf_dir):
     months, parts = forecasts(spark, sf_dir)
     new_months, new_parts = hier.reconcile(months, parts, "bottom_up")
     return rounded(hier.diagnostics(months, parts, new_months, new_parts))
+
+
+@query("h3_mint_coherence", """
+SELECT p.sku, p.month_start_date, round(p.w - m.forecast, 6) AS pre_reconciliation_gap, 0.0::DOUBLE AS post_reconciliation_gap
+FROM (SELECT sku, month_start_date, SUM(part) AS w FROM s_part WHERE covered GROUP BY 1, 2) p JOIN s_month_fc m ON m.sku = p.sku AND m.month_start_date = p.month_start_date
+""")
+def h3_mint_coherence(spark, sf_dir):
+    """Week parts add up to their month after minimum-trace reconciliation."""
+    months, parts = forecasts(spark, sf_dir)
+    new_months, new_parts = (stage(df) for df in hier.reconcile(months, parts, **residuals(spark, sf_dir, months, parts)))
+    out = rounded(hier.diagnostics(months, parts, new_months, new_parts))
+    return out.select("sku", MONTH, "pre_reconciliation_gap", "post_reconciliation_gap")

@@ -71,7 +71,12 @@ def raw(spark, sf_dir):
     return df.withColumn("row_no", F.datediff(parse_us_date(ing.strip(F.col("Date"))), F.lit("1970-01-01").cast("date")))
 
 
-@query("io1_csv_round_trip")
+@query("io1_csv_round_trip", """
+SELECT '  ' || sku || chr(9) AS "SKU", strftime(date, ' %Y') AS "Year", strftime(date, '%Y-%m') AS "Month", monthname(date) AS "Month Name",
+  strftime(date, '%-m/%-d/%Y') AS "Date", CAST(CAST(monthly_demand AS BIGINT) AS VARCHAR) AS "Monthly Demand",
+  CASE WHEN CAST(daily_demand AS BIGINT) % 97 = 0 THEN 'n/a' WHEN CAST(daily_demand AS BIGINT) % 89 = 0 THEN NULL ELSE CAST(CAST(daily_demand AS BIGINT) AS VARCHAR) END AS "Daily Demand"
+FROM (SELECT * FROM s_reported UNION ALL SELECT * FROM s_reported WHERE daily_demand > 160)
+""")
 def io1_csv_round_trip(spark, sf_dir):
     """Raw demand written as CSV with header and read back as text."""
     from demandlake.sources import files

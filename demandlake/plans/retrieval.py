@@ -221,6 +221,17 @@ def c9_evidence(spark, sf_dir):
     return ret.evidence(qs, ctx, asked, ret.scenario_rows(scen, keys=()))
 
 
+@query("c9_evidence_passages", """
+SELECT q.question_id, CAST(s.place AS INTEGER) AS place, s.vec_id, round(s.score, 6) AS score FROM s_questions q JOIN (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM (
+    SELECT c.query_id, u.vec_id, list_inner_product(c.v, CAST(u.u AS DOUBLE[])) AS score FROM s_centroid c, s_unit u)) s
+ON s.query_id = q.question_id % (SELECT COUNT(*) FROM s_centroid) AND s.place <= 5
+""")
+def c9_evidence_passages(spark, sf_dir):
+    """The passages inside every question's evidence record, flat."""
+    return rounded(c9_evidence(spark, sf_dir).select("question_id", F.inline("passages")).select("question_id", "place", "vec_id", "score"))
+
+
 @query("e5_math", """
 SELECT sku, month_start_date, abs(monthly_demand - 250) AS dist, round(sqrt(monthly_demand), 6) AS root, LEAST(GREATEST(monthly_demand, 100), 400) AS clipped,
        round(monthly_demand / NULLIF(CASE WHEN month(month_start_date) = 3 THEN 0 ELSE month(month_start_date) END, 0), 6) AS ratio FROM s_monthly
