@@ -1,5 +1,7 @@
 """The physical plans that the operators are designed for."""
 
+import contextlib
+import io
 import re
 
 from pyspark.sql import functions as F
@@ -11,7 +13,13 @@ from demandlake.operators import metrics as met
 from demandlake.operators import rolling_origin as ro
 from demandlake.session import stage
 from demandlake.sources import series
-from tests.test_oracle import plan_of
+
+
+def plan_of(df) -> str:
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        df.explain()
+    return out.getvalue()
 
 
 def exchanges(df):
