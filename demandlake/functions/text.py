@@ -105,6 +105,6 @@ def finite(value: Column) -> Column:
     return F.when(~F.isnan(value) & (F.abs(value) != float("inf")), value)
 
 
-def coefficient_name(name: Column) -> Column:
-    """Term of a regression coefficient: the text before a bracket or a dot suffix."""
-    return F.regexp_extract(name, r"^([A-Za-z_]+[A-Za-z0-9_]*)", 1)
+def coefficient_position(name: Column) -> Column:
+    """Position of a driver coefficient called x1, x2, ...; null for structural terms."""
+    return F.nullif(F.regexp_extract(name, r"^x(\d+)$", 1), F.lit("")).cast("int")

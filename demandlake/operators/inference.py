@@ -187,3 +187,29 @@ def intervals_usable(forecasts: DataFrame, keys: Sequence[str] = ("sku",), denie
     if denied is not None:
         shown = shown & ~F.coalesce(F.max(denied), F.lit(False))
     return forecasts.groupBy(*keys).agg(shown.alias("has_intervals"))
+
+
+def backtest_results(predictions: DataFrame, pooled: DataFrame, granularity: str = "monthly", keys: Sequence[str] = ("sku", "family", "candidate_id")) -> DataFrame:
+    """One backtest record per candidate: MAPE, RMSE, MASE, folds and horizon."""
+    from demandlake.operators.metrics import mape
+
+    point = predictions.groupBy(*keys).agg(mape("y_true", "y_pred").alias("mape"), F.max("horizon_step").alias("horizon"))
+    return pooled.select(*keys, "rmse", "mase", F.col("n_cycles_evaluated").alias("n_folds")).join(point, list(keys)).withColumn("granularity", F.lit(granularity))
+
+
+def forecast_artifact(forecasts: DataFrame, actuals: DataFrame, results: DataFrame, trained_at: str, keys: Sequence[str] = ("sku",)) -> DataFrame:
+    """One nested artifact per series: its forecast records in date order and its backtest.
+
+    ``forecasts`` is one horizon table in the canonical schema, ``actuals`` has
+    (sku, date, y_actual) where known, ``results`` one backtest record per series.
+    """
+    record = F.struct(
+        F.col("date").alias("ds"), "y_actual", F.col("forecast").alias("y_forecast"), F.col("forecast_lower").alias("y_lower"),
+        F.col("forecast_upper").alias("y_upper"), "granularity", F.col("champion_id").alias("model_name"), F.col("horizon").alias("horizon_step"),
+    )
+    records = forecasts.join(actuals, [*keys, "date"], "left").groupBy(*keys).agg(
+        F.first("run_id").alias("run_id"), F.first("champion_id").alias("model_name"), F.first("granularity").alias("granularity"),
+        F.array_sort(F.collect_list(record)).alias("forecast_records"),
+    )
+    nested = results.select(*keys, F.struct("mape", "rmse", "mase", "n_folds", "horizon").alias("backtest_result"))
+    return records.join(nested, list(keys), "left").withColumn("trained_at", F.lit(trained_at).cast("timestamp_ntz"))

@@ -399,6 +399,40 @@ def p23_chart_names(spark, sf_dir):
     return rounded(desc.chart_names(fc).select("sku", "ds", "yhat", "yhat_lower", "yhat_upper"))
 
 
+def artifact(spark, sf_dir):
+    """Nested artifacts of the champions, with the holdout year's actuals."""
+    from demandlake.operators import metrics as met
+
+    history = stage(series.demand_months(spark, sf_dir))
+    champs, preds = champions(spark, sf_dir, history)
+    results = inf.backtest_results(preds, met.pooled_metrics(met.cycle_metrics(preds), with_std=False))
+    mine = results.withColumnRenamed("candidate_id", "champion_id").join(champs.select("sku", "champion_id"), ["sku", "champion_id"])
+    holdout = series.demand_months(spark, sf_dir, series.HISTORY_END, series.HOLDOUT_END).select("sku", F.col(MONTH).alias("date"), F.col("monthly_demand").alias("y_actual"))
+    return inf.forecast_artifact(forecast_table(spark, sf_dir).filter("horizon_label = '12m'"), holdout, mine, GENERATED)
+
+
+@query("forecast_records", """
+SELECT f.sku, f.date AS ds, a.y AS y_actual, f.forecast AS y_forecast, round(f.lo, 6) AS y_lower, f.champion_id AS model_name, f.horizon AS horizon_step
+FROM s_champ_fc f LEFT JOIN (
+  SELECT p_brand AS sku, date_trunc('month', l_shipdate)::DATE AS m, SUM(l_quantity) AS y FROM lineitem JOIN part ON l_partkey = p_partkey
+  WHERE l_shipdate >= TIMESTAMP '2000-07-01' AND l_shipdate < TIMESTAMP '2001-07-01' GROUP BY 1, 2) a ON a.sku = f.sku AND a.m = f.date
+""")
+def forecast_records(spark, sf_dir):
+    """The forecast records inside the artifacts, flat, beside the holdout's actuals."""
+    flat = artifact(spark, sf_dir).select("sku", F.inline("forecast_records"))
+    return rounded(flat.select("sku", "ds", "y_actual", "y_forecast", "y_lower", "model_name", "horizon_step"))
+
+
+@query("backtest_records", """
+SELECT b.sku, b.champion_id AS model_name, round(m.mape, 6) AS mape, round(p.rmse, 6) AS rmse, round(p.mase, 6) AS mase, p.n_cycles AS n_folds, CAST(3 AS INTEGER) AS horizon
+FROM s_two_best b JOIN s_pool p ON p.sku = b.sku AND p.candidate_id = b.champion_id
+JOIN (SELECT sku, candidate_id, avg(CASE WHEN y_true <> 0 THEN abs((y_true - y_pred) / y_true) END) AS mape FROM s_pred GROUP BY 1, 2) m ON m.sku = b.sku AND m.candidate_id = b.champion_id
+""")
+def backtest_records(spark, sf_dir):
+    """The backtest record inside the artifacts, flat."""
+    return rounded(artifact(spark, sf_dir).select("sku", "model_name", "backtest_result.*"))
+
+
 # -------------------------------------------------------------- descriptive
 
 

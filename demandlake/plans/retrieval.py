@@ -259,16 +259,17 @@ def e6_strings(spark, sf_dir):
 
 @query("e7_regex", r"""
 SELECT question_id, array_to_string(list_filter(t, lambda x: regexp_matches(x, '^20[2-9][0-9]$')), ',') AS years,
-  CAST(len(list_filter(t, lambda x: regexp_matches(x, '^[a-z]{3,9}$'))) AS BIGINT) AS n_tokens, regexp_extract(question, '^([A-Za-z_]+[A-Za-z0-9_]*)', 1) AS head
+  CAST(len(list_filter(t, lambda x: regexp_matches(x, '^[a-z]{3,9}$'))) AS BIGINT) AS n_tokens, CASE WHEN question_id % 1000 > 1 THEN question_id % 1000 ELSE 0 END AS position
 FROM (SELECT *, regexp_split_to_array(lower(question), '[^\p{L}\p{N}_]+') AS t FROM s_questions)
 """)
 def e7_regex(spark, sf_dir):
-    """Years, word tokens and a leading name by regular expression."""
-    q = F.col("question")
+    """Years, word tokens and the number in a coefficient's name by regular expression."""
+    q, turn = F.col("question"), F.col("question_id") % 1000
+    name = F.concat(F.when(turn > 1, "x").otherwise("ar.L"), turn.cast("string"))
     t = tx.tokens(F.lower(q))
     return questions(spark, sf_dir).select(
         "question_id", F.array_join(F.filter(t, lambda x: x.rlike("^20[2-9][0-9]$")), ",").alias("years"),
-        F.size(F.filter(t, lambda x: x.rlike("^[a-z]{3,9}$"))).cast("bigint").alias("n_tokens"), tx.coefficient_name(q).alias("head"),
+        F.size(F.filter(t, lambda x: x.rlike("^[a-z]{3,9}$"))).cast("bigint").alias("n_tokens"), F.coalesce(tx.coefficient_position(name), F.lit(0)).cast("bigint").alias("position"),
     )
 
 

@@ -231,3 +231,33 @@ def test_mint_is_coherent_and_lies_between(spark):
     total = {r["month_start_date"].month: r["forecast"] for r in new_m.collect()}
     assert 310 < total[1] < 400 and total[2] == 99.0
     assert hierarchy.weekly_total(new_p).count() == 5
+
+
+def test_chunks_equal_brute_force_on_random_texts(spark):
+    rng = np.random.default_rng(11)
+    blanks = [" ", "  ", "\n", "\t ", "\u00a0", "\u2003", "\x1f", "\r\n"]
+    texts = []
+    for i in range(120):
+        parts = [str(rng.choice(blanks)) if rng.random() < 0.3 else ""]
+        for _ in range(int(rng.integers(0, 60))):
+            parts += ["wörd" if rng.random() < 0.2 else f"w{rng.integers(100)}", str(rng.choice(blanks))]
+        texts.append((i, "".join(parts), "hot" if rng.random() < 0.6 else f"s{i % 3}"))
+    df = spark.createDataFrame(texts, "doc_id int, text string, source string").repartition(5)
+    for size, overlap in ((7, 3), (10, 0), (5, 4)):
+        want, seen = set(), {}
+        for doc, text, source in texts:
+            tokens, start = text.split(), 0
+            while tokens:
+                n = seen.get(source, 0)
+                want.add((source, doc, n, " ".join(tokens[start:start + size])))
+                seen[source] = n + 1
+                if start + size >= len(tokens):
+                    break
+                start += size - overlap
+        got = {(r["source"], r["doc_id"], r["chunk_id"], r["text"]) for r in retrieval.chunk(df, size, overlap).collect()}
+        assert got == want
+
+
+def test_coefficient_positions(spark):
+    df = spark.createDataFrame([("x1",), ("x12",), ("ar.L1",), ("sigma2",)], "n string")
+    assert [r[0] for r in df.select(tx.coefficient_position(F.col("n"))).collect()] == [1, 12, None, None]
