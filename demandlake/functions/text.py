@@ -18,6 +18,16 @@ SCOPE_TERMS = (
     "forecast", "demand", "month", "scenario", "assumption", "market share", "pfizer", "surgifoam", "rebate", "historical",
     "history", "spike", "drop", "increase", "decrease", "driver", "model", "actual",
 )
+# Market-share assumption in words, by lowest share, then the label at or
+# below LOW_SHARE and the one for everything between.
+SCENARIO_LABELS = (
+    (1.0, "severe competitor-stockout scenario"),
+    (0.8, "high share-capture transition scenario"),
+    (0.65, "elevated share-capture scenario"),
+)
+LOW_SHARE, LOW_SHARE_LABEL = 0.45, "constrained complementary-product scenario"
+NORMAL_LABEL = "normalized market-share assumption"
+MISSING_LABEL = "not available"
 # Family names for display.
 FAMILY_LABELS = {"prophet": "Prophet", "sarimax": "SARIMAX", "catboost": "CatBoost"}
 
@@ -47,20 +57,16 @@ def month(question: Column) -> Column:
 
 def scenario_label(share: Column) -> Column:
     """Market-share assumption in words."""
-    return (
-        F.when(share.isNull(), "not available")
-        .when(share >= 1.0, "severe competitor-stockout scenario")
-        .when(share >= 0.8, "high share-capture transition scenario")
-        .when(share >= 0.65, "elevated share-capture scenario")
-        .when(share <= 0.45, "constrained complementary-product scenario")
-        .otherwise("normalized market-share assumption")
-    )
+    out = F.when(share.isNull(), MISSING_LABEL)
+    for lowest, label in SCENARIO_LABELS:
+        out = out.when(share >= lowest, label)
+    return out.when(share <= LOW_SHARE, LOW_SHARE_LABEL).otherwise(NORMAL_LABEL)
 
 
 def activity(*columns: Column) -> Column:
     """State of the first available flag."""
     value = F.coalesce(*columns)
-    return F.when(value.isNull(), "not available").when(value > 0, "active").otherwise("not active")
+    return F.when(value.isNull(), MISSING_LABEL).when(value > 0, "active").otherwise("not active")
 
 
 def family_label(family: Column) -> Column:
@@ -74,7 +80,7 @@ def family_label(family: Column) -> Column:
 def format_share(share: Column) -> Column:
     """Share as a whole percentage; values up to 1.5 count as fractions."""
     percent = F.when(share <= 1.5, share * 100).otherwise(share)
-    return F.when(share.isNull(), "not available").otherwise(F.concat(F.bround(percent, 0).cast("bigint").cast("string"), F.lit("%")))
+    return F.when(share.isNull(), MISSING_LABEL).otherwise(F.concat(F.bround(percent, 0).cast("bigint").cast("string"), F.lit("%")))
 
 
 def format_number(value: Column, decimals: int = 2, suffix: str = "", missing: str = "N/A") -> Column:

@@ -29,6 +29,13 @@ BUSINESS_NAMES = {
     "yhat_lower": "forecast lower bound",
     "yhat_upper": "forecast upper bound",
 }
+# Column names of the scenario rows, with the flags each state is read from.
+SCENARIO_SHARE, SCENARIO_LABEL, SCENARIO_UNITS = "expected market share", "market-share scenario label", "forecast demand units"
+SCENARIO_STATES = {
+    "competitor supply constraint effect": ("supply_limited", "supply_limited_lag_1"),
+    "complementary product constraint": ("substitute_limited", "substitute_limited_lag_1"),
+    "rebate purchase acceleration": ("promo_target", "promo_target_lag_1"),
+}
 
 
 def chunk_count(n_words, size: int, overlap: int):
@@ -195,17 +202,16 @@ def question_context(parsed: DataFrame, contexts: DataFrame, question_id: str =
 
 def scenario_rows(forecast: DataFrame, date: str = "ds", keys: Sequence[str] = ("sku",)) -> DataFrame:
     """Future rows in business terms."""
-    has = lambda *names: [F.col(n) for n in names if n in forecast.columns] or [F.lit(None).cast("double")]
-    share = F.col("expected_share") if "expected_share" in forecast.columns else F.lit(None).cast("double")
+    missing = F.lit(None).cast("double")
+    known = lambda names: [F.col(n) for n in names if n in forecast.columns] or [missing]
+    share = known(["expected_share"])[0]
     return forecast.select(
         *keys,
         F.date_format(date, "yyyy-MM").alias("month"),
-        tx.format_share(share).alias("expected market share"),
-        tx.scenario_label(share).alias("market-share scenario label"),
-        tx.activity(*has("supply_limited", "supply_limited_lag_1")).alias("competitor supply constraint effect"),
-        tx.activity(*has("substitute_limited", "substitute_limited_lag_1")).alias("complementary product constraint"),
-        tx.activity(*has("promo_target", "promo_target_lag_1")).alias("rebate purchase acceleration"),
-        *([F.bround("yhat", 0).cast("bigint").alias("forecast demand units")] if "yhat" in forecast.columns else []),
+        tx.format_share(share).alias(SCENARIO_SHARE),
+        tx.scenario_label(share).alias(SCENARIO_LABEL),
+        *[tx.activity(*known(flags)).alias(name) for name, flags in SCENARIO_STATES.items()],
+        *([F.bround("yhat", 0).cast("bigint").alias(SCENARIO_UNITS)] if "yhat" in forecast.columns else []),
     )
 
 

@@ -13,6 +13,7 @@ from demandlake.operators import inference as inf
 from demandlake.operators import ingestion as ing
 from demandlake.operators import model_input as mi
 from demandlake.operators import selection as sel
+from demandlake.plans import backtest as bt
 from demandlake.plans.features import _r, feature_frame, rounded
 from demandlake.plans.registry import query, shared
 from demandlake.session import stage
@@ -367,6 +368,20 @@ def p34_champion_identity(spark, sf_dir):
     })
 
 
+@query("p34_identity_from_records", """
+SELECT p.sku, p.family AS model_family, p.candidate_id AS champion_id, 'wmape' AS selection_metric, p.wmape AS selection_metric_value,
+  DATE '2000-06-01' AS training_cutoff, 'run-1' AS run_id, TRUE AS has_prediction_interval, 'residual_normal' AS interval_method FROM s_prod p
+""")
+def p34_identity_from_records(spark, sf_dir):
+    """Identity of every champion from its champion, inference and selection records."""
+    history = stage(series.demand_months(spark, sf_dir))
+    best = stage(sel.family_champions(bt.candidates(spark, sf_dir), bt.FILTERED))
+    prod = sel.production_champion(best, bt.FILTERED)
+    run = inf.inference_record(forecast_table(spark, sf_dir))
+    identity = desc.champion_identity(sel.champion_record(prod, best, history, bt.FILTERED), run, prod)
+    return identity.drop("selection_reason", "forecast_generated_at")
+
+
 @query("m17_inference_record")
 def m17_inference_record(spark, sf_dir):
     """The nested inference record of every item."""
