@@ -5,13 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandlake.llm import archive, sharding
+from demandlake.llm import archive, sharding, simhash
 from demandlake.llm.common import Workspace, table
 from demandlake.llm.registry import register
 
 SHARDS = 8
 
 
+@register("op1_simhash")
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents grouped by fingerprints of 4-word shingles that differ in at most 4 bits."""
+    found = simhash.near_duplicates(Workspace(spark, "op1"), table(spark, sf_dir, "documents"), words=4, distance=4)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("code")), 16, "0").alias("fingerprint"), "component_id")
+
+
 @register("op8_jump_shards")
 def op8_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in eight shards by jump hash of doc_id. Null texts have size 1 and checksum 0."""
