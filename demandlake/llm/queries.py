@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandlake.llm import archive, sharding, simhash
+from demandlake.llm import archive, mixing, sharding, simhash
 from demandlake.llm.common import Workspace, table
 from demandlake.llm.registry import register
 
@@ -19,6 +19,16 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("code")), 16, "0").alias("fingerprint"), "component_id")
 
 
+@register("op3_mixing")
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mixture of all documents at 150 % of their size takes of each."""
+    work = Workspace(spark, "op3")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count().alias("size"))
+    known, mixture = mixing.mix(work, docs)
+    taken = mixing.taken_words(work, known, mixture)
+    return taken.select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
 @register("op8_jump_shards")
 def op8_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in eight shards by jump hash of doc_id. Null texts have size 1 and checksum 0."""
