@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandlake.llm import archive, mixing, sharding, simhash
+from demandlake.llm import archive, mixing, packing, sharding, simhash
 from demandlake.llm.common import Workspace, table
 from demandlake.llm.registry import register
 
@@ -29,6 +30,13 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+@register("op6_packing")
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of all documents packed into sequences of 4096."""
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    return packing.pack(Workspace(spark, "op6"), table(spark, sf_dir, "documents"), tokenizer)
+
+
 @register("op8_jump_shards")
 def op8_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in eight shards by jump hash of doc_id. Null texts have size 1 and checksum 0."""
