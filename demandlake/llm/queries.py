@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandlake.llm import archive, mixing, packing, quality, sharding, simhash
+from demandlake.llm import archive, extract, mixing, packing, quality, sharding, simhash
 from demandlake.llm.common import Workspace, table
 from demandlake.llm.registry import register
 
@@ -38,6 +38,13 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+@register("op4_html")
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return extract.extract(pages).select("page_id", "url", "text", "n_chars")
+
+
 @register("op6_packing")
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of all documents packed into sequences of 4096."""
