@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from demandlake.session import shared_folder
 
+RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -31,9 +32,17 @@ class Workspace:
         self.folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
-        """Write a table and return it as read from its files."""
+        """Write a table and return it as read from its files.
+
+        The shuffle files behind it are released once it is written: nothing reads them again.
+        """
         path = f"{self.folder}/{name}"
-        df.write.parquet(path)
+        before = self.spark.conf.get(RELEASE, None)
+        self.spark.conf.set(RELEASE, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.unset(RELEASE) if before is None else self.spark.conf.set(RELEASE, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandlake.llm import archive, extract, mixing, packing, quality, sharding, simhash
+from demandlake.llm import archive, extract, mixing, packing, passages, quality, sharding, simhash
 from demandlake.llm.common import Workspace, table
 from demandlake.llm.registry import register
 
@@ -52,6 +52,41 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(Workspace(spark, "op6"), table(spark, sf_dir, "documents"), tokenizer)
 
 
+OP7_SQL = """
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents
+), w AS (
+  SELECT doc_id, s, substr(h, 2 * s + 1, 100) AS part FROM (SELECT doc_id, h, unnest(range(0, n - 49)) AS s FROM d WHERE n >= 50)
+), f AS (
+  SELECT part, min(doc_id) AS first_id FROM w GROUP BY part HAVING min(doc_id) < max(doc_id)
+), hit AS (
+  SELECT doc_id, s, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 50 THEN 0 ELSE 1 END AS fresh
+  FROM w JOIN f USING (part) WHERE first_id < doc_id
+), run AS (
+  SELECT doc_id, min(s) AS lo, max(s) + 50 AS hi
+  FROM (SELECT doc_id, s, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s) AS k FROM hit) GROUP BY doc_id, k
+), cut AS (
+  SELECT doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS before FROM run
+), kept AS (
+  SELECT d.doc_id, count(*) AS n_spans, sum(hi - lo) AS n_removed,
+         string_agg(substr(h, 2 * before + 1, 2 * (lo - before)), '' ORDER BY lo) || substr(any_value(h), 2 * max(hi) + 1) AS rest
+  FROM d JOIN cut USING (doc_id) GROUP BY d.doc_id
+)
+SELECT d.doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(rest, h))) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+
+@register("op7_passages", OP7_SQL)
+def op7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the 50-byte strings that a document with a smaller id holds."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return passages.digest(passages.remove_repeats(Workspace(spark, "op7"), docs)).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"
+    )
+
+
 @register("op8_jump_shards")
 def op8_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in eight shards by jump hash of doc_id. Null texts have size 1 and checksum 0."""
