@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandlake.llm import archive, extract, mixing, packing, passages, quality, sharding, simhash
+from demandlake.llm import ann, archive, extract, mixing, packing, passages, quality, sharding, simhash
 from demandlake.llm.common import Workspace, table
 from demandlake.llm.registry import register
 
@@ -117,3 +117,26 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages written as WARC files and read back by byte ranges."""
     records = archive.archive_pages(Workspace(spark, "op9"), table(spark, sf_dir, "pages"))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP10_SQL = """
+WITH v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), s AS (
+  SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(q.e, v.e) AS score
+  FROM v AS q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
+@register("op10_ann", OP10_SQL)
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of each twentieth vector among all others, by inner product."""
+    work = Workspace(spark, "op10")
+    index = ann.build_index(work, table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return ann.nearest(work, index, F.col("id") % 20 == 0)
