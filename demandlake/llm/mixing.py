@@ -172,7 +172,8 @@ def mix(
     )
     known = work.write(running_start(work, ordered, ["source_id"], ["_order", "doc_id"], "size", "at").drop("_order"), "placed")
     slots_in_all = plan.agg(F.sum(F.ceil(F.col("target") / block)).alias("n")).first().n or 0
-    slots = _slots(plan, block, shard_slots, max(1, -(-int(slots_in_all) // shard_slots)))
+    # Written, since the join must know how many slots there are: their number follows from few rows.
+    slots = work.write(_slots(plan, block, shard_slots, max(1, -(-int(slots_in_all) // shard_slots))), "slots")
     pieces = known.filter("size > 0").select(
         "doc_id", "source_id", "at", "size",
         F.explode(F.sequence(F.floor(F.col("at") / block), F.floor((F.col("at") + F.col("size") - 1) / block))).alias("block"),
