@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandlake.llm import ann, archive, extract, mixing, packing, passages, quality, sharding, simhash
+from demandlake.llm import ann, archive, extract, mixing, neighbours, packing, passages, quality, sharding, simhash
 from demandlake.llm.common import Workspace, table
 from demandlake.llm.registry import register
 
@@ -45,6 +45,32 @@ def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract(pages).select("page_id", "url", "text", "n_chars")
 
 
+OP5_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v AS a JOIN v AS b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)) >= 0.98
+), reach AS (
+  SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+), c AS (
+  SELECT a, min(b) AS component_id FROM reach GROUP BY a
+), n AS (
+  SELECT a, count(*) AS n_links FROM links GROUP BY a
+)
+SELECT c.a AS vec_id, coalesce(n_links, 0) AS n_links, component_id, c.a = component_id AS kept FROM c LEFT JOIN n USING (a)
+"""
+
+
+@register("op5_neighbours", OP5_SQL)
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and groups of all vectors whose cosine within a label is at least 0.98."""
+    found = neighbours.near_duplicates(Workspace(spark, "op5"), table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label")
+    return found.withColumnRenamed("id", "vec_id")
+
+
 @register("op6_packing")
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of all documents packed into sequences of 4096."""
