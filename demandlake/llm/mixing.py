@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -18,6 +19,7 @@ SHARD_SLOTS = 8192  # slots an output shard has on average
 SEED = 20240101
 ROUNDS = 4
 EMIT = 1 << 16
+_WORDS = re.compile(WORD)
 
 
 def word_count(column: str = "text"):
@@ -191,3 +193,52 @@ def taken_words(work: Workspace, known: DataFrame, mixture: DataFrame) -> DataFr
     sums = mixture.groupBy("source_id", "at").agg(F.sum("length").alias("_taken"))
     own = F.when(F.col("size") > 0, F.coalesce("_taken", F.lit(0))).otherwise(0).cast("long")
     return known.join(sums, ["source_id", "at"], "left").withColumn("taken", own).drop("_taken")
+
+
+def mixed_documents(work: Workspace, docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """The mixture as rows of docs (doc_id, source, text, ...): a row per document and turn.
+
+    Its text is what that turn takes of the document: the text itself if that is all, else the
+    stretches of words taken, with what is between their words, joined by a line feed. A
+    document of which nothing is taken has no row; one of a repeated source may have two.
+    Rows that are alike in doc_id and text are rows each. Further columns pass.
+    """
+    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+    sized = keyed.select(F.col("_key").alias("doc_id"), "source", word_count().alias("size"))
+    _, mixture = mix(work, sized, weights, share, most)
+    turns = work.write(
+        mixture.groupBy(F.col("doc_id").alias("_key"), "source_id", "at", F.col("turn").alias("_turn"))
+        .agg(F.sort_array(F.collect_list(F.struct("start", "length"))).alias("_parts")).drop("source_id", "at"), "turns",
+    )
+    texts_of = keyed.join(turns.select("_key").distinct(), "_key", "left_semi")
+    repeats = work.write(texts_of.groupBy("_key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_key"), "repeats")
+    single = texts_of.join(repeats, "_key", "left_anti").unionByName(texts_of.join(repeats, "_key", "left_semi").dropDuplicates(["_key"]))
+    joined = single.join(turns, "_key").select(*docs.columns, "_parts")
+
+    names = docs.columns
+
+    def take(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [
+                taken_text(text or "", [(p["start"], p["length"]) for p in parts])
+                for text, parts in zip(batch.column("text").to_pylist(), batch.column("_parts").to_pylist(), strict=True)
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(out, pa.string()) if c == "text" else batch.column(c) for c in names], names
+            )
+
+    return joined.mapInArrow(take, docs.schema)
+
+
+def taken_text(text: str, parts: list[tuple[int, int]]) -> str:
+    """The words of sorted stretches (first word, number of words); stretches that meet are one."""
+    runs: list[list[int]] = []
+    for start, length in parts:
+        if runs and start <= runs[-1][1]:
+            runs[-1][1] = max(runs[-1][1], start + length)
+        else:
+            runs.append([start, start + length])
+    words = [m.span() for m in _WORDS.finditer(text)]
+    if runs == [[0, len(words)]]:
+        return text
+    return "\n".join(text[words[a][0] : words[b - 1][1]] for a, b in runs)

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from demandlake.llm.common import Workspace, partitions
 
@@ -365,11 +365,12 @@ def _union(spans: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(start[new].tolist(), reach[np.append(new[1:], len(start)) - 1].tolist(), strict=True))
 
 
-def remove_repeats(work: Workspace, docs: DataFrame, group_bytes: int = GROUP_BYTES) -> DataFrame:
+def remove_repeats(work: Workspace, docs: DataFrame, as_text: bool = False, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """Rows of docs (doc_id, text, ...) with kept, n_bytes, n_removed, n_spans.
 
     Each byte covered by a string of LENGTH bytes that also starts in a document with a smaller
-    doc_id is removed; ``kept`` is what remains, as bytes. Strings are those of the input, also
+    doc_id is removed; ``kept`` is what remains, as bytes, or with ``as_text`` as a text without the bytes
+    left of characters that a span cuts. Strings are those of the input, also
     where they overlap. Texts are whole and read as UTF-8, null as empty. Rows with one doc_id
     don't remove from each other; a null doc_id neither removes nor loses bytes. Rows stay as
     many as they are, further columns pass, columns with one of the four names are replaced.
@@ -386,7 +387,7 @@ def remove_repeats(work: Workspace, docs: DataFrame, group_bytes: int = GROUP_BY
     )
     spans = repeated_spans(work, keyed.select("_group", "_row", "_doc", "_text"), groups)
     passed = [f for f in base.schema.fields if f.name != "text"]
-    added = [StructField("kept", BinaryType()), *(StructField(n, LongType()) for n in ("n_bytes", "n_removed", "n_spans"))]
+    added = [StructField("kept", StringType() if as_text else BinaryType()), *(StructField(n, LongType()) for n in ("n_bytes", "n_removed", "n_spans"))]
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -416,11 +417,11 @@ def remove_repeats(work: Workspace, docs: DataFrame, group_bytes: int = GROUP_BY
                     at = b
                 kept.append(text[at:])
                 rest = b"".join(kept)
-                for name, value in (("kept", rest), ("n_bytes", len(text)), ("n_removed", len(text) - len(rest)), ("n_spans", len(runs))):
+                for name, value in (("kept", rest.decode("utf-8", "ignore") if as_text else rest), ("n_bytes", len(text)), ("n_removed", len(text) - len(rest)), ("n_spans", len(runs))):
                     out[name].append(value)
             rows = batch.filter(pa.array(~is_payload))
             yield pa.RecordBatch.from_arrays(
-                [*(rows.column(f.name) for f in passed), pa.array(out["kept"], pa.binary()),
+                [*(rows.column(f.name) for f in passed), pa.array(out["kept"], pa.string() if as_text else pa.binary()),
                  *(pa.array(out[n], pa.int64()) for n in ("n_bytes", "n_removed", "n_spans"))],
                 [*(f.name for f in passed), *out],
             )

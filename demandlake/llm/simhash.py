@@ -322,3 +322,95 @@ def near_duplicates(work: Workspace, docs: DataFrame, words: int, distance: int)
     lowest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = work.write(rooted.join(lowest, "root").select("code", "component_id"), "named")
     return join_equal(marked, named, ["code"])
+
+
+#: What the removal of near duplicates uses to find candidates: a word that differs changes two
+#: pairs of words but five shingles of five, so pairs keep similar documents closer.
+CANDIDATE_WORDS, CANDIDATE_DISTANCE, FORESTS = 2, 10, 4
+
+
+def shingle_set(text: bytes, words: int) -> bytes:
+    """A text's distinct shingles as sorted 64-bit hashes, packed."""
+    found = {xxhash.xxh64_intdigest(s, SEED) for s in shingles(text, words)}
+    return np.sort(np.fromiter(found, np.uint64, len(found))).tobytes()
+
+
+def jaccard(a: bytes, b: bytes) -> float:
+    """Shared share of two shingle sets; two without any word are alike."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    union = len(x) + len(y) - both
+    return both / union if union else 1.0
+
+
+def _alike(work: Workspace, docs: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of text hashes whose shingle sets are similar enough."""
+
+    def collect_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, values in texts(batches):
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([shingle_set(v, words) for v in values], pa.binary())], ["node", "shingles"]
+            )
+
+    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            same = [jaccard(x, y) >= similarity for x, y in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist(), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(same, pa.bool_()))
+
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = docs.join(needed, F.col("_node") == F.col("node"), "left_semi").groupBy("_node").agg(F.first("text").alias("text"))
+    sets = work.write(wanted.mapInArrow(collect_sets, "node long, shingles binary"), "shingles")
+    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("left"))
+    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("right"))
+    return pairs.join(left, "a").join(right, "b").mapInArrow(compare, "a long, b long")
+
+
+def drop_near_duplicates(
+    work: Workspace, docs: DataFrame, words: int = 5, similarity: float = 0.8, distance: int = CANDIDATE_DISTANCE
+) -> DataFrame:
+    """Rows of docs (doc_id, text, ...) less all but one of each group of near duplicates.
+
+    Candidates are texts whose fingerprints of word pairs differ in at most ``distance`` bits (a
+    few edge-disjoint spanning forests of these links, see ``links``); two are near duplicates
+    if their sets of ``words``-word shingles share at least ``similarity``. Groups are what such
+    pairs connect; the row of the smallest doc_id stays, of repeated rows one. Equal texts (by a
+    64-bit hash) are one node from the start. A null text counts as empty; empty texts are
+    copies of each other; a null doc_id stays only if its group has no other. Further columns
+    pass, an empty table gives no rows.
+    """
+    hashed = docs.withColumn("_node", F.xxhash64(F.coalesce("text", F.lit(""))))
+
+    def mark(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, values in texts(batches):
+            codes = np.array([fingerprint(v, CANDIDATE_WORDS) for v in values], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(codes)], ["doc_id", "node", "code"])
+
+    marked = work.write(
+        hashed.select(F.col("doc_id").cast("long"), F.col("_node").alias("node"), "text").mapInArrow(mark, "doc_id long, node long, code long"),
+        "marked",
+    )
+    nodes = work.write(marked.groupBy("node", "code").agg(F.min("doc_id").alias("first_id")), "nodes")
+    codes = work.write(nodes.groupBy("code").agg(F.min("node").alias("low"), F.max("node").alias("high")), "codes")
+    near = work.write(links(work, codes, distance, FORESTS), "near")
+    low = codes.select("code", "low")
+    between = (
+        near.join(low.select(F.col("code").alias("a"), F.col("low").alias("x")), "a")
+        .join(low.select(F.col("code").alias("b"), F.col("low").alias("y")), "b").select("x", "y")
+    )
+    within = nodes.join(codes.filter("low <> high"), "code")
+    pairs = between.union(within.select("node", "low")).union(within.select("node", "high")).toDF("x", "y").filter("x <> y")
+    pairs = work.write(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs")
+    alike = work.write(_alike(work, hashed, pairs, words, similarity), "alike")
+    roots = components(work, alike)
+    rooted = work.write(
+        nodes.join(roots.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left")
+        .select("node", "first_id", F.coalesce("root", "node").alias("root")), "rooted"
+    )
+    # The smallest id of a group, and of the texts that have it the one of the smallest hash.
+    best = rooted.groupBy("root").agg(F.min(F.struct(F.col("first_id").isNull().alias("late"), "first_id", "node")).alias("best"))
+    chosen = best.select(F.col("best.first_id").alias("doc_id"), F.col("best.node").alias("_node"))
+    repeats = marked.groupBy("doc_id", F.col("node").alias("_node")).agg(F.count(F.lit(1)).alias("_copies"))
+    stay = work.write(join_equal(chosen, repeats, ["doc_id", "_node"]), "stay")
+    once = join_equal(hashed, stay.filter("_copies = 1"), ["doc_id", "_node"])
+    one_of = join_equal(hashed, stay.filter("_copies > 1"), ["doc_id", "_node"]).dropDuplicates(["doc_id", "_node"])
+    return once.select(*docs.columns).unionByName(one_of.select(*docs.columns))
