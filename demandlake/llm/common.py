@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from demandlake.session import shared_folder
 
 RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH_BYTES, UNBOUNDED = "spark.sql.execution.arrow.maxBytesPerBatch", str((1 << 31) - 1)
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -30,6 +31,8 @@ class Workspace:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        if spark.conf.get(BATCH_BYTES, None) in (None, UNBOUNDED):
+            spark.conf.set(BATCH_BYTES, str(8 << 20))  # long texts must not make huge batches
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         """Write a table and return it as read from its files.

@@ -35,7 +35,7 @@ CONTEXT = LENGTH + WIDTH - 1  # bytes around a position: those of all strings th
 SEGMENT = 1 << 18
 CHUNK_BYTES = 4 << 20
 GROUP_BYTES = 24 << 20  # text of a group of documents
-TASK_BYTES = 12 << 20  # packed entries that a task holds
+TASK_BYTES = 8 << 20  # packed entries that a task holds, about
 SPREAD = 16  # a gram in more groups of a chunk than this is announced to all groups
 BATCH = 1 << 15  # strings in a batch of the index
 ONE, TWO, THREE = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
@@ -260,12 +260,11 @@ def repeated_spans(work: Workspace, docs: DataFrame, groups: int) -> DataFrame:
                     rows["left"] = np.minimum(place - begin, WIDTH - 1)
                     rows["right"] = np.minimum(ends[text] - place, LENGTH)
                     around = np.arange(CONTEXT) - (WIDTH - 1)
-                    for a in range(0, len(rows), 1 << 15):
-                        p = place[a : a + (1 << 15), None]
-                        where = p + around
-                        r = rows[a : a + (1 << 15)]
+                    for a in range(0, len(rows), 1 << 13):
+                        where = place[a : a + (1 << 13), None] + around
+                        r = rows[a : a + (1 << 13)]
                         inside = (around >= -r["left"].astype(np.int64)[:, None]) & (around < r["right"].astype(np.int64)[:, None])
-                        rows["bytes"][a : a + (1 << 15)] = np.where(inside, data[np.clip(where, 0, len(data) - 1)], 0)
+                        rows["bytes"][a : a + (1 << 13)] = np.where(inside, data[np.clip(where, 0, len(data) - 1)], 0)
                     yield _packed((gram * TWO >> np.uint64(33)) % np.uint64(owners), rows, ("bucket", "payload"))
 
     def match(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,7 +282,7 @@ def repeated_spans(work: Workspace, docs: DataFrame, groups: int) -> DataFrame:
         .mapInArrow(repeated, "group int, payload binary"), "repeated-grams",
     )
     keys = int(known.agg(F.sum(F.octet_length("payload")).alias("n")).first().n or 0) // 8
-    owners = max(spread, keys * ENTRY.itemsize // (2 * TASK_BYTES) + 1)
+    owners = max(spread, keys * ENTRY.itemsize // TASK_BYTES + 1)
     return work.write(
         _by_group(docs, known, groups).mapInArrow(ship, "bucket int, payload binary").repartition(owners, "bucket")
         .mapInArrow(match, "group int, payload binary"), "spans",
