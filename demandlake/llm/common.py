@@ -69,6 +69,17 @@ def join_equal(left: DataFrame, right: DataFrame, keys: list[str], how: str = "i
     return left.join(right, condition, how).drop(*[f"_r_{k}" for k in keys])
 
 
+def set_aside(df: DataFrame, named: list[str]) -> DataFrame:
+    """``named`` columns and a struct ``_rest`` of the others, whose names then clash with nothing."""
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in named]
+    return df.select(*named, (F.struct(*rest) if rest else F.lit(None).cast("int")).alias("_rest"))
+
+
+def put_back(df: DataFrame, columns: list[str], named: list[str], more: tuple[str, ...] = ()) -> DataFrame:
+    """The columns that ``set_aside`` packed, in the order they had, and ``more`` of df's."""
+    return df.select(*[F.col(c) if c in named else F.col("_rest").getField(c).alias(c) for c in columns], *more)
+
+
 def running_start(
     work: Workspace, df: DataFrame, group_by: list[str], order_by: list[str], weight: str | None, out: str
 ) -> DataFrame:

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from demandlake.llm.common import WORD, Workspace, join_equal, partitions, running_start
+from demandlake.llm.common import WORD, Workspace, join_equal, partitions, put_back, running_start, set_aside
 
 BLOCK = 128  # words in a block
 SHARD_SLOTS = 8192  # slots an output shard has on average
@@ -203,7 +203,8 @@ def mixed_documents(work: Workspace, docs: DataFrame, weights: tuple[int, ...] =
     document of which nothing is taken has no row; one of a repeated source may have two.
     Rows that are alike in doc_id and text are rows each. Further columns pass.
     """
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+    own = ["doc_id", "source", "text"]
+    keyed = set_aside(docs, own).withColumn("_key", F.xxhash64("doc_id", "text"))
     sized = keyed.select(F.col("_key").alias("doc_id"), "source", word_count().alias("size"))
     _, mixture = mix(work, sized, weights, share, most)
     turns = work.write(
@@ -213,7 +214,7 @@ def mixed_documents(work: Workspace, docs: DataFrame, weights: tuple[int, ...] =
     texts_of = keyed.join(turns.select("_key").distinct(), "_key", "left_semi")
     repeats = work.write(texts_of.groupBy("_key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_key"), "repeats")
     single = texts_of.join(repeats, "_key", "left_anti").unionByName(texts_of.join(repeats, "_key", "left_semi").dropDuplicates(["_key"]))
-    joined = single.join(turns, "_key").select(*docs.columns, "_parts")
+    joined = put_back(single.join(turns, "_key"), docs.columns, own, ("_parts",))
 
     names = docs.columns
 
@@ -221,7 +222,7 @@ def mixed_documents(work: Workspace, docs: DataFrame, weights: tuple[int, ...] =
         for batch in batches:
             out = [
                 taken_text(text or "", [(p["start"], p["length"]) for p in parts])
-                for text, parts in zip(batch.column("text").to_pylist(), batch.column("_parts").to_pylist(), strict=True)
+                for text, parts in zip(batch.column("text").to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True)
             ]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(out, pa.string()) if c == "text" else batch.column(c) for c in names], names

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from demandlake.llm.common import Workspace, partitions
+from demandlake.llm.common import Workspace, partitions, put_back, set_aside
 
 LENGTH = 50
 GRAM = 18
@@ -380,12 +380,13 @@ def remove_repeats(work: Workspace, docs: DataFrame, as_text: bool = False, grou
     size = base.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     groups = max(partitions(work.spark), int(size / group_bytes) + 1)
     row = F.xxhash64("doc_id", "text")
-    keyed = base.select(
-        *base.columns, F.pmod(row, F.lit(groups)).cast("int").alias("_group"), row.alias("_row"),
+    own = ["doc_id", "text"]
+    keyed = set_aside(base, own).select(
+        "doc_id", "_rest", F.pmod(row, F.lit(groups)).cast("int").alias("_group"), row.alias("_row"),
         F.col("doc_id").cast("long").alias("_doc"), F.col("text").cast("binary").alias("_text"),
     )
     spans = repeated_spans(work, keyed.select("_group", "_row", "_doc", "_text"), groups)
-    passed = [f for f in base.schema.fields if f.name != "text"]
+    passed = [keyed.schema["doc_id"], keyed.schema["_rest"]]
     added = [StructField("kept", StringType() if as_text else BinaryType()), *(StructField(n, LongType()) for n in ("n_bytes", "n_removed", "n_spans"))]
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -425,8 +426,8 @@ def remove_repeats(work: Workspace, docs: DataFrame, as_text: bool = False, grou
                 [*(f.name for f in passed), *out],
             )
 
-    placed = keyed.drop("text")
-    return _by_group(placed, spans, groups).mapInArrow(cut, StructType([*passed, *added]))
+    found = _by_group(keyed, spans, groups).mapInArrow(cut, StructType([*passed, *added]))
+    return put_back(found, [c for c in base.columns if c != "text"], own, tuple(f.name for f in added))
 
 
 def digest(kept: DataFrame) -> DataFrame:

@@ -57,10 +57,12 @@ def shard_rows(work: Workspace, df: DataFrame, key: str, order_by: list[str], sh
 
     The key and the number of shards decide; with one more shard, rows only move into that
     one. No ring or table is kept or sent. Slots come from range slices, so a shard's rows are
-    never in one task. Repeated rows get a slot each; an empty table gives no rows.
+    never in one task. Repeated rows get a slot each; a null key counts as 0; an empty table gives
+    no rows. Columns of the three names are replaced, others pass.
     """
-    placed = df.withColumn("_walk", jump_shards(F.col(key), shards)).select(
-        *df.columns, F.col("_walk.shard").alias("shard"), F.col("_walk.grown").alias("grown_shard")
-    )
-    placed = work.write(placed, "placed")
-    return running_start(work, placed, ["shard"], [key, *order_by], None, "slot")
+    base = df.drop("shard", "slot", "grown_shard")
+    keys = [F.col(c).alias(f"_order{n}") for n, c in enumerate([key, *order_by])]
+    placed = base.select(F.struct(*[F.col(f"`{c}`") for c in base.columns]).alias("_row"), *keys, jump_shards(F.col(key), shards).alias("_walk"))
+    placed = work.write(placed.select("_row", *[f"_order{n}" for n in range(len(keys))], "_walk.shard", F.col("_walk.grown").alias("grown_shard")), "placed")
+    slotted = running_start(work, placed, ["shard"], [f"_order{n}" for n in range(len(keys))], None, "slot")
+    return slotted.select("_row.*", "shard", "grown_shard", "slot")

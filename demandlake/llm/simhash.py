@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from demandlake.llm.common import Workspace, components, join_equal, partitions, texts
+from demandlake.llm.common import Workspace, components, join_equal, partitions, put_back, set_aside, texts
 
 SEED = 42
 BITS = 64
@@ -378,7 +378,8 @@ def drop_near_duplicates(
     copies of each other; a null doc_id stays only if its group has no other. Further columns
     pass, an empty table gives no rows.
     """
-    hashed = docs.withColumn("_node", F.xxhash64(F.coalesce("text", F.lit(""))))
+    own = ["doc_id", "text"]
+    hashed = set_aside(docs, own).withColumn("_node", F.xxhash64(F.coalesce("text", F.lit(""))))
 
     def mark(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, values in texts(batches):
@@ -413,4 +414,4 @@ def drop_near_duplicates(
     stay = work.write(join_equal(chosen, repeats, ["doc_id", "_node"]), "stay")
     once = join_equal(hashed, stay.filter("_copies = 1"), ["doc_id", "_node"])
     one_of = join_equal(hashed, stay.filter("_copies > 1"), ["doc_id", "_node"]).dropDuplicates(["doc_id", "_node"])
-    return once.select(*docs.columns).unionByName(one_of.select(*docs.columns))
+    return put_back(once.unionByName(one_of), docs.columns, own)
