@@ -40,7 +40,7 @@ SPREAD = 16  # a gram in more groups of a chunk than this is announced to all gr
 BATCH = 1 << 15  # strings in a batch of the index
 ONE, TWO, THREE = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 LETTERS = np.random.default_rng(50).integers(1, 1 << 63, 256, dtype=np.uint64)
-ENTRY = np.dtype([("gram", "<u8"), ("row", "<i8"), ("doc", "<i8"), ("pos", "<u4"), ("left", "u1"), ("right", "u1"), ("bytes", "u1", (CONTEXT,))])
+ENTRY = np.dtype([("row", "<i8"), ("doc", "<i8"), ("pos", "<u4"), ("left", "u1"), ("right", "u1"), ("bytes", "u1", (CONTEXT,))])
 SPAN = np.dtype([("row", "<i8"), ("start", "<u4"), ("end", "<u4")])
 
 
@@ -165,6 +165,35 @@ def _gathered(batches: Iterable[pa.RecordBatch], kind: np.dtype, column: int = 1
     return np.concatenate([np.zeros(0, kind), *[np.frombuffer(x, kind) for b in batches for x in b.column(column).to_pylist()]])
 
 
+def _press(entries: pa.RecordBatch) -> pa.RecordBatch:
+    """Entries with their payloads compressed: bytes around a position are text, and much of it."""
+    pressed = [len(x).to_bytes(4, "little") + pa.compress(x, codec="zstd", asbytes=True) for x in entries.column(1).to_pylist()]
+    return pa.RecordBatch.from_arrays([entries.column(0), pa.array(pressed, pa.binary())], entries.schema.names)
+
+
+def _unpress(payloads: list[bytes]) -> np.ndarray:
+    parts = [pa.decompress(x[4:], int.from_bytes(x[:4], "little"), codec="zstd", asbytes=True) for x in payloads]
+    return np.concatenate([np.zeros(0, ENTRY), *[np.frombuffer(x, ENTRY) for x in parts]])
+
+
+def _grams(rows: np.ndarray) -> np.ndarray:
+    """The hash of each entry's gram."""
+    out = [_hash_strings(LETTERS[rows["bytes"][a : a + (1 << 14), WIDTH - 1 : WIDTH - 1 + GRAM]], GRAM)[:, 0] for a in range(0, len(rows), 1 << 14)]
+    return np.concatenate([np.zeros(0, np.uint64), *out])
+
+
+def _surroundings(rows: np.ndarray) -> np.ndarray:
+    """A hash of the bytes around each entry's position."""
+    around = np.zeros((len(rows), 88), np.uint8)
+    around[:, :CONTEXT] = rows["bytes"]
+    around[:, CONTEXT], around[:, CONTEXT + 1] = rows["left"], rows["right"]
+    words = around.view("<u8")
+    out = np.zeros(len(rows), np.uint64)
+    for k in range(words.shape[1]):
+        out = _mix(out, words[:, k])
+    return out
+
+
 def _by_group(docs: DataFrame, payload: DataFrame, groups: int) -> DataFrame:
     """Documents and what is addressed to their group, the latter first, in the group's task."""
     left = docs.withColumn("_payload", F.lit(None).cast("binary"))
@@ -253,7 +282,6 @@ def repeated_spans(work: Workspace, docs: DataFrame, groups: int) -> DataFrame:
                         continue
                     begin = np.concatenate(([0], ends[:-1]))[text]
                     rows = np.zeros(len(place), ENTRY)
-                    rows["gram"] = gram
                     rows["row"] = chunk.column("_row").to_numpy(zero_copy_only=False)[text]
                     rows["doc"] = chunk.column("_doc").fill_null(0).to_numpy(zero_copy_only=False)[text]
                     rows["pos"] = place - begin
@@ -265,10 +293,10 @@ def repeated_spans(work: Workspace, docs: DataFrame, groups: int) -> DataFrame:
                         r = rows[a : a + (1 << 13)]
                         inside = (around >= -r["left"].astype(np.int64)[:, None]) & (around < r["right"].astype(np.int64)[:, None])
                         rows["bytes"][a : a + (1 << 13)] = np.where(inside, data[np.clip(where, 0, len(data) - 1)], 0)
-                    yield _packed((gram * TWO >> np.uint64(33)) % np.uint64(owners), rows, ("bucket", "payload"))
+                    yield _press(_packed((gram * TWO >> np.uint64(33)) % np.uint64(owners), rows, ("bucket", "payload")))
 
     def match(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = _gathered(batches, ENTRY)
+        rows = _unpress([x for b in batches for x in b.column(1).to_pylist()])
         if not len(rows):
             return
         for to, spans in _matches(rows, groups):
@@ -291,8 +319,10 @@ def repeated_spans(work: Workspace, docs: DataFrame, groups: int) -> DataFrame:
 
 def _matches(rows: np.ndarray, groups: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(group, spans) of one owner's entries."""
-    rows = rows[np.lexsort((rows["row"], rows["doc"], rows["gram"]))]
-    gram, doc = rows["gram"], rows["doc"]
+    gram = _grams(rows)
+    order = np.lexsort((rows["row"], rows["doc"], gram))
+    rows, gram = rows[order], gram[order]
+    doc = rows["doc"]
     first = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1])))
     lowest = np.repeat(doc[first], np.diff(np.append(first, len(gram))))
     later = doc > lowest  # a document with a smaller id holds the gram
@@ -301,13 +331,7 @@ def _matches(rows: np.ndarray, groups: int) -> Iterator[tuple[np.ndarray, np.nda
     if not len(rows):
         return
     # Entries with the same bytes around them: all but the smallest document's are repeats in full.
-    around = np.zeros((len(rows), 88), np.uint8)
-    around[:, :CONTEXT] = rows["bytes"]
-    around[:, CONTEXT], around[:, CONTEXT + 1] = rows["left"], rows["right"]
-    words = around.view("<u8")
-    same = rows["gram"].copy()
-    for k in range(words.shape[1]):
-        same = _mix(same, words[:, k])
+    same = _surroundings(rows)
     keys, smallest = _smallest(same, doc)
     own = smallest[np.searchsorted(keys, same)] == doc
     right, left, pos = rows["right"].astype(np.int64), rows["left"].astype(np.int64), rows["pos"].astype(np.int64)
