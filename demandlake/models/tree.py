@@ -50,13 +50,15 @@ def frame(
     wide = positions(target_features(features.select("sku", date, target, *regressors), cfg, target, date), date).withColumns(
         {
             "month": F.month(date).cast("double"),
-            "scale": F.greatest(F.avg(y).over(upto.rowsBetween(Window.unboundedPreceding, -1)), F.lit(1e-9)),
+            "_past": F.avg(y).over(upto.rowsBetween(Window.unboundedPreceding, -1)),
             "_d": F.abs(y - F.lag(y, season).over(w)),
             "ahead": F.array(*[F.lead(y, h).over(w) for h in range(1, horizon + 1)]),
             "ahead_dates": F.array(*[F.lead(date, h).over(w) for h in range(1, horizon + 1)]),
         }
     ).withColumn("mase_scale", F.nullif(F.avg("_d").over(upto), F.lit(0.0)))
-    complete = F.lit(True)
+    # Without past demand there is nothing to scale by: such rows keep their units and teach nothing.
+    wide = wide.withColumn("scale", F.when(F.col("_past") > 0, F.col("_past")).otherwise(1.0))
+    complete = F.coalesce(F.col("_past") > 0, F.lit(False))
     for c in names:
         complete = complete & F.col(c).isNotNull()
     scaled = {c: F.coalesce(F.col(c) / F.col("scale"), F.lit(0.0)) for c in _levels(cfg)}

@@ -30,7 +30,10 @@ def slope_contributions(df: DataFrame, drivers: Sequence[str], target: str = "mo
 
 
 def regression_importance(df: DataFrame, drivers: Sequence[str], target: str = "monthly_demand") -> DataFrame:
-    """|coefficient| of every regression term with standard error and p-value, per series."""
+    """|coefficient| of every regression term with standard error and p-value, per series.
+
+    Rows without the target or a driver are left out of the fit.
+    """
     names = list(drivers)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -41,7 +44,7 @@ def regression_importance(df: DataFrame, drivers: Sequence[str], target: str = "
         })
         return out.astype(object).where(out.notna(), None)
 
-    return df.select("sku", target, *names).groupBy("sku").applyInPandas(run, IMPORTANCE)
+    return df.select("sku", target, *names).dropna().groupBy("sku").applyInPandas(run, IMPORTANCE)
 
 
 def structural_importance(

@@ -49,11 +49,11 @@ def driver_features(drivers: DataFrame, cfg: FeatureConfig | None = None, date:
     return base.select("*", *lagged)
 
 
-def feature_table(demand: DataFrame, calendar: DataFrame, drivers: DataFrame, date: str = MONTH, check: bool = False) -> DataFrame:
+def feature_table(demand: DataFrame, calendar: DataFrame, drivers: DataFrame, date: str = MONTH, check: bool = True) -> DataFrame:
     """Demand left-joined with calendar and driver features by month.
 
     Both right sides hold one row per month, so they are broadcast; ``check`` verifies
-    that uniqueness with one small aggregate each.
+    that uniqueness with one small aggregate each and raises if rows would multiply.
     """
     if check:
         assert_unique(calendar, [date], "calendar features")
@@ -173,5 +173,6 @@ def weekly_features(
             MONTH: F.trunc("week_start_date", "MM"),
         }
     )
+    assert_unique(drivers, [MONTH], "driver features")
     joined = with_calendar.join(F.broadcast(drivers.select(MONTH, *columns)), MONTH, "left").drop(MONTH)
     return joined.dropna()

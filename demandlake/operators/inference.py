@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,8 +11,10 @@ from pyspark.sql import functions as F
 from demandlake.config import FORECAST_COLUMNS, InferenceConfig
 from demandlake.contracts import ContractError, check_forecast_schema
 
-# Two-sided normal quantiles by confidence level.
-NORMAL_QUANTILES = {0.80: 1.2815515655446004, 0.90: 1.6448536269514722, 0.95: 1.959963984540054}
+
+def normal_quantile(confidence: float) -> float:
+    """Two-sided normal quantile of any confidence level between 0 and 1."""
+    return NormalDist().inv_cdf((1 + confidence) / 2)
 
 
 def residual_spread(predictions: DataFrame, keys: Sequence[str] = ("sku", "family", "candidate_id")) -> DataFrame:
@@ -25,7 +28,7 @@ def add_intervals(forecasts: DataFrame, spread: DataFrame, confidence: float = 0
     Steps beyond the backtest use the spread of its last step. Without a spread the
     bounds are null.
     """
-    z = NORMAL_QUANTILES[confidence]
+    z = normal_quantile(confidence)
     wide = forecasts.withColumn("horizon_step", F.least("horizon", F.lit(max_step)))
     joined = wide.join(spread, [*keys, "horizon_step"], "left")
     return joined.withColumns(

@@ -85,8 +85,8 @@ def mask_demand(
     """
     name = strip(F.col("SKU"))
     first = raw.filter(name.isNotNull()).groupBy(name.alias("_name")).agg(
-        *[F.min(c).alias(f"_first_{i}") for i, c in enumerate(order_by)]
-    )
+        F.min(F.struct(*[F.col(c).alias(f"_first_{i}") for i, c in enumerate(order_by)])).alias("_first")
+    ).select("_name", "_first.*")
     keys = [f"_first_{i}" for i in range(len(order_by))] + ["_name"]
     numbered = running_total(first.withColumn("_one", F.lit(1)), keys, "_one", "_before").select(
         "_name", F.concat(F.lit(prefix), (F.col("_before") + 1).cast("string")).alias("_masked")

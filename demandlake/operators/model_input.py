@@ -131,17 +131,17 @@ def future_frame(
 ) -> DataFrame:
     """One row per item and future month with regressors and month number, never the target.
 
-    The months come as a bounded array on each item row, so no cross join is planned;
-    their regressors (at most ``horizon`` rows) are broadcast.
+    An item's months follow its own last one, which is where its forecast steps start. They
+    come as a bounded array on each item row, so no cross join is planned; the regressors of
+    all items' months, as many as the calendar has, are broadcast.
     """
-    months = future_months(demand, horizon, date)
+    items = demand.groupBy("sku").agg(F.max(date).alias("_last"))
+    rows = items.select("sku", F.explode(following_months(F.col("_last"), horizon)).alias(date))
+    months = rows.select(date).distinct()
     wanted = [c for c in regressors if c in drivers.columns]
     if strict:
         require_drivers(months, drivers, wanted, date)
     values = months.join(extend_calendar(calendar, months), date, "left").join(drivers, date, "left").select(date, *regressors)
-    last = demand.agg(F.max(date)).first()[0]
-    items = demand.select("sku").distinct()
-    rows = items.select("sku", F.explode(following_months(F.lit(last), horizon)).alias(date))
     frame = rows.join(F.broadcast(values), date, "left").select(date, "sku", *regressors, F.month(date).alias("month"))
     return check_schema(frame, TableSpec("future frame", required=(date, "sku", *regressors, "month"), forbidden=(target,)))
 

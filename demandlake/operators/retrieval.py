@@ -58,13 +58,14 @@ def chunk(docs: DataFrame, size: int = 900, overlap: int = 120, text: str = "tex
     lengths = stage(docs.select(source, doc_id, word_count(F.col(text)).alias("_n")))
     counts = lengths.select(source, doc_id, chunk_count(F.col("_n"), size, overlap).alias("n_chunks")).filter("n_chunks > 0")
     offsets = running_total(counts, [doc_id], "n_chunks", "_before", [source]).select(source, doc_id, "n_chunks", "_before")
-    split = docs.join(offsets, [source, doc_id]).withColumn("_w", words(F.col(text)))
-    pos = split.select(source, doc_id, "_w", "_before", F.explode(F.sequence(F.lit(0), (F.col("n_chunks") - 1).cast("int"))).alias("_i"))
-    return pos.select(
-        source,
-        doc_id,
-        (F.col("_before") + F.col("_i")).alias("chunk_id"),
-        F.array_join(F.slice("_w", F.col("_i") * (size - overlap) + 1, size), " ").alias("text"),
+    right = offsets.select(F.col(source).alias("_source"), F.col(doc_id).alias("_doc_id"), "n_chunks", "_before")
+    same = F.col(source).eqNullSafe(F.col("_source")) & F.col(doc_id).eqNullSafe(F.col("_doc_id"))
+    placed = docs.select(source, doc_id, words(F.col(text)).alias("_w")).join(right, same)
+    starts = F.sequence(F.lit(1), (F.col("n_chunks") - 1).cast("int") * (size - overlap) + 1, F.lit(size - overlap))
+    # The slices are cut ahead of the explode, which would copy all words for every chunk.
+    cut = placed.select(source, doc_id, "_before", F.transform(starts, lambda s: F.array_join(F.slice("_w", s, size), " ")).alias("_chunks"))
+    return cut.select(source, doc_id, "_before", F.posexplode("_chunks").alias("_i", "text")).select(
+        source, doc_id, (F.col("_before") + F.col("_i")).alias("chunk_id"), "text"
     )
 
 
@@ -238,10 +239,10 @@ def business_columns(df: DataFrame) -> DataFrame:
 def evidence(questions: DataFrame, context: DataFrame, passages: DataFrame, scenarios: DataFrame, question_id: str = "question_id") -> DataFrame:
     """One nested record per question: text, history, passages and scenario rows.
 
-    ``scenarios`` is the bounded set of future rows all questions share (one per month).
+    ``scenarios`` are the future rows all questions share, one per month, all of them in order.
     """
     hits = passages.groupBy(question_id).agg(F.array_sort(F.collect_list(F.struct("place", "vec_id", "score"))).alias("passages"))
-    shared = scenarios.limit(24).agg(F.collect_list(F.struct(*[F.col(f"`{c}`") for c in scenarios.columns])).alias("scenarios"))
+    shared = scenarios.agg(F.array_sort(F.collect_list(F.struct(*[F.col(f"`{c}`") for c in scenarios.columns]))).alias("scenarios"))
     return (
         questions.join(context.select(question_id, "history"), question_id, "left")
         .join(hits, question_id, "left")

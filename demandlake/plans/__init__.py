@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from demandlake.plans import backtest, features, hierarchy, ingestion, model_input, modelling, retrieval  # noqa: F401
-from demandlake.plans.registry import ORACLES, QUERIES, Query, complete
+from demandlake.plans.registry import AS_OF, ORACLES, QUERIES, Query, complete
 
 
 def queries() -> dict[str, Query]:
@@ -11,4 +11,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: complete(sql) for name, sql in ORACLES.items()}
+    return {name: complete(sql, AS_OF.get(name)) for name, sql in ORACLES.items()}

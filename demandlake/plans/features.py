@@ -70,6 +70,8 @@ SELECT *, round(pow(expected_share, 1.5), 9) AS market_share_stress,
 """)
 _LAGGED = [f"COALESCE(lag({c}, {n}) OVER (ORDER BY month_start_date), 0) AS {c}_lag_{n}" for n in (1, 2)
            for c in ("supply_limited", "substitute_limited", "promo_target", "expected_share", "market_share_stress", "market_share_uplift")]
+shared("s_planned", "SELECT * REPLACE (CAST(month_start_date + INTERVAL 18 MONTH AS DATE) AS month_start_date) FROM s_drivers")
+shared("s_planned_features", "SELECT * REPLACE (CAST(month_start_date + INTERVAL 18 MONTH AS DATE) AS month_start_date) FROM s_driver_features")
 shared("s_driver_features", f"SELECT *, {', '.join(_LAGGED)} FROM s_driver_base")
 shared("s_features", """
 SELECT m.sku, m.monthly_demand, c.*, d.* EXCLUDE (month_start_date)

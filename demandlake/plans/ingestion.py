@@ -15,7 +15,6 @@ DRIVER_NAMES = ("supply_limited", "substitute_limited", "promo_target", "expecte
 shared("s_lines", """
 SELECT p.p_brand AS sku, CAST(l.l_shipdate AS DATE) AS date, l.l_quantity AS quantity, l.l_returnflag
 FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey
-WHERE l.l_shipdate < TIMESTAMP '2000-07-01'
 """)
 shared("s_daily", "SELECT sku, date, SUM(quantity) AS daily_demand FROM s_lines GROUP BY sku, date")
 shared("s_monthly", """

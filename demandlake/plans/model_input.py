@@ -21,7 +21,8 @@ from demandlake.sources import series
 
 MONTH = "month_start_date"
 REGRESSORS = ("business_days", "supply_limited", "supply_limited_lag_1", "promo_target", "market_share_stress")
-GENERATED = "2000-07-01T00:00:00"
+GENERATED = "2001-12-01T00:00:00"
+AS_OF = "2000-07-01"  # the holdout queries forecast from here and compare with what came after
 
 
 def holes(df):
@@ -42,16 +43,20 @@ shared("s_last", "SELECT MAX(month_start_date) AS last FROM s_monthly")
 shared("s_future", """
 SELECT unnest(generate_series(last + INTERVAL 1 MONTH, last + INTERVAL 12 MONTH, INTERVAL 1 MONTH))::DATE AS month_start_date FROM s_last
 """)
+shared("s_item_last", "SELECT sku, MAX(month_start_date) AS last FROM s_monthly GROUP BY 1")
+shared("s_item_future", """
+SELECT sku, unnest(generate_series(last + INTERVAL 1 MONTH, last + INTERVAL 12 MONTH, INTERVAL 1 MONTH))::DATE AS month_start_date FROM s_item_last
+""")
 shared("s_future_days", """
 SELECT month_start_date, unnest(generate_series(month_start_date, last_day(month_start_date), INTERVAL 1 DAY))::DATE AS day FROM s_future
 """)
-# Computus with Easter Sundays of the two future years written out: 2000-04-23 and 2001-04-15.
+# Computus with Easter Sundays of the two future years written out: 2001-04-15 and 2002-03-31.
 shared("s_future_holidays", """
 SELECT CASE WHEN moved THEN CAST(date_trunc('week', d + 6) AS DATE) ELSE d END AS date FROM (
-  SELECT make_date(y, mo, dd) AS d, moved FROM (VALUES (2000), (2001)) t(y), (VALUES
+  SELECT make_date(y, mo, dd) AS d, moved FROM (VALUES (2001), (2002)) t(y), (VALUES
     (1, 1, FALSE), (1, 6, TRUE), (3, 19, TRUE), (5, 1, FALSE), (6, 29, TRUE), (7, 20, FALSE), (8, 7, FALSE), (8, 15, TRUE),
     (10, 12, TRUE), (11, 1, TRUE), (11, 11, TRUE), (12, 8, FALSE), (12, 25, FALSE)) h(mo, dd, moved))
-UNION SELECT e + o FROM (VALUES (DATE '2000-04-23'), (DATE '2001-04-15')) t(e), (VALUES (-3), (-2), (43), (64), (71)) h(o)
+UNION SELECT e + o FROM (VALUES (DATE '2001-04-15'), (DATE '2002-03-31')) t(e), (VALUES (-3), (-2), (43), (64), (71)) h(o)
 """)
 shared("s_future_calendar", """
 SELECT month_start_date, COUNT(*) FILTER (WHERE isodow(day) <= 5 AND NOT off) AS business_days, COUNT(*) FILTER (WHERE off) AS total_holidays
@@ -91,7 +96,7 @@ def p17_structural_input(spark, sf_dir):
 @query("p17_tree_input", """
 SELECT f.month_start_date, f.monthly_demand, f.sku, CAST(month(f.month_start_date) AS BIGINT) AS month, f.promo_target,
   t.demand_lag_1, round(t.rolling_mean_3, 6) AS rolling_mean_3, t.demand_diff_12, round(t.demand_pct_change_1, 6) AS demand_pct_change_1,
-  CASE WHEN month(f.month_start_date) = 6 THEN 1 ELSE 0 END AS is_missing_supply_limited
+  CASE WHEN month(f.month_start_date) = 6 OR f.supply_limited IS NULL THEN 1 ELSE 0 END AS is_missing_supply_limited
 FROM s_features f JOIN s_target t ON f.sku = t.sku AND f.month_start_date = t.month_start_date
 """)
 def p17_tree_input(spark, sf_dir):
@@ -115,12 +120,12 @@ def p28_missingness_flags(spark, sf_dir):
 
 @query("p30_driver_gaps", """
 SELECT month_start_date FROM (SELECT unnest(generate_series(last + INTERVAL 1 MONTH, last + INTERVAL 24 MONTH, INTERVAL 1 MONTH))::DATE AS month_start_date FROM s_last)
-WHERE month_start_date NOT IN (SELECT month_start_date FROM s_drivers)
+WHERE month_start_date NOT IN (SELECT month_start_date FROM s_planned)
 """)
 def p30_driver_gaps(spark, sf_dir):
     """Months of the next two years that the driver plan does not reach."""
     months = mi.future_months(series.demand_months(spark, sf_dir), 24)
-    return mi.driver_gaps(months, series.driver_months(spark, sf_dir), ["promo_target"]).select(MONTH)
+    return mi.driver_gaps(months, series.planned_drivers(spark, sf_dir), ["promo_target"]).select(MONTH)
 
 
 @query("p36_series_info", """
@@ -146,22 +151,23 @@ def p36_autoregressive_input(spark, sf_dir):
     return mi.autoregressive_input(stage(holes(feature_frame(spark, sf_dir))), ["supply_limited", "promo_target"], exog_nulls="drop")
 
 
-@query("j3_future_drivers", f"SELECT f.month_start_date, {_r(['supply_limited', 'promo_target', 'expected_share'])} FROM s_future f LEFT JOIN s_drivers d ON d.month_start_date = f.month_start_date")
+@query("j3_future_drivers", f"SELECT f.month_start_date, {_r(['supply_limited', 'promo_target', 'expected_share'])} FROM s_future f LEFT JOIN s_planned d ON d.month_start_date = f.month_start_date")
 def j3_future_drivers(spark, sf_dir):
     """Future months with driver values."""
     months = mi.future_months(series.demand_months(spark, sf_dir), 12)
-    return rounded(mi.future_drivers(months, series.driver_months(spark, sf_dir)).drop("substitute_limited"))
+    return rounded(mi.future_drivers(months, series.planned_drivers(spark, sf_dir)).drop("substitute_limited"))
 
 
 @query("j4_future_frame", f"""
 SELECT c.month_start_date, i.sku, c.business_days, c.total_holidays, {_r(['supply_limited', 'supply_limited_lag_1', 'market_share_stress'])},
        CAST(month(c.month_start_date) AS INTEGER) AS month
-FROM (SELECT DISTINCT sku FROM s_monthly) i JOIN s_future_calendar c ON TRUE LEFT JOIN s_driver_features d ON d.month_start_date = c.month_start_date
+FROM s_item_future i JOIN (SELECT month_start_date, business_days, total_holidays FROM s_calendar UNION ALL SELECT * FROM s_future_calendar) c
+  ON c.month_start_date = i.month_start_date LEFT JOIN s_planned_features d ON d.month_start_date = c.month_start_date
 """)
 def j4_future_frame(spark, sf_dir):
-    """Every item with the twelve future months and their regressors."""
+    """Every item with the twelve months after its last one, and their regressors."""
     demand = stage(series.demand_months(spark, sf_dir))
-    drivers = feat.driver_features(series.driver_months(spark, sf_dir))
+    drivers = feat.driver_features(series.planned_drivers(spark, sf_dir))
     regressors = ["business_days", "total_holidays", "supply_limited", "supply_limited_lag_1", "market_share_stress"]
     return rounded(mi.future_frame(demand, cal.calendar_features(demand), drivers, regressors, 12))
 
@@ -177,21 +183,21 @@ def u1_extended_calendar(spark, sf_dir):
 
 shared("s_naive_future", """
 SELECT m.sku, (m.month_start_date + INTERVAL 12 MONTH)::DATE AS date, CAST(datediff('month', last, m.month_start_date) + 12 AS BIGINT) AS horizon, m.monthly_demand AS forecast
-FROM s_monthly m, s_last WHERE m.month_start_date > last - INTERVAL 12 MONTH
+FROM s_monthly m JOIN s_item_last l ON l.sku = m.sku WHERE m.month_start_date > last - INTERVAL 12 MONTH
 """)
 shared("s_naive1_future", """
 SELECT m.sku, f.month_start_date AS date, CAST(datediff('month', last, f.month_start_date) AS BIGINT) AS horizon, m.monthly_demand AS forecast
-FROM s_monthly m, s_last, s_future f WHERE m.month_start_date = last
+FROM s_monthly m JOIN s_item_last l ON l.sku = m.sku JOIN s_item_future f ON f.sku = m.sku WHERE m.month_start_date = last
 """)
 
 
 @query("j10_reattach", """
-SELECT n.sku, n.date AS month_start_date, n.forecast, d.promo_target FROM s_naive_future n LEFT JOIN s_drivers d ON d.month_start_date = n.date
+SELECT n.sku, n.date AS month_start_date, n.forecast, d.promo_target FROM s_naive_future n LEFT JOIN s_planned d ON d.month_start_date = n.date
 """)
 def j10_reattach(spark, sf_dir):
     """Forecasts with frame columns brought back by (item, date)."""
     demand = stage(series.demand_months(spark, sf_dir))
-    frame = mi.future_frame(demand, cal.calendar_features(demand), series.driver_months(spark, sf_dir), ["promo_target"], 12)
+    frame = mi.future_frame(demand, cal.calendar_features(demand), series.planned_drivers(spark, sf_dir), ["promo_target"], 12)
     preds = baseline.forecast(demand, 12, 12).select("sku", F.col("date").alias(MONTH), "forecast")
     return mi.reattach(preds, frame, ["promo_target"])
 
@@ -230,9 +236,9 @@ def champions(spark, sf_dir, history):
     return champs, preds
 
 
-def forecast_table(spark, sf_dir, run_id="run-1"):
+def forecast_table(spark, sf_dir, run_id="run-1", as_of=None):
     """Champion forecasts in the canonical schema, one copy per horizon table."""
-    history = stage(series.demand_months(spark, sf_dir))
+    history = stage(series.demand_months(spark, sf_dir, end=as_of))
     champs, preds = champions(spark, sf_dir, history)
     both = [baseline.forecast(history, 12, s).withColumn("candidate_id", F.lit(f"naive_{s}")) for s in (1, 12)]
     core = inf.dispatch(inf.check_families(champs), {"baseline": both[0].unionByName(both[1])})
@@ -261,7 +267,7 @@ LEFT JOIN s_sigma s ON s.sku = f.sku AND s.candidate_id = f.c AND s.horizon_step
 
 @query("m15_canonical_forecast", """
 SELECT date, forecast, round(lo, 6) AS forecast_lower, round(hi, 6) AS forecast_upper, 'baseline' AS model_family, 'monthly' AS granularity, horizon,
-  t || 'm' AS horizon_label, '2000-07-01T00:00:00' AS forecast_generated_at, champion_id, 'wmape' AS selection_metric, wmape AS selection_metric_value, sku,
+  t || 'm' AS horizon_label, '2001-12-01T00:00:00' AS forecast_generated_at, champion_id, 'wmape' AS selection_metric, wmape AS selection_metric_value, sku,
   TRUE AS has_prediction_interval, 'residual_normal' AS interval_method, 'run-1' AS run_id, 'monthly_future_' || t || 'm' AS source_dataset
 FROM s_champ_fc JOIN (VALUES (3), (6), (12)) h(t) ON horizon <= t
 """)
@@ -277,7 +283,7 @@ def m16_intervals(spark, sf_dir):
     """Residual spread and half width of a 90 % band per step."""
     preds = baseline.backtest(series.demand_months(spark, sf_dir), BacktestConfig(), seasons=(1, 12), level=False)
     s = inf.residual_spread(preds).drop("family")
-    return rounded(s.withColumn("half_width", F.col("sigma") * inf.NORMAL_QUANTILES[0.90]))
+    return rounded(s.withColumn("half_width", F.col("sigma") * inf.normal_quantile(0.90)))
 
 
 @query("interval_coverage", """
@@ -289,7 +295,7 @@ def interval_coverage(spark, sf_dir):
     from demandlake.operators import metrics as met
 
     preds = stage(baseline.backtest(series.demand_months(spark, sf_dir), BacktestConfig(), seasons=(1, 12), level=False))
-    z, keys = inf.NORMAL_QUANTILES[0.90], ["sku", "family", "candidate_id", "horizon_step"]
+    z, keys = inf.normal_quantile(0.90), ["sku", "family", "candidate_id", "horizon_step"]
     banded = preds.join(inf.residual_spread(preds), keys)
     lo, hi = F.col("y_pred") - z * F.col("sigma"), F.col("y_pred") + z * F.col("sigma")
     return rounded(banded.groupBy("horizon_step").agg(met.coverage(F.col("y_true"), lo, hi).alias("coverage")))
@@ -370,7 +376,8 @@ def p34_champion_identity(spark, sf_dir):
 
 @query("p34_identity_from_records", """
 SELECT p.sku, p.family AS model_family, p.candidate_id AS champion_id, 'wmape' AS selection_metric, p.wmape AS selection_metric_value,
-  DATE '2000-06-01' AS training_cutoff, 'run-1' AS run_id, TRUE AS has_prediction_interval, 'residual_normal' AS interval_method FROM s_prod p
+  l.last AS training_cutoff, 'run-1' AS run_id, TRUE AS has_prediction_interval, 'residual_normal' AS interval_method
+FROM s_prod p JOIN s_item_last l ON l.sku = p.sku
 """)
 def p34_identity_from_records(spark, sf_dir):
     """Identity of every champion from its champion, inference and selection records."""
@@ -415,23 +422,23 @@ def p23_chart_names(spark, sf_dir):
 
 
 def artifact(spark, sf_dir):
-    """Nested artifacts of the champions, with the holdout year's actuals."""
+    """Nested artifacts of the champions as of AS_OF, with the actuals that came after."""
     from demandlake.operators import metrics as met
 
-    history = stage(series.demand_months(spark, sf_dir))
+    history = stage(series.demand_months(spark, sf_dir, end=AS_OF))
     champs, preds = champions(spark, sf_dir, history)
     results = inf.backtest_results(preds, met.pooled_metrics(met.cycle_metrics(preds), with_std=False))
     mine = results.withColumnRenamed("candidate_id", "champion_id").join(champs.select("sku", "champion_id"), ["sku", "champion_id"])
-    holdout = series.demand_months(spark, sf_dir, series.HISTORY_END, series.HOLDOUT_END).select("sku", F.col(MONTH).alias("date"), F.col("monthly_demand").alias("y_actual"))
-    return inf.forecast_artifact(forecast_table(spark, sf_dir).filter("horizon_label = '12m'"), holdout, mine, GENERATED)
+    holdout = series.demand_months(spark, sf_dir, start=AS_OF).select("sku", F.col(MONTH).alias("date"), F.col("monthly_demand").alias("y_actual"))
+    return inf.forecast_artifact(forecast_table(spark, sf_dir, as_of=AS_OF).filter("horizon_label = '12m'"), holdout, mine, GENERATED)
 
 
 @query("forecast_records", """
 SELECT f.sku, f.date AS ds, a.y AS y_actual, f.forecast AS y_forecast, round(f.lo, 6) AS y_lower, f.champion_id AS model_name, f.horizon AS horizon_step
 FROM s_champ_fc f LEFT JOIN (
   SELECT p_brand AS sku, date_trunc('month', l_shipdate)::DATE AS m, SUM(l_quantity) AS y FROM lineitem JOIN part ON l_partkey = p_partkey
-  WHERE l_shipdate >= TIMESTAMP '2000-07-01' AND l_shipdate < TIMESTAMP '2001-07-01' GROUP BY 1, 2) a ON a.sku = f.sku AND a.m = f.date
-""")
+  WHERE l_shipdate >= TIMESTAMP '2000-07-01' GROUP BY 1, 2) a ON a.sku = f.sku AND a.m = f.date
+""", as_of=AS_OF)
 def forecast_records(spark, sf_dir):
     """The forecast records inside the artifacts, flat, beside the holdout's actuals."""
     flat = artifact(spark, sf_dir).select("sku", F.inline("forecast_records"))
@@ -442,7 +449,7 @@ def forecast_records(spark, sf_dir):
 SELECT b.sku, b.champion_id AS model_name, round(m.mape, 6) AS mape, round(p.rmse, 6) AS rmse, round(p.mase, 6) AS mase, p.n_cycles AS n_folds, CAST(3 AS INTEGER) AS horizon
 FROM s_two_best b JOIN s_pool p ON p.sku = b.sku AND p.candidate_id = b.champion_id
 JOIN (SELECT sku, candidate_id, avg(CASE WHEN y_true <> 0 THEN abs((y_true - y_pred) / y_true) END) AS mape FROM s_pred GROUP BY 1, 2) m ON m.sku = b.sku AND m.candidate_id = b.champion_id
-""")
+""", as_of=AS_OF)
 def backtest_records(spark, sf_dir):
     """The backtest record inside the artifacts, flat."""
     return rounded(artifact(spark, sf_dir).select("sku", "model_name", "backtest_result.*"))

@@ -188,7 +188,7 @@ def m12_registered_refit(spark, sf_dir):
 
 def future(spark, sf_dir, hist, horizon=12):
     """Future frame with DOUBLE regressors."""
-    drivers = feat.driver_features(series.driver_months(spark, sf_dir))
+    drivers = feat.driver_features(series.planned_drivers(spark, sf_dir))
     frame = mi.future_frame(hist.select("sku", "month_start_date", "monthly_demand"), cal.calendar_features(hist), drivers, list(REGRESSORS), horizon)
     return frame.select("sku", "month_start_date", *[F.col(c).cast("double").alias(c) for c in REGRESSORS])
 
@@ -232,7 +232,7 @@ def m14_dispatched_forecast(spark, sf_dir):
         "tree": trees,
     })
     table = inf.by_horizon(core).withColumns({"forecast_lower": F.lit(None).cast("double"), "forecast_upper": F.lit(None).cast("double")})
-    return rounded(inf.canonical(inf.clip_negative(table, ("sku", "horizon_label")), "run-1", "2000-07-01T00:00:00", "monthly_future"))
+    return rounded(inf.canonical(inf.clip_negative(table, ("sku", "horizon_label")), "run-1", "2001-12-01T00:00:00", "monthly_future"))
 
 
 @query("io5_model_store")
@@ -280,24 +280,30 @@ def contributions(spark, sf_dir):
     return explain.contribution_importance(explain.slope_contributions(df, ["business_days", "expected_share", "promo_target"]))
 
 
-@query("a26_contribution_importance", "SELECT sku, feature, round(importance, 6) AS importance FROM s_importance")
+def nudged(df):
+    """Rounded importances. Means of whole numbers often end halfway between two roundings, where
+    the last bit would decide; a little more than half on both sides settles that."""
+    return df.withColumn("importance", F.round(F.col("importance") + 1e-9, 6))
+
+
+@query("a26_contribution_importance", "SELECT sku, feature, round(importance + 1e-9, 6) AS importance FROM s_importance")
 def a26_contribution_importance(spark, sf_dir):
     """Mean absolute centred contribution of three drivers."""
-    return rounded(contributions(spark, sf_dir))
+    return nudged(contributions(spark, sf_dir))
 
 
 @query("w17_importance_rank", """
-SELECT sku, 'structural' AS family, feature, importance, CAST(row_number() OVER (PARTITION BY sku ORDER BY importance DESC, feature) AS INTEGER) AS rank FROM (SELECT sku, feature, round(importance, 6) AS importance FROM s_importance)
+SELECT sku, 'structural' AS family, feature, importance, CAST(row_number() OVER (PARTITION BY sku ORDER BY importance DESC, feature) AS INTEGER) AS rank FROM (SELECT sku, feature, round(importance + 1e-9, 6) AS importance FROM s_importance)
 """)
 def w17_importance_rank(spark, sf_dir):
     """Importance ranks within item and family."""
-    return explain.importance_table({"structural": rounded(contributions(spark, sf_dir))}).select("sku", "family", "feature", "importance", "rank")
+    return explain.importance_table({"structural": nudged(contributions(spark, sf_dir))}).select("sku", "family", "feature", "importance", "rank")
 
 
-@query("t2_top_features", "SELECT * FROM (SELECT sku, feature, round(importance, 6) AS importance FROM s_importance ORDER BY 3 DESC, 1, 2 LIMIT 15)")
+@query("t2_top_features", "SELECT * FROM (SELECT sku, feature, round(importance + 1e-9, 6) AS importance FROM s_importance ORDER BY 3 DESC, 1, 2 LIMIT 15)")
 def t2_top_features(spark, sf_dir):
     """The fifteen largest importances."""
-    return explain.top_features(rounded(contributions(spark, sf_dir)), 15)
+    return explain.top_features(nudged(contributions(spark, sf_dir)), 15)
 
 
 @query("m18_structural_importance")
@@ -313,8 +319,8 @@ def m18_regression_importance(spark, sf_dir):
 
 
 @query("u3_importance_union", """
-SELECT sku, 'structural' AS family, feature, round(importance, 6) AS importance, 'contribution' AS importance_type, FALSE AS has_coefficient FROM s_importance UNION ALL
-SELECT sku, 'autoregressive', feature, round(abs(b), 6), 'abs_coefficient', TRUE FROM (
+SELECT sku, 'structural' AS family, feature, round(importance + 1e-9, 6) AS importance, 'contribution' AS importance_type, FALSE AS has_coefficient FROM s_importance UNION ALL
+SELECT sku, 'autoregressive', feature, round(abs(b) + 1e-9, 6), 'abs_coefficient', TRUE FROM (
   SELECT sku, 'expected_share' AS feature, regr_slope(monthly_demand, expected_share) AS b FROM s_features GROUP BY 1)
 """)
 def u3_importance_union(spark, sf_dir):
@@ -323,7 +329,7 @@ def u3_importance_union(spark, sf_dir):
     hist = stage(feature_frame(spark, sf_dir).select("sku", "monthly_demand", "expected_share"))
     both = {"structural": first, "autoregressive": explain.regression_importance(hist, ["expected_share"])}
     out = explain.importance_table(both)
-    return rounded(out.select("sku", "family", "feature", "importance", "importance_type", F.col("coefficient").isNotNull().alias("has_coefficient")))
+    return nudged(out.select("sku", "family", "feature", "importance", "importance_type", F.col("coefficient").isNotNull().alias("has_coefficient")))
 
 
 @query("m18_tree_importance")
@@ -408,7 +414,7 @@ def m21_weekly_forecast(spark, sf_dir):
     """Weekly seasonal-naive forecast in the canonical schema."""
     core = baseline.forecast(series.demand_weeks(spark, sf_dir), 14, 52, "weekly_demand", "week_start_date", step_unit="WEEK")
     core = core.withColumn("model_family", F.lit("baseline"))
-    table = inf.canonical(core, "run-1", "2000-07-01T00:00:00", "weekly_future", "weekly", 14)
+    table = inf.canonical(core, "run-1", "2001-12-01T00:00:00", "weekly_future", "weekly", 14)
     return table.select("sku", "date", "forecast", "granularity", "horizon", "model_family", "horizon_label")
 
 

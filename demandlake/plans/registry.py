@@ -16,6 +16,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 SHARED: dict[str, str] = {}
+AS_OF: dict[str, str] = {}
 
 
 def shared(name: str, sql: str) -> None:
@@ -31,17 +32,22 @@ def _needed(sql: str, found: list[str]) -> list[str]:
     return found
 
 
-def complete(sql: str) -> str:
-    """Prefix a statement with the shared expressions it uses, each after its own inputs."""
+def complete(sql: str, as_of: str | None = None) -> str:
+    """Prefix a statement with the shared expressions it uses, each after its own inputs.
+
+    With ``as_of`` the shipped lines (``s_lines``) end before that day, as for a holdout.
+    """
     used = _needed(sql, [])
     if not used:
         return sql.strip()
-    body = ",\n".join(f"{n} AS (\n{SHARED[n]}\n)" for n in used)
+    cut = {"s_lines": f"{SHARED['s_lines']}\nWHERE l.l_shipdate < TIMESTAMP '{as_of}'"} if as_of else {}
+    body = ",\n".join(f"{n} AS (\n{cut.get(n, SHARED[n])}\n)" for n in used)
     return f"WITH {body}\n{sql.strip()}"
 
 
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a query function, with its SQL counterpart when there is one."""
+def query(name: str, sql: str | None = None, as_of: str | None = None) -> Callable[[Query], Query]:
+    """Register a query function, with its SQL counterpart when there is one; ``as_of`` is the
+    first day that a holdout query does not know."""
 
     def add(fn: Query) -> Query:
         if name in QUERIES:
@@ -49,6 +55,8 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
         QUERIES[name] = fn
         if sql is not None:
             ORACLES[name] = sql
+        if as_of is not None:
+            AS_OF[name] = as_of
         return fn
 
     return add

@@ -160,7 +160,7 @@ def c6_context_rows(spark, sf_dir):
 def future_rows(spark, sf_dir):
     """Naive forecasts of the next year with the drivers of their months."""
     fc = baseline.forecast(stage(series.demand_months(spark, sf_dir)), 12, 12).select("sku", F.col("date").alias("ds"), F.col("forecast").alias("yhat"))
-    drivers = series.driver_months(spark, sf_dir).withColumnRenamed("month_start_date", "ds")
+    drivers = series.planned_drivers(spark, sf_dir).withColumnRenamed("month_start_date", "ds")
     return fc.join(F.broadcast(drivers), "ds", "left").withColumn("expected_share", F.col("expected_share") * 1.7)
 
 
@@ -169,7 +169,7 @@ _LABEL = """CASE WHEN s IS NULL THEN 'not available' WHEN s >= 1.0 THEN 'severe
 _ACT = "CASE WHEN {c} IS NULL THEN 'not available' WHEN {c} > 0 THEN 'active' ELSE 'not active' END"
 shared("s_future_rows", """
 SELECT n.sku, n.date AS ds, n.forecast AS yhat, d.supply_limited, d.substitute_limited, d.promo_target, d.expected_share * 1.7 AS s
-FROM s_naive_future n LEFT JOIN s_drivers d ON d.month_start_date = n.date
+FROM s_naive_future n LEFT JOIN s_planned d ON d.month_start_date = n.date
 """)
 
 

@@ -80,9 +80,14 @@ def running_total(
     )
     within = Window.partitionBy(*group_by, "_slice").orderBy(*order_by)
     local = F.coalesce(F.sum(weight).over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    right = offsets.select(*[F.col(k).alias(f"_at_{k}") for k in [*group_by, "_slice"]], "_offset")
+    same = F.lit(True)
+    for k in [*group_by, "_slice"]:
+        same = same & F.col(k).eqNullSafe(F.col(f"_at_{k}"))  # a null group is a group
     return (
         sliced.withColumn("_local", local)
-        .join(offsets, [*group_by, "_slice"])
+        .join(right, same)
+        .drop(*[f"_at_{k}" for k in [*group_by, "_slice"]])
         .withColumn(out, (F.col("_local") + F.col("_offset")).cast("bigint"))
         .drop("_slice", "_local", "_offset")
     )

@@ -1,7 +1,7 @@
 """Demand and driver series taken from the star-schema tables.
 
 An item is a brand, a day's demand is the quantity shipped that day, and the monthly
-drivers come from the order book, which runs past the end of the demand history.
+drivers come from the order book. As plans they are dated LEAD_MONTHS ahead, past the last shipment.
 """
 
 from __future__ import annotations
@@ -9,8 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-HISTORY_END = "2000-07-01"  # first day that is not history
-HOLDOUT_END = "2001-07-01"
+LEAD_MONTHS = 18  # how far ahead the order book's drivers are planned
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,7 +17,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shipments(spark: SparkSession, sf_dir: str, start: str | None = None, end: str | None = HISTORY_END) -> DataFrame:
+def shipments(spark: SparkSession, sf_dir: str, start: str | None = None, end: str | None = None) -> DataFrame:
     """(sku, date, quantity) per shipped line. The date bounds are compared on the raw
     column, so they reach the Parquet scan."""
     lines = table(spark, sf_dir, "lineitem").select("l_partkey", "l_shipdate", "l_quantity", "l_returnflag")
@@ -40,18 +39,18 @@ def _period_sum(spark: SparkSession, sf_dir: str, period: Column, name: str, val
     )
 
 
-def demand_days(spark: SparkSession, sf_dir: str, start: str | None = None, end: str | None = HISTORY_END) -> DataFrame:
+def demand_days(spark: SparkSession, sf_dir: str, start: str | None = None, end: str | None = None) -> DataFrame:
     """(sku, date, daily_demand)."""
     return _period_sum(spark, sf_dir, F.col("date"), "date", "daily_demand", start, end)
 
 
-def demand_weeks(spark: SparkSession, sf_dir: str, start: str | None = None, end: str | None = HISTORY_END) -> DataFrame:
+def demand_weeks(spark: SparkSession, sf_dir: str, start: str | None = None, end: str | None = None) -> DataFrame:
     """(sku, week_start_date, weekly_demand), straight from the fact table."""
     week = F.date_trunc("week", F.col("date")).cast("date")
     return _period_sum(spark, sf_dir, week, "week_start_date", "weekly_demand", start, end)
 
 
-def demand_months(spark: SparkSession, sf_dir: str, start: str | None = None, end: str | None = HISTORY_END) -> DataFrame:
+def demand_months(spark: SparkSession, sf_dir: str, start: str | None = None, end: str | None = None) -> DataFrame:
     """(sku, month_start_date, monthly_demand), straight from the fact table."""
     return _period_sum(spark, sf_dir, F.trunc("date", "MM"), "month_start_date", "monthly_demand", start, end)
 
@@ -122,6 +121,12 @@ def driver_months(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def planned_drivers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Monthly drivers as known LEAD_MONTHS ahead: a month's values follow from the orders so long before."""
+    months = driver_months(spark, sf_dir)
+    return months.withColumn("month_start_date", F.add_months("month_start_date", LEAD_MONTHS))
+
+
 def raw_driver_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Drivers as a text export: trailing blank in one header, empty lines, repeated months.
 
