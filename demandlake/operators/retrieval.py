@@ -97,27 +97,23 @@ def _best(qids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.nd
 
 def nearest(
     queries: DataFrame, vectors: DataFrame, k: int = 5, query_id: str = "query_id", vec_id: str = "vec_id", vector: str = "vector",
-    max_broadcast_values: int = 8_000_000, cell_rows: int = 10_000,
+    slice_values: int = 2_000_000,
 ) -> DataFrame:
     """The k vectors of largest inner product for every query, exactly.
 
-    Each task scores its vectors block by block as a matrix product and passes on k rows
-    per query, never all pairs. The query matrix is broadcast when its counted size
-    allows; beyond that, queries and vectors meet block by block in a shuffle whose
-    groups have a bounded number of rows on both sides.
+    Queries go out in slices of about ``slice_values`` numbers. For each slice every task
+    scores its vectors block by block as a matrix product and passes on k rows per query,
+    never all pairs; nothing but the slice is sent and no vector is shuffled.
     """
     q = stage(queries.select(query_id, F.col(vector).cast("array<double>").alias("_v")))
     v = vectors.select(vec_id, F.col(vector).cast("array<double>").alias("_v"))
     size = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_v")).alias("d")).first()
     schema = f"{query_id} {q.schema[query_id].dataType.simpleString()}, {vec_id} {v.schema[vec_id].dataType.simpleString()}, score double"
     columns = [query_id, vec_id, "score"]
+    slices = max(1, -(-size["n"] * (size["d"] or 0) // slice_values))
 
-    if size["n"] * (size["d"] or 0) <= max_broadcast_values:
-        rows = q.collect()
-        shared = q.sparkSession.sparkContext.broadcast((np.array([r[0] for r in rows]), np.array([r[1] for r in rows], dtype=float)))
-
+    def scan_for(qids: np.ndarray, qmat: np.ndarray):
         def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            qids, qmat = shared.value
             kept = None
             for pdf in batches:
                 if len(pdf) and len(qids):
@@ -127,22 +123,14 @@ def nearest(
             if kept is not None:
                 yield kept
 
-        partial = v.mapInPandas(scan, schema)
-    else:
-        n_vec = v.count()
-        q_blocks, v_cells = -(-size["n"] // cell_rows), max(-(-n_vec // cell_rows), 1)
-        spread = lambda df, own, n_own, other, n_other, key: df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n_own)).cast("int")).withColumn(
-            other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1)))
-        )
-        left = spread(q, "_qb", q_blocks, "_vc", v_cells, query_id)
-        right = spread(v, "_vc", v_cells, "_qb", q_blocks, vec_id)
-
-        def block(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-            if not len(a) or not len(b):
-                return pd.DataFrame(columns=columns)
-            return _best(a[query_id].to_numpy(), np.stack(a["_v"].to_numpy()), b[vec_id].to_numpy(), np.stack(b["_v"].to_numpy()), k, columns)
-
-        partial = left.groupBy("_qb", "_vc").cogroup(right.groupBy("_qb", "_vc")).applyInPandas(block, schema)
+        return scan
+
+    partial = None
+    for n in range(slices):
+        rows = q.filter(F.pmod(F.xxhash64(query_id), F.lit(slices)) == n).collect()
+        found = v.mapInPandas(scan_for(np.array([r[0] for r in rows]), np.array([r[1] for r in rows], dtype=float)), schema)
+        found = found if slices == 1 else stage(found)
+        partial = found if partial is None else partial.unionByName(found)
     place = F.row_number().over(Window.partitionBy(query_id).orderBy(F.col("score").desc(), vec_id))
     return partial.withColumn("place", place).filter(F.col("place") <= k)
 

@@ -111,8 +111,8 @@ def m4_autoregressive_backtest(spark, sf_dir):
 
 @query("m5_tree_backtest")
 def m5_tree_backtest(spark, sf_dir):
-    """Direct multi-step boosted trees over the last two origins."""
-    cfg = BacktestConfig(n_cycles=2)
+    """Direct multi-step boosted trees over four origins."""
+    cfg = CFG
     preds = tree.backtest(doubles(spark, sf_dir), REGRESSORS, {"tree_000": TREE}, cfg, SHORT)
     return _metrics(preds, cfg)
 
@@ -365,14 +365,14 @@ def m20_weekly_backtest(spark, sf_dir):
 
 @query("m20_weekly_autoregressive")
 def m20_weekly_autoregressive(spark, sf_dir):
-    """Weekly autoregressive orders, 4 and 14 weeks ahead."""
-    return weekly(spark, sf_dir, "autoregressive", (4, 14), 2)
+    """Weekly autoregressive orders, 4, 9 and 14 weeks ahead."""
+    return weekly(spark, sf_dir, "autoregressive", candidates.WEEKLY_HORIZONS)
 
 
 @query("m20_weekly_tree")
 def m20_weekly_tree(spark, sf_dir):
-    """Weekly boosted trees, four weeks ahead from the last origin; a grid's smallest depth, few rounds."""
-    cfg = BacktestConfig(horizon=4, n_cycles=1, season=52, min_train_periods=104)
+    """Weekly boosted trees of few rounds, four weeks ahead from three origins."""
+    cfg = BacktestConfig(horizon=4, n_cycles=3, season=52, min_train_periods=104)
     fcfg = FeatureConfig(target_lags=(1, 2, 4), rolling_windows=(4,), include_std=False, trend_diffs=(), trend_pct_changes=())
     weeks = stage(series.demand_weeks(spark, sf_dir))
     preds = tree.backtest(weeks, [], {"tree_000": TREE}, cfg, fcfg, target="weekly_demand", date="week_start_date")
@@ -383,7 +383,7 @@ def m20_weekly_tree(spark, sf_dir):
 def m20_weekly_best(spark, sf_dir):
     """The best weekly candidate per item, refit on all weeks and forecast 14 weeks ahead."""
     weeks = stage(series.demand_weeks(spark, sf_dir))
-    cfg = BacktestConfig(horizon=4, n_cycles=2, season=52, min_train_periods=104)
+    cfg = BacktestConfig(horizon=4, n_cycles=3, season=52, min_train_periods=104)
     cand = candidates.weekly_candidates(weeks, "structural")
     preds = stage(grouped.backtest(weeks, cand, cfg, target="weekly_demand", date="week_start_date"))
     pooled = met.pooled_metrics(met.cycle_metrics(preds, cfg), cfg, with_std=False).withColumn("autocorrelation_excluded", F.lit(False))

@@ -18,41 +18,57 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shipments(spark: SparkSession, sf_dir: str, start: str | None = None, end: str | None = None) -> DataFrame:
-    """(sku, date, quantity) per shipped line. The date bounds are compared on the raw
-    column, so they reach the Parquet scan."""
+    """(sku, date, quantity) per shipped line."""
+    lines, parts = _lines(spark, sf_dir, start, end), _parts(spark, sf_dir)
+    return lines.join(parts, lines.l_partkey == parts.p_partkey).select(
+        "sku", F.col("l_shipdate").cast("date").alias("date"), F.col("l_quantity").alias("quantity")
+    )
+
+
+def _lines(spark: SparkSession, sf_dir: str, start: str | None, end: str | None) -> DataFrame:
+    """Shipped lines. The date bounds are compared on the raw column, so they reach the scan."""
     lines = table(spark, sf_dir, "lineitem").select("l_partkey", "l_shipdate", "l_quantity", "l_returnflag")
     if start:
         lines = lines.filter(F.col("l_shipdate") >= F.lit(start).cast("timestamp_ntz"))
     if end:
         lines = lines.filter(F.col("l_shipdate") < F.lit(end).cast("timestamp_ntz"))
-    parts = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("sku"))
-    return lines.join(parts, lines.l_partkey == parts.p_partkey).select(
-        "sku", F.col("l_shipdate").cast("date").alias("date"), F.col("l_quantity").alias("quantity"), "l_returnflag"
-    )
+    return lines
+
+
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("sku"))
+
+
+def _by_item(spark: SparkSession, sf_dir: str, period: Column, name: str, start: str | None = None, end: str | None = None) -> DataFrame:
+    """(sku, period, quantity, returned), one row per part and period.
+
+    Lines are summed ahead of the join with the parts, so that sums and not lines are
+    shuffled; callers sum on by item.
+    """
+    lines, parts = _lines(spark, sf_dir, start, end), _parts(spark, sf_dir)
+    back = F.when(F.col("l_returnflag") == "R", F.col("l_quantity")).otherwise(F.lit(0.0))
+    sums = lines.groupBy("l_partkey", period.alias(name)).agg(F.sum("l_quantity").alias("quantity"), F.sum(back).alias("returned"))
+    return sums.join(parts, sums.l_partkey == parts.p_partkey).select("sku", name, "quantity", "returned")
 
 
 def _period_sum(spark: SparkSession, sf_dir: str, period: Column, name: str, value: str, start, end) -> DataFrame:
-    return (
-        shipments(spark, sf_dir, start, end)
-        .groupBy("sku", period.alias(name))
-        .agg(F.sum("quantity").alias(value))
-    )
+    return _by_item(spark, sf_dir, period, name, start, end).groupBy("sku", name).agg(F.sum("quantity").alias(value))
 
 
 def demand_days(spark: SparkSession, sf_dir: str, start: str | None = None, end: str | None = None) -> DataFrame:
     """(sku, date, daily_demand)."""
-    return _period_sum(spark, sf_dir, F.col("date"), "date", "daily_demand", start, end)
+    return _period_sum(spark, sf_dir, F.col("l_shipdate").cast("date"), "date", "daily_demand", start, end)
 
 
 def demand_weeks(spark: SparkSession, sf_dir: str, start: str | None = None, end: str | None = None) -> DataFrame:
     """(sku, week_start_date, weekly_demand), straight from the fact table."""
-    week = F.date_trunc("week", F.col("date")).cast("date")
+    week = F.date_trunc("week", F.col("l_shipdate")).cast("date")
     return _period_sum(spark, sf_dir, week, "week_start_date", "weekly_demand", start, end)
 
 
 def demand_months(spark: SparkSession, sf_dir: str, start: str | None = None, end: str | None = None) -> DataFrame:
     """(sku, month_start_date, monthly_demand), straight from the fact table."""
-    return _period_sum(spark, sf_dir, F.trunc("date", "MM"), "month_start_date", "monthly_demand", start, end)
+    return _period_sum(spark, sf_dir, F.trunc(F.col("l_shipdate").cast("date"), "MM"), "month_start_date", "monthly_demand", start, end)
 
 
 def reported_demand(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,11 +77,10 @@ def reported_demand(spark: SparkSession, sf_dir: str) -> DataFrame:
     Odd days carry the gross month total and even days the total net of returned
     lines, which gives the consistency audits something to find.
     """
-    returned = F.when(F.col("l_returnflag") == "R", F.col("quantity")).otherwise(F.lit(0.0))
     days = (
-        shipments(spark, sf_dir)
+        _by_item(spark, sf_dir, F.col("l_shipdate").cast("date"), "date")
         .groupBy("sku", "date")
-        .agg(F.sum("quantity").alias("daily_demand"), F.sum(returned).alias("returned"))
+        .agg(F.sum("quantity").alias("daily_demand"), F.sum("returned").alias("returned"))
         .withColumn("month_start_date", F.trunc("date", "MM"))
     )
     month = Window.partitionBy("sku", "month_start_date")

@@ -130,7 +130,7 @@ def test_chunks_of_twelve_words(spark):
         retrieval.chunk(df, 5, 5)
 
 
-def test_nearest_is_exact_on_both_paths(spark):
+def test_nearest_is_exact_for_one_slice_and_many(spark):
     rng = np.random.default_rng(0)
     vec, que = rng.normal(size=(300, 8)), rng.normal(size=(40, 8))
     vec[17] = vec[3]
@@ -138,8 +138,8 @@ def test_nearest_is_exact_on_both_paths(spark):
     q = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(que)], "query_id int, vector array<double>")
     scores = que @ vec.T
     want = {(i, int(j), p) for i in range(40) for p, j in enumerate(sorted(range(300), key=lambda j: (-scores[i, j], j))[:5], 1)}
-    for limit in (10**6, 1):
-        got = retrieval.nearest(q, v, 5, max_broadcast_values=limit, cell_rows=70)
+    for limit in (10**6, 100):
+        got = retrieval.nearest(q, v, 5, slice_values=limit)
         assert {(r["query_id"], r["vec_id"], r["place"]) for r in got.collect()} == want
 
 
