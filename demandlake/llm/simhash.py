@@ -326,7 +326,7 @@ def near_duplicates(work: Workspace, docs: DataFrame, words: int, distance: int)
 
 #: What the removal of near duplicates uses to find candidates: a word that differs changes two
 #: pairs of words but five shingles of five, so pairs keep similar documents closer.
-CANDIDATE_WORDS, CANDIDATE_DISTANCE, FORESTS = 2, 10, 2
+CANDIDATE_WORDS, CANDIDATE_DISTANCE, FORESTS = 2, 10, 3
 
 
 def shingle_set(text: bytes, words: int) -> bytes:
