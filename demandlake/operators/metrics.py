@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from demandlake.config import BacktestConfig
 
@@ -154,6 +155,18 @@ def running_objective(per_cycle: DataFrame, keys: Sequence[str] = KEYS) -> DataF
     )
 
 
+def median_of_others(value: Column, window: WindowSpec) -> Column:
+    """Median of the window's non-null values without one occurrence of the row's own; null if none is left.
+
+    The values are gathered in an array, so the window must be small, as a series' candidates are.
+    """
+    every = F.array_sort(F.collect_list(value).over(window))
+    own, n = F.array_position(every, value), F.size(every) - 1
+    pick = lambda k: F.try_element_at(every, (k + F.when(k >= own, 1).otherwise(0)).cast("int"))
+    middle = (pick(F.floor((n + 1) / 2)) + pick(F.floor(n / 2) + 1)) / 2
+    return F.when(value.isNotNull() & (n > 0), middle)
+
+
 def prune(
     running: DataFrame, warmup_cycles: int = 2, startup_candidates: int = 4, n_cycles: int = 4,
     group: Sequence[str] = ("sku", "family"),
@@ -161,7 +174,7 @@ def prune(
     """Cycle after which each candidate is dropped (null if kept).
 
     From the warm-up cycle on, a candidate whose running objective is above the median
-    of the candidates still alive in its group is dropped, while more than
+    of the other candidates still alive in its group is dropped, while more than
     ``startup_candidates`` are alive. ``n_cycles`` plan steps, all lazy.
     """
     ids = [*group, "candidate_id"]
@@ -172,7 +185,7 @@ def prune(
     alive = F.col("pruned_at").isNull()
     for c in range(warmup_cycles, n_cycles + 1):
         value = F.when(alive, F.col(f"_r{c}"))
-        drop = alive & (F.count(value).over(w) > startup_candidates) & (F.col(f"_r{c}") > F.median(value).over(w))
+        drop = alive & (F.count(value).over(w) > startup_candidates) & (F.col(f"_r{c}") > median_of_others(value, w))
         wide = wide.withColumn("pruned_at", F.when(drop, F.lit(c)).otherwise(F.col("pruned_at")))
     return wide.select(*ids, "pruned_at")
 

@@ -375,10 +375,11 @@ SELECT sku, candidate_id, cycle_index, round(SUM(num) OVER w / SUM(den) OVER w,
 WINDOW w AS (PARTITION BY sku, candidate_id ORDER BY cycle_index)
 """)
 _PRUNE = """
-SELECT a.sku, a.candidate_id, CASE WHEN a.pruned_at IS NULL AND m.c > 2 AND r.r > m.med THEN {c} ELSE a.pruned_at END AS pruned_at
+SELECT a.sku, a.candidate_id, CASE WHEN a.pruned_at IS NULL AND m.c >= 2 AND r.r > m.med THEN {c} ELSE a.pruned_at END AS pruned_at
 FROM {prev} a JOIN s_run r ON r.sku = a.sku AND r.candidate_id = a.candidate_id AND r.cycle_index = {c}
-LEFT JOIN (SELECT b.sku, COUNT(*) AS c, median(q.r) AS med FROM {prev} b JOIN s_run q ON q.sku = b.sku AND q.candidate_id = b.candidate_id AND q.cycle_index = {c}
-      WHERE b.pruned_at IS NULL GROUP BY 1) m ON m.sku = a.sku
+LEFT JOIN (SELECT x.sku, x.candidate_id, COUNT(*) AS c, median(q.r) AS med FROM {prev} x
+      JOIN {prev} b ON b.sku = x.sku AND b.candidate_id <> x.candidate_id AND b.pruned_at IS NULL
+      JOIN s_run q ON q.sku = b.sku AND q.candidate_id = b.candidate_id AND q.cycle_index = {c} GROUP BY 1, 2) m ON m.sku = a.sku AND m.candidate_id = a.candidate_id
 """
 shared("s_alive1", "SELECT DISTINCT sku, candidate_id, CAST(NULL AS INTEGER) AS pruned_at FROM s_run")
 for _c in (2, 3, 4):
@@ -387,7 +388,7 @@ for _c in (2, 3, 4):
 
 @query("m9_pruning", "SELECT sku, candidate_id, COALESCE(pruned_at, 0) AS pruned_at FROM s_alive4")
 def m9_pruning(spark, sf_dir):
-    """The cycle after which each candidate falls behind the median of the living ones."""
+    """The cycle after which each candidate falls behind the median of the other living ones."""
     per_cycle = met.cycle_metrics(predictions(spark, sf_dir), CFG)
     running = met.running_objective(per_cycle).withColumn("running_wmape", F.round("running_wmape", 9))
     pruned = met.prune(running, warmup_cycles=2, startup_candidates=2, group=("sku",))
