@@ -58,7 +58,9 @@ def mint_shrink(monthly: DataFrame, parts: DataFrame, month_residuals: DataFrame
 
     Residuals are backtest errors: (sku, cycle_index, month_start_date, residual) and
     (sku, cycle_index, week_start_date, residual), already assigned to the forecast
-    period with the same step. A system has at most seven nodes and is solved per row.
+    period with the same step. With one total, the minimum-trace answer is closed: the gap
+    between the month and its weeks is shared out along the covariance with that gap. Fewer
+    than two common residuals stand for equal, independent errors.
     """
     whole_week = F.sum("part").over(Window.partitionBy("sku", WEEK))
     covered = parts.withColumn("fraction", F.coalesce(F.try_divide("part", whole_week), F.col("n_days") / 7)).filter("covered")
@@ -82,10 +84,12 @@ def mint_shrink(monthly: DataFrame, parts: DataFrame, month_residuals: DataFrame
                 shared = sorted(set.intersection(*[set(d) for d in by_cycle]))
                 sample = np.array([[d[c] for d in by_cycle] for c in shared], dtype=float)
                 cov = shrunk_covariance(sample) if len(shared) > 1 else np.eye(k + 1)
-                summing = np.vstack([np.ones(k), np.eye(k)])
+                gap = np.concatenate(([1.0], -np.ones(k)))
                 base = np.array([r.forecast, *[w["part"] for w in weeks]], dtype=float)
-                weight = np.linalg.pinv(cov)
-                bottom_new = np.linalg.solve(summing.T @ weight @ summing, summing.T @ weight @ base)
+                along = cov @ gap
+                if gap @ along <= 0:  # no error is known to cause a gap
+                    along = gap
+                bottom_new = (base - along * (gap @ base) / (gap @ along))[1:]
                 out.append((r.sku, getattr(r, MONTH), float(bottom_new.sum()),
                             [{WEEK: w[WEEK], "part": float(v)} for w, v in zip(weeks, bottom_new, strict=True)]))
             yield pd.DataFrame(out, columns=["sku", MONTH, "forecast", "weeks"])
