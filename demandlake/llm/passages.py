@@ -165,15 +165,18 @@ def _gathered(batches: Iterable[pa.RecordBatch], kind: np.dtype, column: int = 1
     return np.concatenate([np.zeros(0, kind), *[np.frombuffer(x, kind) for b in batches for x in b.column(column).to_pylist()]])
 
 
-def _press(entries: pa.RecordBatch) -> pa.RecordBatch:
-    """Entries with their payloads compressed: bytes around a position are text, and much of it."""
-    pressed = [len(x).to_bytes(4, "little") + pa.compress(x, codec="zstd", asbytes=True) for x in entries.column(1).to_pylist()]
-    return pa.RecordBatch.from_arrays([entries.column(0), pa.array(pressed, pa.binary())], entries.schema.names)
+def _sent(to: np.ndarray, rows: np.ndarray, spans: bool = False) -> pa.RecordBatch:
+    """Entries for owners, compressed, since bytes around a position are text and much of it; or,
+    with ``spans``, spans that only pass through."""
+    packed = _packed(to, rows, ("bucket", "payload"))
+    pressed = [len(x).to_bytes(4, "little") + pa.compress(x, codec="zstd", asbytes=True) for x in packed.column(1).to_pylist()]
+    return pa.RecordBatch.from_arrays([packed.column(0), pa.array(np.full(len(pressed), spans)), pa.array(pressed, pa.binary())], ["bucket", "spans", "payload"])
 
 
-def _unpress(payloads: list[bytes]) -> np.ndarray:
+def _unpress(batches: list[pa.RecordBatch], kind: np.dtype, spans: bool) -> np.ndarray:
+    payloads = [x for b in batches for x, s in zip(b.column(2).to_pylist(), b.column(1).to_pylist(), strict=True) if s == spans]
     parts = [pa.decompress(x[4:], int.from_bytes(x[:4], "little"), codec="zstd", asbytes=True) for x in payloads]
-    return np.concatenate([np.zeros(0, ENTRY), *[np.frombuffer(x, ENTRY) for x in parts]])
+    return np.concatenate([np.zeros(0, kind), *[np.frombuffer(x, kind) for x in parts]])
 
 
 def _grams(rows: np.ndarray) -> np.ndarray:
@@ -253,13 +256,13 @@ def repeated_spans(work: Workspace, docs: DataFrame, groups: int) -> DataFrame:
             )
 
     def ship(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, held, known_group = np.zeros(0, np.uint64), [], None
+        known, held, known_group, seen = np.zeros(0, np.uint64), [], None, Levels()
         for batch in batches:
             group_of = batch.column("_group").to_numpy(zero_copy_only=False)
             for group in np.unique(group_of).tolist():
                 part = batch.filter(pa.array(group_of == group))
                 if group != known_group:
-                    known, held, known_group = np.zeros(0, np.uint64), [], group
+                    known, held, known_group, seen = np.zeros(0, np.uint64), [], group, Levels()
                 is_payload = part.column("_payload").is_valid()
                 arrived = part.filter(is_payload).column("_payload").to_pylist()
                 if arrived:
@@ -293,10 +296,28 @@ def repeated_spans(work: Workspace, docs: DataFrame, groups: int) -> DataFrame:
                         r = rows[a : a + (1 << 13)]
                         inside = (around >= -r["left"].astype(np.int64)[:, None]) & (around < r["right"].astype(np.int64)[:, None])
                         rows["bytes"][a : a + (1 << 13)] = np.where(inside, data[np.clip(where, 0, len(data) - 1)], 0)
-                    yield _press(_packed((gram * TWO >> np.uint64(33)) % np.uint64(owners), rows, ("bucket", "payload")))
+                    # What a smaller document of the group has around the same gram is settled here, so that
+                    # an owner gets an entry per group and not one per copy.
+                    same = _surroundings(rows)
+                    order = np.argsort(same, kind="stable")
+                    keys, docs_of = same[order], rows["doc"][order]
+                    level = _smallest(keys, docs_of)
+                    hit = seen.earlier(keys, docs_of) | (level[1][np.searchsorted(level[0], keys)] < docs_of)
+                    seen.add(*level)
+                    settled = np.zeros(len(rows), bool)
+                    settled[order[hit]] = True
+                    if settled.any():
+                        pos, done = rows["pos"].astype(np.int64)[settled], rows[settled]
+                        _, spans = _spans(done["row"], pos - done["left"], pos + done["right"], groups)
+                        yield _sent(np.full(len(spans), group % owners), spans, spans=True)
+                    rows, gram = rows[~settled], gram[~settled]
+                    yield _sent((gram * TWO >> np.uint64(33)) % np.uint64(owners), rows)
 
     def match(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = _unpress([x for b in batches for x in b.column(1).to_pylist()])
+        held = list(batches)
+        done = _unpress(held, SPAN, True)
+        yield _packed(_group_of(done["row"], groups), done, ("group", "payload"))
+        rows = _unpress(held, ENTRY, False)
         if not len(rows):
             return
         for to, spans in _matches(rows, groups):
@@ -312,7 +333,7 @@ def repeated_spans(work: Workspace, docs: DataFrame, groups: int) -> DataFrame:
     keys = int(known.agg(F.sum(F.octet_length("payload")).alias("n")).first().n or 0) // 8
     owners = max(spread, keys * ENTRY.itemsize // TASK_BYTES + 1)
     return work.write(
-        _by_group(docs, known, groups).mapInArrow(ship, "bucket int, payload binary").repartition(owners, "bucket")
+        _by_group(docs, known, groups).mapInArrow(ship, "bucket int, spans boolean, payload binary").repartition(owners, "bucket")
         .mapInArrow(match, "group int, payload binary"), "spans",
     )
 
@@ -397,8 +418,8 @@ def remove_repeats(work: Workspace, docs: DataFrame, as_text: bool = False, grou
     where they overlap. Texts are whole and read as UTF-8, null as empty. Rows with one doc_id
     don't remove from each other; a null doc_id neither removes nor loses bytes. Rows stay as
     many as they are, further columns pass, columns with one of the four names are replaced.
-    A gram in a third of all documents is one entry per chunk and one per document that holds
-    it, never all pairs of them.
+    A gram in a third of all documents is announced once per chunk, and of what stands around
+    it one entry per group of documents and difference is sent, never pairs.
     """
     base = docs.drop("kept", "n_bytes", "n_removed", "n_spans")
     size = base.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
