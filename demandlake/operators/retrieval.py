@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -135,10 +135,10 @@ def nearest(
     return partial.withColumn("place", place).filter(F.col("place") <= k)
 
 
-def parse_questions(questions: DataFrame, column: str = "question") -> DataFrame:
-    """Scope, years and month of each question, and the key of the context it asks for."""
+def parse_questions(questions: DataFrame, column: str = "question", scope_terms: Sequence[str] = tx.SCOPE_TERMS) -> DataFrame:
+    """Scope (by the caller's terms), years and month of each question, and the key of the context it asks for."""
     q = F.col(column)
-    parsed = questions.withColumns({"in_scope": tx.in_scope(q), "years": tx.years(q), "month": tx.month(q)})
+    parsed = questions.withColumns({"in_scope": tx.in_scope(q, scope_terms), "years": tx.years(q), "month": tx.month(q)})
     first = F.try_element_at("years", F.lit(1))
     return parsed.withColumn(
         "context_key",
@@ -204,12 +204,12 @@ def scenario_rows(forecast: DataFrame, date: str = "ds", keys: Sequence[str] = (
     )
 
 
-def business_columns(df: DataFrame) -> DataFrame:
-    """Internal columns under business names; those that end up equal are coalesced,
+def business_columns(df: DataFrame, names: Mapping[str, str] = BUSINESS_NAMES) -> DataFrame:
+    """Internal columns under the caller's business names; those that end up equal are coalesced,
     months and shares are formatted, numbers rounded to two places."""
     groups: dict[str, list[str]] = {}
     for c in df.columns:
-        groups.setdefault(BUSINESS_NAMES.get(c, c), []).append(c)
+        groups.setdefault(names.get(c, c), []).append(c)
     types = dict(df.dtypes)
     out = []
     for name, cols in groups.items():
