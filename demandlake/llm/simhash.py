@@ -5,11 +5,15 @@ of bits, in at most that group's threshold, if the thresholds sum to distance -
 hold correlated bits, so that their selectivity differs, and thresholds go where they cost
 least. Codes are filed under their value in each group; a code also looks under the values
 near its own. Who meets is compared in full.
+
+The removal of near duplicates needs no fingerprint: shingle sets meet under the rare shingles of
+which two similar sets must share one.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -324,9 +328,11 @@ def near_duplicates(work: Workspace, docs: DataFrame, words: int, distance: int)
     return join_equal(marked, named, ["code"])
 
 
-#: What the removal of near duplicates uses to find candidates: a word that differs changes two
-#: pairs of words but five shingles of five, so pairs keep similar documents closer.
-CANDIDATE_WORDS, CANDIDATE_DISTANCE, FORESTS = 2, 10, 3
+#: The removal of near duplicates: documents whose shingles are counted to tell frequent ones, how
+#: many frequent shingles are listed, and sets of a group that are compared with as many others.
+SAMPLE_DOCS, SAMPLE_LEAST, FREQUENT, SETS_BLOCK = 10_000, 3, 50_000, 1024
+COLUMNS, RARE = 4096, 32  # shingles at a time in a dense product; held by more sets than this
+WINDOW_ROWS, WINDOW_BYTES = 20_000, 16 << 20
 
 
 def shingle_set(text: bytes, words: int) -> bytes:
@@ -343,38 +349,253 @@ def jaccard(a: bytes, b: bytes) -> float:
     return both / union if union else 1.0
 
 
-def _alike(work: Workspace, docs: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of text hashes whose shingle sets are similar enough."""
+def _prefix(shingles: np.ndarray, frequent: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles of a set, rare ones first, of which a set as similar has one at least.
 
-    def collect_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Two sets of Jaccard ``similarity`` share that part of either. Ordered by whatever order they
+    have in common, the first shared shingle is then among the first n - ceil(similarity n) + 1 of both.
+    """
+    rank = np.zeros(len(shingles), np.int64)
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, shingles), len(frequent) - 1)
+        rank = np.where(frequent[at] == shingles, counts[at], 0)
+    n = len(shingles) - math.ceil(similarity * len(shingles) - 1e-9) + 1
+    return shingles[np.lexsort((shingles, rank))[:n]]
+
+
+def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """The number of shingles that each two sets share: by pairs where few hold one, else by products."""
+    m = len(sets)
+    row = np.repeat(np.arange(m), [len(x) for x in sets])
+    every = np.concatenate(sets)
+    order = np.argsort(every, kind="stable")
+    every, row = every[order], row[order]
+    first = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1]))) if len(every) else np.zeros(0, int)
+    count = np.diff(np.append(first, len(every)))
+    column, held = np.repeat(np.arange(len(first)), count), np.repeat(count, count)
+    both = np.zeros(m * m)
+    few = (held > 1) & (held <= RARE)
+    r, c = row[few], column[few]
+    for k in range(1, RARE):
+        same = np.flatnonzero(c[k:] == c[:-k])
+        if not len(same):
+            break
+        both += np.bincount(r[same] * m + r[same + k], minlength=m * m)
+    both = both.reshape(m, m)
+    both = both + both.T
+    many = held > RARE
+    r, c = row[many], np.unique(column[many], return_inverse=True)[1]
+    cuts = np.searchsorted(c, np.arange(0, (c[-1] if len(c) else -1) + 1 + COLUMNS, COLUMNS))
+    for n, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+        part = np.zeros((m, COLUMNS), np.float32)
+        part[r[a:b], c[a:b] - n * COLUMNS] = 1
+        both += part @ part.T
+    return both
+
+
+def _joined(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Index pairs that connect what all pairs of similar sets connect."""
+    if len(sets) == 2:
+        return [(0, 1)] if jaccard(sets[0].tobytes(), sets[1].tobytes()) >= similarity else []
+    sizes, both = np.array([len(x) for x in sets]), _overlaps(sets)
+    alike = both >= similarity * (sizes[:, None] + sizes[None, :] - both) - 1e-6
+    at = np.nonzero(alike)
+    alike[at] = both[at] / (sizes[at[0]] + sizes[at[1]] - both[at]) >= similarity
+    out, left = [], np.ones(len(sets), bool)
+    for seed in range(len(sets)):
+        if not left[seed]:
+            continue
+        left[seed], front = False, np.array([seed])
+        while len(front):
+            reached = np.flatnonzero(alike[front].any(axis=0) & left)
+            left[reached] = False
+            out += [(seed, int(x)) for x in reached]
+            front = reached
+    return out
+
+
+def _frequent(work: Workspace, docs: DataFrame, n: int, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of shingles that are frequent in a sample of the n texts, and their counts.
+
+    This only gives an order, so that groups are small: any order finds every pair.
+    """
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch, values in texts(batches):
+            sets = []
+            for node, text in zip(batch.column(0).to_pylist(), values, strict=True):
+                if node not in seen:
+                    seen.add(node)
+                    sets.append(np.frombuffer(shingle_set(text, words), np.uint64))
+            found, times = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(times)], ["shingle", "n"])
+
+    part = docs.filter(F.pmod("_node", F.lit(max(1, n // SAMPLE_DOCS))) == 0)
+    rows = (
+        part.select("_node", "text").mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+        .filter(F.col("n") >= SAMPLE_LEAST).orderBy(F.desc("n"), "shingle").limit(FREQUENT).collect()
+    )
+    shingle = np.array([r.shingle for r in rows], np.int64).view(np.uint64)
+    order = np.argsort(shingle)
+    return shingle[order], np.array([r.n for r in rows], np.int64)[order]
+
+
+def _set_key(packed: bytes) -> int:
+    """A signed 64-bit hash of a shingle set: texts with one set are one node."""
+    return int(np.array([xxhash.xxh64_intdigest(packed, SEED)], np.uint64).view(np.int64)[0])
+
+
+def _sketch(packed: bytes) -> bytes:
+    """How many of a set's shingles fall in each of 64 classes: no more of a class can be shared."""
+    return np.bincount((np.frombuffer(packed, np.uint64) >> np.uint64(58)).astype(np.int64), minlength=64).astype("<u4").tobytes()
+
+
+def _possible(sketches: np.ndarray, similarity: float) -> np.ndarray:
+    """Which sets have another one that, from the sketches, may be similar enough."""
+    m = len(sketches)
+    if m <= 64:
+        both = np.minimum(sketches[:, None, :], sketches[None, :, :]).sum(axis=2, dtype=np.float64)
+    else:
+        both = np.zeros((m, m))
+        for k in range(sketches.shape[1]):
+            both += np.minimum(sketches[:, None, k], sketches[None, :, k])
+    sizes = sketches.sum(axis=1, dtype=np.float64)
+    may = both >= similarity * (sizes[:, None] + sizes[None, :] - both) - 1e-6
+    np.fill_diagonal(may, False)
+    return may.any(axis=1)
+
+
+def _windows(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows in sorted order of ``pair`` with the bounds of its groups, some whole groups at a time."""
+    held, rows_held, size = [], 0, 0
+
+    def bounds(pair: np.ndarray) -> np.ndarray:
+        return np.concatenate(([0], np.flatnonzero(np.diff(pair)) + 1, [len(pair)]))
+
+    for batch in batches:
+        held.append(batch)
+        rows_held, size = rows_held + batch.num_rows, size + batch.nbytes
+        if rows_held < WINDOW_ROWS and size < WINDOW_BYTES:
+            continue
+        rows = pa.Table.from_batches(held)
+        of = rows["pair"].to_numpy()
+        cut = int(np.searchsorted(of, of[-1]))  # the last group may go on
+        if cut:
+            yield rows.slice(0, cut), bounds(of[:cut])
+            held = rows.slice(cut).combine_chunks().to_batches()
+            rows_held, size = len(of) - cut, sum(b.nbytes for b in held)
+    if held:
+        rows = pa.Table.from_batches(held)
+        yield rows, bounds(rows["pair"].to_numpy())
+
+
+def _meetings(work: Workspace, docs: DataFrame, nodes: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(centre, member) of shingle sets: any two sets similar enough are members of one centre.
+
+    Sets are filed under each shingle of their prefix; those under one, and of sizes not too far apart, meet at the smallest.
+    """
+    total = nodes.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("n") * (1 - similarity) + 1).alias("entries")).first()
+    frequent, counts = _frequent(work, docs, total.n, words)
+    record = np.dtype([("shingle", "<u8"), ("member", "<i8"), ("size", "<u4")])
+    deals = partitions(work.spark, int((total.entries or 0) * record.itemsize / SHIP_BYTES) + 1)
+
+    def file(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch, values in texts(batches):
+            packed = [np.zeros(0, record)]
+            for node, text in zip(batch.column(0).to_pylist(), values, strict=True):
+                if node in seen:
+                    continue
+                seen.add(node)
+                own = shingle_set(text, words)
+                prefix = _prefix(np.frombuffer(own, np.uint64), frequent, counts, similarity) if own else []
+                rows = np.zeros(len(prefix), record)
+                rows["shingle"], rows["member"], rows["size"] = prefix, _set_key(own), len(own) // 8
+                packed.append(rows)
+            rows = np.concatenate(packed)
+            to = ((rows["shingle"] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)) % np.uint64(deals)).astype(np.int64)
+            order = np.argsort(to, kind="stable")
+            rows, to = rows[order], to[order]
+            cuts = np.flatnonzero(np.diff(to)) + 1
+            first = np.concatenate(([0], cuts)) if len(to) else np.array([], int)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([shingle_set(v, words) for v in values], pa.binary())], ["node", "shingles"]
+                [pa.array(to[first]), pa.array([x.tobytes() for x in np.split(rows, cuts)] if len(to) else [], pa.binary())],
+                ["deal", "entries"],
             )
 
-    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            same = [jaccard(x, y) >= similarity for x, y in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist(), strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(same, pa.bool_()))
-
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = docs.join(needed, F.col("_node") == F.col("node"), "left_semi").groupBy("_node").agg(F.first("text").alias("text"))
-    sets = work.write(wanted.mapInArrow(collect_sets, "node long, shingles binary"), "shingles")
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("left"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("right"))
-    return pairs.join(left, "a").join(right, "b").mapInArrow(compare, "a long, b long")
+    def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = np.concatenate([np.zeros(0, record), *[np.frombuffer(x, record) for b in batches for x in b.column(1).to_pylist()]])
+        rows = rows[np.lexsort((rows["member"], rows["size"], rows["shingle"]))]
+        apart = rows["size"][:-1] < similarity * rows["size"][1:] - 1e-6  # too unlike in size, as are all before and after
+        new = np.concatenate(([True], (rows["shingle"][1:] != rows["shingle"][:-1]) | apart))[: len(rows)]
+        first = np.flatnonzero(new)
+        centre = np.repeat(rows["member"][first], np.diff(np.append(first, len(rows))))
+        met = centre != rows["member"]
+        order = np.lexsort((rows["member"][met], centre[met]))
+        a, b = centre[met][order], rows["member"][met][order]
+        once = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))[: len(a)]
+        yield pa.RecordBatch.from_arrays([pa.array(a[once]), pa.array(b[once])], ["centre", "member"])
+
+    filed = docs.select("_node", "text").mapInArrow(file, "deal long, entries binary")
+    met = work.write(filed.repartition(deals, "deal").mapInArrow(meet, "centre long, member long").distinct(), "met")
+    return met.union(met.select("centre", F.col("centre").alias("member")).distinct())
+
+
+def _alike(work: Workspace, docs: DataFrame, nodes: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Pairs (a, b) of shingle sets that connect what all pairs of similar sets connect.
+
+    The members of a centre are compared, a large group in blocks, each two in one task: first by
+    sketches, which rule out most, then the sets in full.
+    """
+    def collect_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, values in texts(batches):
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([shingle_set(v, words) for v in values], pa.binary())], ["set", "shingles"]
+            )
 
+    def sift(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, bounds in _windows(batches):
+            sketches = np.frombuffer(b"".join(rows["sketch"].to_pylist()), "<u4").reshape(-1, 64)
+            keep = np.zeros(len(rows), bool)
+            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                keep[a:b] = _possible(sketches[a:b], similarity)
+            yield from rows.select(["pair", "member"]).filter(pa.array(keep)).combine_chunks().to_batches()
 
-def drop_near_duplicates(
-    work: Workspace, docs: DataFrame, words: int = 5, similarity: float = 0.8, distance: int = CANDIDATE_DISTANCE
-) -> DataFrame:
+    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, bounds in _windows(batches):
+            member = rows["member"].to_numpy()
+            sets = [np.frombuffer(x, np.uint64) for x in rows["shingles"].to_pylist()]
+            found = [(a + i, a + j) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True) if b - a > 1 for i, j in _joined(sets[a:b], similarity)]
+            found = np.array(found, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(member[found[:, 0]]), pa.array(member[found[:, 1]])], ["a", "b"])
+
+    def together(rows: DataFrame) -> DataFrame:
+        return rows.repartition(partitions(work.spark), "pair").sortWithinPartitions("pair")
+
+    met = work.write(_meetings(work, docs, nodes, words, similarity), "meetings")
+    blocks = met.groupBy(F.col("centre").alias("_centre")).agg(F.ceil(F.count(F.lit(1)) / SETS_BLOCK).cast("int").alias("_blocks"))
+    mine = F.pmod(F.xxhash64("member"), F.col("_blocks")).cast("int")
+    dealt = met.join(blocks, F.col("centre") == F.col("_centre")).select(
+        "centre", "member", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("other")
+    ).select(F.xxhash64("centre", F.least("mine", "other"), F.greatest("mine", "other")).alias("pair"), "member")
+    one = nodes.groupBy("set").agg(F.min(F.struct("node", "sketch")).alias("one")).select("set", "one.*")
+    sketched = dealt.join(one, F.col("member") == F.col("set")).select("pair", "member", "sketch")
+    possible = work.write(together(sketched).mapInArrow(sift, "pair long, member long"), "possible")
+    needed = possible.select(F.col("member").alias("set")).distinct()
+    texts_of = one.join(needed, "set").select("set", "node")
+    wanted = docs.join(texts_of, F.col("_node") == F.col("node")).groupBy("set").agg(F.first("text").alias("text"))
+    sets = work.write(wanted.mapInArrow(collect_sets, "set long, shingles binary"), "shingles")
+    shipped = possible.join(sets, F.col("member") == F.col("set")).select("pair", "member", "shingles")
+    return together(shipped).mapInArrow(compare, "a long, b long")
+
+
+def drop_near_duplicates(work: Workspace, docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """Rows of docs (doc_id, text, ...) less all but one of each group of near duplicates.
 
-    Candidates are texts whose fingerprints of word pairs differ in at most ``distance`` bits (a
-    few edge-disjoint spanning forests of these links, see ``links``); two are near duplicates
-    if their sets of ``words``-word shingles share at least ``similarity``. Groups are what such
-    pairs connect; the row of the smallest doc_id stays, of repeated rows one. Equal texts (by a
-    64-bit hash) are one node from the start. A null text counts as empty; empty texts are
+    Two texts are near duplicates if their sets of ``words``-word shingles share at least
+    ``similarity``; all such pairs count, see ``_meetings``. Groups are what such
+    pairs connect; the row of the smallest doc_id stays, of repeated rows one. Equal texts and
+    texts of equal sets (by 64-bit hashes) are one node from the start. A null text counts as empty; empty texts are
     copies of each other; a null doc_id stays only if its group has no other. Further columns
     pass, an empty table gives no rows.
     """
@@ -383,29 +604,23 @@ def drop_near_duplicates(
 
     def mark(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, values in texts(batches):
-            codes = np.array([fingerprint(v, CANDIDATE_WORDS) for v in values], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(codes)], ["doc_id", "node", "code"])
+            sets = [shingle_set(v, words) for v in values]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array([_set_key(x) for x in sets], pa.int64()), pa.array([len(x) // 8 for x in sets], pa.int64()),
+                 pa.array([_sketch(x) for x in sets], pa.binary())],
+                ["doc_id", "node", "set", "n", "sketch"],
+            )
 
     marked = work.write(
-        hashed.select(F.col("doc_id").cast("long"), F.col("_node").alias("node"), "text").mapInArrow(mark, "doc_id long, node long, code long"),
+        hashed.select(F.col("doc_id").cast("long"), F.col("_node").alias("node"), "text").mapInArrow(mark, "doc_id long, node long, set long, n long, sketch binary"),
         "marked",
     )
-    nodes = work.write(marked.groupBy("node", "code").agg(F.min("doc_id").alias("first_id")), "nodes")
-    codes = work.write(nodes.groupBy("code").agg(F.min("node").alias("low"), F.max("node").alias("high")), "codes")
-    near = work.write(links(work, codes, distance, FORESTS), "near")
-    low = codes.select("code", "low")
-    between = (
-        near.join(low.select(F.col("code").alias("a"), F.col("low").alias("x")), "a")
-        .join(low.select(F.col("code").alias("b"), F.col("low").alias("y")), "b").select("x", "y")
-    )
-    within = nodes.join(codes.filter("low <> high"), "code")
-    pairs = between.union(within.select("node", "low")).union(within.select("node", "high")).toDF("x", "y").filter("x <> y")
-    pairs = work.write(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs")
-    alike = work.write(_alike(work, hashed, pairs, words, similarity), "alike")
+    nodes = work.write(marked.groupBy("node", "set", "n", "sketch").agg(F.min("doc_id").alias("first_id")), "nodes")
+    alike = work.write(_alike(work, hashed, nodes, words, similarity), "alike")
     roots = components(work, alike)
     rooted = work.write(
-        nodes.join(roots.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left")
-        .select("node", "first_id", F.coalesce("root", "node").alias("root")), "rooted"
+        nodes.join(roots.withColumnRenamed("node", "_n"), F.col("set") == F.col("_n"), "left")
+        .select("node", "first_id", F.coalesce("root", "set").alias("root")), "rooted"
     )
     # The smallest id of a group, and of the texts that have it the one of the smallest hash.
     best = rooted.groupBy("root").agg(F.min(F.struct(F.col("first_id").isNull().alias("late"), "first_id", "node")).alias("best"))
