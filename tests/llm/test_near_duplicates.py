@@ -22,3 +22,13 @@ def test_texts_of_one_fingerprint_are_all_compared(work, spark):
         texts += [" ".join(["a"] * 80 + tail), " ".join(["a"] * 80 + tail[:-1] + ["other"])]
     assert len({simhash.fingerprint(t.encode(), 2) for t in texts}) == 1
     assert check(work, spark, texts) == 12
+
+
+def test_closer_fingerprints_that_are_not_similar_hide_no_pair(work, spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SETS_BLOCK", 8)  # so that large groups are compared in blocks
+    rng = np.random.default_rng(8)
+    blocks, texts = [[f"b{i}_{j}" for j in range(10)] for i in range(40)], []
+    for g in range(60):  # the order of blocks changes one word pair in ten, but four shingles in ten
+        words = [w for i in rng.permutation(40) for w in blocks[i]]
+        texts += [" ".join(words), " ".join([*words[:360], *(f"x{g}_{i}" for i in range(40))])]
+    assert check(work, spark, texts) == 60
