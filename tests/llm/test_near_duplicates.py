@@ -32,3 +32,11 @@ def test_closer_fingerprints_that_are_not_similar_hide_no_pair(work, spark, monk
         words = [w for i in rng.permutation(40) for w in blocks[i]]
         texts += [" ".join(words), " ".join([*words[:360], *(f"x{g}_{i}" for i in range(40))])]
     assert check(work, spark, texts) == 60
+
+
+def test_every_pair_at_the_limit_is_found(work, spark):
+    texts = []
+    for g in range(150):
+        words = [f"w{g}_{i}" for i in range(60)]
+        texts += [" ".join(words), " ".join([*words[:54], *(f"x{g}_{i}" for i in range(6))])]
+    assert check(work, spark, texts) == 150
