@@ -446,14 +446,20 @@ def _set_key(packed: bytes) -> int:
 
 
 def _sketch(packed: bytes) -> bytes:
-    """How many of a set's shingles fall in each of 64 classes: no more of a class can be shared."""
-    return np.bincount((np.frombuffer(packed, np.uint64) >> np.uint64(58)).astype(np.int64), minlength=64).astype("<u4").tobytes()
+    """How many of a set's shingles fall in each class of hashes: no more of a class can be shared.
+
+    There are 64 classes at least, and one for 8 to 16 shingles in a larger set.
+    """
+    bits = max(6, (len(packed) // 8).bit_length() - 4)
+    classes = (np.frombuffer(packed, np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
+    return np.bincount(classes, minlength=1 << bits).astype("<u4").tobytes()
 
 
-def _possible(sketches: np.ndarray, similarity: float) -> np.ndarray:
+def _possible(packed: list[bytes], similarity: float) -> np.ndarray:
     """Which sets have another one that, from the sketches, may be similar enough."""
-    m = len(sketches)
-    if m <= 64:
+    m, classes = len(packed), min(len(x) for x in packed) // 4
+    sketches = np.array([np.frombuffer(x, "<u4").reshape(classes, -1).sum(axis=1) for x in packed]).astype(np.uint32)
+    if m * m * classes <= 1 << 20:
         both = np.minimum(sketches[:, None, :], sketches[None, :, :]).sum(axis=2, dtype=np.float64)
     else:
         both = np.zeros((m, m))
@@ -555,7 +561,7 @@ def _alike(work: Workspace, docs: DataFrame, nodes: DataFrame, words: int, simil
 
     def sift(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, bounds in _windows(batches):
-            sketches = np.frombuffer(b"".join(rows["sketch"].to_pylist()), "<u4").reshape(-1, 64)
+            sketches = rows["sketch"].to_pylist()
             keep = np.zeros(len(rows), bool)
             for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                 keep[a:b] = _possible(sketches[a:b], similarity)
