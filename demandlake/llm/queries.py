@@ -1,4 +1,4 @@
-"""The ten operators applied to their whole tables."""
+"""The operators applied to their whole tables."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandlake.llm import ann, archive, extract, mixing, neighbours, packing, passages, quality, sharding, simhash
+from demandlake.llm import ann, archive, extract, mixing, neighbours, packing, passages, quality, runs, sharding, simhash
 from demandlake.llm.common import Workspace, table
 from demandlake.llm.registry import register
 
@@ -166,3 +166,40 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = Workspace(spark, "op10")
     index = ann.build_index(work, table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
     return ann.nearest(work, index, F.col("id") % 20 == 0)
+
+
+def with_repetitions(docs: DataFrame) -> DataFrame:
+    """Documents (doc_id, text), a tenth of which repeat a part of themselves from some word on.
+
+    Where crc32(doc_id) is divisible by 10, the p words from word a on come again and again up to the end.
+    A document without words, or without doc_id, stays as it is.
+    """
+    size, start, period = F.size("_words"), F.col("_start"), F.col("_period")
+    some = docs.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("_h"))
+    some = some.withColumn("_words", F.when(F.col("_h") % 10 == 0, F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "")))
+    some = some.withColumn("_start", F.when(size > 0, F.floor(F.col("_h") / 10) % F.greatest(size, F.lit(1))).cast("int"))
+    some = some.withColumn("_period", (F.floor((size - start) / (F.floor(F.col("_h") / 10) % 8 + 3)) + 1).cast("int"))
+    part = F.slice("_words", start + 1, period)
+    whole = F.slice(F.flatten(F.array_repeat(part, F.ceil((size - start) / period).cast("int"))), F.lit(1), size - start)
+    again = F.array_join(F.concat(F.slice("_words", F.lit(1), start), whole), " ")
+    return some.select("doc_id", F.when(start.isNotNull(), again).otherwise(F.col("text")).alias("text"))
+
+
+def run_digest(found: DataFrame) -> DataFrame:
+    """Runs of documents as their number, the run of most periods, and checksums."""
+    line = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    lines = F.when(F.size("runs") > 0, F.concat(F.array_join(line, "\n"), F.lit("\n"))).otherwise(F.lit(""))
+    top = F.reduce("runs", F.get("runs", F.lit(0)), lambda best, r: F.when(r["length"] * best["period"] > best["length"] * r["period"], r).otherwise(best))
+    found = found.select("*", F.size("runs").cast("long").alias("n_runs"), top.alias("_top"))
+    return found.select(
+        "doc_id", "n_runs", "_top.start", "_top.length", "_top.period",
+        F.floor(F.col("_top.length") * 1000 / F.col("_top.period")).cast("long").alias("exponent_milli"),
+        F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("kept").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+@register("op11_runs")
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words in all documents, a tenth of which repeat themselves."""
+    docs = with_repetitions(table(spark, sf_dir, "documents"))
+    return run_digest(runs.find_runs(Workspace(spark, "op11"), docs))
