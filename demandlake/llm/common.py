@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -14,6 +15,7 @@ from demandlake.session import shared_folder
 RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 BATCH_BYTES, UNBOUNDED = "spark.sql.execution.arrow.maxBytesPerBatch", str((1 << 31) - 1)
 WORD = r"[^\x20\x09-\x0D]+"
+BLANK = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -157,3 +159,15 @@ def texts(batches: Iterable[pa.RecordBatch], column: str = "text") -> Iterator[t
     for batch in batches:
         values = batch.column(batch.schema.get_field_index(column)).cast(pa.large_binary()).to_pylist()
         yield batch, [v or b"" for v in values]
+
+
+def segments(text: bytes, size: int = 1 << 20) -> Iterator[bytes]:
+    """A text in parts of about ``size`` bytes, cut at ASCII white space, so that no word is cut."""
+    at = 0
+    while at < len(text):
+        end = min(at + size, len(text))
+        if end < len(text):
+            blank = BLANK.search(text, end)
+            end = blank.start() if blank else len(text)
+        yield text[at:end]
+        at = end

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandlake.llm import ann, archive, extract, mixing, neighbours, packing, passages, quality, runs, sharding, simhash
+from demandlake.llm import ann, archive, extract, mixing, neighbours, packing, passages, quality, runs, sharding, simhash, spelling
 from demandlake.llm.common import Workspace, table
 from demandlake.llm.registry import register
 
@@ -203,3 +203,47 @@ def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Periodic runs of words in all documents, a tenth of which repeat themselves."""
     docs = with_repetitions(table(spark, sf_dir, "documents"))
     return run_digest(runs.find_runs(Workspace(spark, "op11"), docs))
+
+
+OP12_SQL = r"""
+WITH RECURSIVE step AS (
+  SELECT range AS i, 0 AS k, range AS c FROM range(256)
+  UNION ALL SELECT i, k + 1, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM step WHERE k < 8
+), crc AS (
+  SELECT list(c ORDER BY i) AS t FROM step WHERE k = 8
+), found AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{00C0}-\x{00FF}]+')) AS w
+  FROM documents
+), per_doc AS (
+  SELECT doc_id, w, count(*) AS c, list_transform(string_split(doc_id || ':' || w, ''), lambda x: unicode(x)) AS u FROM found GROUP BY doc_id, w
+), hashed AS (
+  SELECT w, c, xor(list_reduce(flatten(list_transform(u, lambda x: CASE WHEN x < 128 THEN [x] ELSE [195, x - 64] END)),
+    lambda h, b: xor(h >> 8, t[CAST(xor(h, b) & 255 AS INTEGER) + 1]), 4294967295), 4294967295) AS h FROM per_doc, crc
+), word_n AS (
+  SELECT CASE WHEN h % 199 = 0 THEN substr(w, 1, CAST(h % length(w) AS INTEGER)) || substr(w, CAST(h % length(w) AS INTEGER) + 2) ELSE w END AS word, c FROM hashed
+), v AS (
+  SELECT word, CAST(sum(c) AS BIGINT) AS n FROM word_n WHERE length(word) >= 6 GROUP BY word HAVING sum(c) >= 5
+), less AS (
+  SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)
+), near AS (
+  SELECT a.word, b.word AS other, b.n AS other_n FROM less AS a JOIN less AS b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT less.word, v.word, v.n FROM less JOIN v ON less.rest = v.word
+  UNION SELECT v.word, less.word, less.n FROM less JOIN v ON less.rest = v.word
+), best AS (
+  SELECT word, count(*) AS n_near, first(other ORDER BY other_n DESC, other) AS other, max(other_n) AS other_n FROM near GROUP BY word
+), f AS (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 5 * n THEN other END AS form, CASE WHEN other_n >= 5 * n THEN other_n END AS form_n
+  FROM v LEFT JOIN best USING (word)
+), follow AS (
+  SELECT word, word AS root, form AS next FROM f
+  UNION ALL SELECT follow.word, f.word, f.form FROM follow JOIN f ON follow.next = f.word
+)
+SELECT f.*, root FROM f JOIN follow USING (word) WHERE next IS NULL
+"""
+
+
+@register("op12_spelling", OP12_SQL)
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with the more frequent word, one letter away, that they are a variant of."""
+    found = spelling.variants(Workspace(spark, "op12"), table(spark, sf_dir, "documents"), noise=199)
+    return found.select("word", "n", "n_near", "form", "form_n", "root")
