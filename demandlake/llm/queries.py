@@ -198,7 +198,47 @@ def run_digest(found: DataFrame) -> DataFrame:
     )
 
 
-@register("op11_runs")
+OP11_SQL = r"""
+WITH RECURSIVE step AS (
+  SELECT range AS i, 0 AS k, range AS c FROM range(256)
+  UNION ALL SELECT i, k + 1, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM step WHERE k < 8
+), crc AS (
+  SELECT list(c ORDER BY i) AS t FROM step WHERE k = 8
+), d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w,
+    xor(list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: unicode(x)), lambda h, b: xor(h >> 8, t[CAST(xor(h, b) & 255 AS INTEGER) + 1]), 4294967295), 4294967295) AS h
+  FROM documents, crc
+), p AS (
+  SELECT doc_id, w, len(w) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN CAST((h // 10) % len(w) AS BIGINT) END AS a, h // 10 % 8 + 3 AS k FROM d
+), words AS (
+  SELECT doc_id, n, i, CASE WHEN a IS NULL OR i < a THEN w[i + 1] ELSE w[a + (i - a) % (1 + (n - a) // k) + 1] END AS word
+  FROM (SELECT *, unnest(range(n)) AS i FROM p)
+), grams AS (
+  SELECT doc_id, n, i, word, hash(word, lead(word) OVER x, lead(word, 2) OVER x, lead(word, 3) OVER x) AS g FROM words WINDOW x AS (PARTITION BY doc_id ORDER BY i)
+), periods AS (
+  SELECT DISTINCT a.doc_id, b.i - a.i AS q FROM grams AS a JOIN grams AS b ON a.doc_id = b.doc_id AND a.g = b.g AND b.i > a.i AND b.i - a.i <= a.n // 3
+), same AS (
+  SELECT a.doc_id, q, a.i, a.i - row_number() OVER (PARTITION BY a.doc_id, q ORDER BY a.i) AS island
+  FROM periods JOIN words AS a USING (doc_id) JOIN words AS b ON b.doc_id = a.doc_id AND b.i = a.i + q AND b.word = a.word
+), r AS (
+  SELECT doc_id, min(i) AS start, count(*) + q AS length, min(q) AS period FROM same GROUP BY doc_id, q, island HAVING count(*) + q >= greatest(24, 3 * q)
+), runs AS (
+  SELECT doc_id, start, length, min(period) AS period FROM r GROUP BY doc_id, start, length
+), top AS (
+  SELECT doc_id, count(*) AS n_runs, arg_min({'s': start, 'l': length, 'p': period}, {'e': -length / period, 's': start, 'p': period}) AS best,
+    string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines
+  FROM runs GROUP BY doc_id
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text FROM words AS x
+  WHERE NOT EXISTS (FROM runs WHERE runs.doc_id = x.doc_id AND x.i >= start + period AND x.i < start + length) GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, best.s AS start, best.l AS length, best.p AS period, best.l * 1000 // best.p AS exponent_milli,
+  sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+FROM d LEFT JOIN top USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
+@register("op11_runs", OP11_SQL)
 def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Periodic runs of words in all documents, a tenth of which repeat themselves."""
     docs = with_repetitions(table(spark, sf_dir, "documents"))
