@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandlake.llm import ann, archive, extract, mixing, neighbours, packing, passages, quality, runs, sharding, simhash, spelling
+from demandlake.llm import ann, archive, bestfit, extract, mixing, neighbours, packing, passages, quality, runs, sharding, simhash, spelling
 from demandlake.llm.common import Workspace, table
 from demandlake.llm.registry import register
 
@@ -287,3 +287,11 @@ def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of all documents with the more frequent word, one letter away, that they are a variant of."""
     found = spelling.variants(Workspace(spark, "op12"), table(spark, sf_dir, "documents"), noise=199)
     return found.select("word", "n", "n_near", "form", "form_n", "root")
+
+
+@register("op13_best_fit")
+def op13_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of all documents packed into sequences of 4096 by vector best fit; tokens alone limit a sequence."""
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    packed = bestfit.pack(Workspace(spark, "op13"), table(spark, sf_dir, "documents"), tokenizer)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
