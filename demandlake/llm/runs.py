@@ -15,7 +15,6 @@ period away: for periods of 2m to 4m words, only places of the same m words are
 from __future__ import annotations
 
 import itertools
-import re
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
@@ -24,15 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from demandlake.llm.common import Workspace, texts
+from demandlake.llm.common import Workspace, segments, texts
 
 LEAST, EXPONENT = 24, 3  # a run has so many words and so many periods at least
 GRAM = 4
 GROUP_WORDS = 1 << 18  # words that are parsed together; a longer text is parsed alone
-SEGMENT = 1 << 20  # bytes of a text that are cut into words at once
 PAIRS = 1 << 15  # (boundary, period) pairs that are tried at once
-MANY = 16  # periods to try at a boundary, beyond which multiples of found ones are left out first
-BLANK = re.compile(rb"[\x20\x09-\x0D]")
+MANY = 16  # periods to try at a boundary at once; beyond, multiples of found ones are left out first
 SCHEMA = "doc_id long, n_words long, runs array<struct<start: long, length: long, period: long>>, kept binary"
 RUN = pa.struct([("start", pa.int64()), ("length", pa.int64()), ("period", pa.int64())])
 
@@ -41,15 +38,10 @@ def word_ids(text: bytes) -> tuple[np.ndarray, list[bytes]]:
     """Words of a text as numbers, and the distinct words in the order of the numbers."""
     index: defaultdict[bytes, int] = defaultdict()
     index.default_factory = index.__len__
-    parts, at = [], 0
-    while at < len(text):
-        end = at + SEGMENT
-        if end < len(text):
-            blank = BLANK.search(text, end)
-            end = blank.start() if blank else len(text)
-        words = text[at:end].split()
+    parts = []
+    for part in segments(text):
+        words = part.split()
         parts.append(np.fromiter(map(index.__getitem__, words), np.int32, len(words)))
-        at = end
     return np.concatenate(parts) if parts else np.empty(0, np.int32), list(index)
 
 
@@ -120,9 +112,9 @@ def reach(words: np.ndarray, at: np.ndarray, gap: np.ndarray, room: np.ndarray,
     got, alive, width = np.zeros(len(at), np.int64), np.flatnonzero(room > 0), 8
     while len(alive):
         span = np.arange(width)
-        here = np.clip((at[alive] + step * got[alive])[:, None] + step * span, 0, len(words) - 1)
-        there = np.minimum(here + gap[alive][:, None], len(words) - 1)
-        same = (words[here] == words[there]) & (span < (room - got)[alive][:, None])
+        here = (at[alive] + step * got[alive])[:, None] + step * span
+        same = words.take(here, mode="clip") == words.take(here + gap[alive][:, None], mode="clip")
+        same &= span < (room - got)[alive][:, None]
         full = same.all(axis=1)
         got[alive] += np.where(full, width, same.argmin(axis=1))
         alive = alive[full]
@@ -147,20 +139,22 @@ def crossing(
     """
     nodes = np.flatnonzero(high - low >= least)
     most = (high - low) // exponent
-    found = [(np.empty(0, np.int64),) * 4]
+    found, known = [(np.empty(0, np.int64),) * 4], defaultdict(list)
 
     def keep(j, here, gap):
         start, end, good = _try(words, low[j], split[j], high[j], here, gap, least, exponent)
         found.append((j[good], start[good], end[good], gap[good]))
+        for node, *run in zip(*(x.tolist() for x in found[-1]), strict=True):
+            known[node].append(run)
 
+    left = {False: nodes, True: nodes}  # what repeats no m words at its split repeats no 2m words there
     for (m, number, keys), back in itertools.product(places.levels, (False, True)):
         near, far = 1 if m == GRAM else 2 * m, 4 * m - 1
-        k = nodes[most[nodes] >= near]
+        k = left[back]
+        k = k[most[k] >= near]
+        at = split[k] - m if back else split[k]
+        k = left[back] = k[(number.take(at, mode="clip") >= 0) & (at >= low[k]) & (at + m <= high[k])]
         at = split[k] - m if back else split[k]
-        ok = (at >= low[k]) & (at + m <= high[k])
-        k, at = k[ok], at[ok]
-        ok = number[at] >= 0
-        k, at = k[ok], at[ok]
         far = np.minimum(most[k], far)
         first, last = (np.maximum(low[k], at - far), at - near) if back else (at + near, np.minimum(high[k] - m, at + far))
         base = number[at].astype(np.int64) * places.n
@@ -174,13 +168,13 @@ def crossing(
             other = keys[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + a[which]] % places.n
             keep(k[which], np.minimum(other, at[which]), np.abs(other - at[which]))
         for i in np.flatnonzero(b - a > MANY):
-            gaps, j, lot, seen = np.sort(np.abs(keys[a[i] : b[i]] % places.n - at[i])), k[i], MANY, 0
+            gaps, j, lot, seen = np.sort(np.abs(keys[a[i] : b[i]] % places.n - at[i])), int(k[i]), MANY, 0
             while len(gaps):
-                for node, start, end, gap in found[seen:]:  # a multiple of a found period has the same run
-                    for x in np.flatnonzero(node == j):
-                        inside = (at[i] - gaps >= start[x]) if back else (at[i] + gaps + m <= end[x])
-                        gaps = gaps[(gaps % gap[x] != 0) | ~(inside & (start[x] <= at[i]) & (at[i] + m <= end[x]))]
-                seen = len(found)
+                for start, end, period in known[j][seen:]:  # a multiple of a found period has the same run
+                    if start <= at[i] and at[i] + m <= end:
+                        inside = (at[i] - gaps >= start) if back else (at[i] + gaps + m <= end)
+                        gaps = gaps[(gaps % period != 0) | ~inside]
+                seen = len(known[j])
                 gap, gaps, lot = gaps[:lot], gaps[lot:], 2 * lot
                 if len(gap):
                     keep(np.full(len(gap), j), at[i] - gap if back else np.full(len(gap), at[i]), gap)
