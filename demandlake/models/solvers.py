@@ -8,6 +8,7 @@ the in-sample residuals. It raises ValueError when the series cannot carry the f
 from __future__ import annotations
 
 import math
+from typing import NamedTuple
 
 import numpy as np
 
@@ -98,7 +99,22 @@ def _undifference(f: np.ndarray, levels: list[np.ndarray], d: int, big_d: int, s
     return f
 
 
-def autoregressive(y, x, month, xf, monthf, params):
+class AutoregressiveFit(NamedTuple):
+    """What a fit leaves for forecasts: orders, coefficients (lags, shocks, drivers, constant), levels of differences, shocks."""
+
+    d: int
+    seasonal_d: int
+    season: int
+    lags: list[int]
+    shocks: list[int]
+    constant: int
+    beta: np.ndarray
+    levels: list[np.ndarray]
+    errors: np.ndarray
+    residuals: np.ndarray
+
+
+def autoregressive_fit(y, x, params) -> AutoregressiveFit:
     """Seasonal autoregression with moving-average terms and drivers, by conditional least squares.
 
     Orders p, d, q and P, D, Q with season s. Past shocks are the residuals of a long
@@ -106,13 +122,13 @@ def autoregressive(y, x, month, xf, monthf, params):
     """
     p, d, q = (int(params.get(k, 0)) for k in ("p", "d", "q"))
     sp, sd, sq = (int(params.get(k, 0)) for k in ("P", "D", "Q"))
-    s, h = int(params.get("s", 12)), len(monthf)
+    s = int(params.get("s", 12))
     if len(y) <= s * sd + d + 3:
         raise ValueError(f"{len(y)} observations are too few for the differences")
     levels = _difference(np.asarray(y, dtype=float), d, sd, s)
     w = levels[-1]
     n = len(w)
-    drivers = _difference(np.concatenate([x, xf]), d, sd, s)[-1] if x.shape[1] else np.empty((n + h, 0))
+    drivers = _difference(x, d, sd, s)[-1] if x.shape[1] else np.empty((n, 0))
     lags = list(range(1, p + 1)) + [s * k for k in range(1, sp + 1)]
     shocks = list(range(1, q + 1)) + [s * k for k in range(1, sq + 1)]
     eps, start = np.zeros(n), 0
@@ -135,14 +151,22 @@ def autoregressive(y, x, month, xf, monthf, params):
         resid = w[start:] - a @ beta
     else:
         beta, resid = np.empty(0), w[start:].copy()
-    past, shock, out = list(w), list(eps), []
+    return AutoregressiveFit(d, sd, s, lags, shocks, const, beta, levels, eps, resid)
+
+
+def autoregressive(y, x, month, xf, monthf, params):
+    """Forecasts and residuals of ``autoregressive_fit``."""
+    fit, h = autoregressive_fit(y, x, params), len(monthf)
+    n = len(fit.levels[-1])
+    ahead = _difference(np.concatenate([x, xf]), fit.d, fit.seasonal_d, fit.season)[-1][n:] if x.shape[1] else np.empty((h, 0))
+    past, shock, out = list(fit.levels[-1]), list(fit.errors), []
     for i in range(h):
-        row = [past[-k] for k in lags] + [shock[-k] for k in shocks] + list(drivers[n + i]) + ([1.0] if const else [])
-        value = float(np.dot(beta, row)) if row else 0.0
+        row = [past[-k] for k in fit.lags] + [shock[-k] for k in fit.shocks] + list(ahead[i]) + [1.0] * fit.constant
+        value = float(np.dot(fit.beta, row)) if row else 0.0
         out.append(value)
         past.append(value)
         shock.append(0.0)
-    return _undifference(np.array(out), levels, d, sd, s), resid
+    return _undifference(np.array(out), fit.levels, fit.d, fit.seasonal_d, fit.season), fit.residuals
 
 
 def regression_terms(y: np.ndarray, x: np.ndarray):

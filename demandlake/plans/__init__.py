@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from demandlake.plans import backtest, features, hierarchy, ingestion, model_input, modelling, retrieval  # noqa: F401
+from demandlake.plans import backtest, coefficients, features, hierarchy, ingestion, model_input, modelling, retrieval  # noqa: F401
 from demandlake.plans.registry import AS_OF, ORACLES, QUERIES, Query, complete
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from demandlake.config import BacktestConfig, FeatureConfig
-from demandlake.models import baseline, candidates, grouped, tree
+from demandlake.models import baseline, candidates, grouped, linear, tree
 from demandlake.operators import calendar as cal
 from demandlake.operators import explain
 from demandlake.operators import features as feat
@@ -24,10 +24,12 @@ TREE = {"iterations": 8, "depth": 3, "learning_rate": 0.2}
 SHORT = FeatureConfig(target_lags=(1, 2, 3), rolling_windows=(3,), include_std=False, trend_diffs=(1,), trend_pct_changes=(12,))
 
 
-def doubles(spark, sf_dir):
-    """Feature table with DOUBLE regressors, staged."""
+def doubles(spark, sf_dir, gaps=False):
+    """Feature table with DOUBLE regressors, staged. Months without demand or a regressor are left out
+    as in every linear family's input; with ``gaps`` they stay, for families that know missing values."""
     df = feature_frame(spark, sf_dir)
-    return stage(df.select("sku", "month_start_date", "monthly_demand", *[F.col(c).cast("double").alias(c) for c in REGRESSORS]))
+    df = df.select("sku", "month_start_date", "monthly_demand", *[F.col(c).cast("double").alias(c) for c in REGRESSORS])
+    return stage(df if gaps else df.dropna())
 
 
 def _metrics(predictions, cfg=CFG):
@@ -95,11 +97,16 @@ def m1_failing_cycle(spark, sf_dir):
     return rounded(per_cycle.select("sku", "cycle_index", "status", "wmape"))
 
 
-@query("m3_structural_backtest")
+_METRICS = ", ".join(f"round({m}, 6) AS {m}" for m in met.metric_names(CFG.horizon))
+
+
+@query("m3_structural_backtest", f"""
+SELECT sku, family, candidate_id, {_METRICS}, n_cycles, n_cycles_evaluated, 'success' AS status FROM s_m3_pool
+""")
 def m3_structural_backtest(spark, sf_dir):
-    """Structural candidates over all cycles."""
+    """Structural candidates over all cycles, fitted from running sums."""
     hist = doubles(spark, sf_dir)
-    return _metrics(grouped.backtest(hist, candidates.sample(hist, "structural", 6), CFG, REGRESSORS))
+    return _metrics(linear.backtest_structural(hist, candidates.sample(hist, "structural", 6), CFG, REGRESSORS))
 
 
 @query("m4_autoregressive_backtest")
