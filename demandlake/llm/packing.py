@@ -3,9 +3,6 @@
 from __future__ import annotations
 
 import itertools
-import os
-import re
-import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -14,74 +11,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from demandlake.llm.common import Workspace
+from demandlake.llm.tokens import cut_documents
 
 LENGTH = 4096
 END_ID = 2
 GROUP_PIECES = 8192  # pieces that a group has on average
-KNOWN_WORDS = 600_000  # a worker forgets its words beyond so many
-#: How the tokenizer cuts a lower-cased text of the letters below into words.
-WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
-#: A chunk with any other character, or with the start of a special token, is left to the tokenizer whole.
-OTHER = re.compile(r"[^\x21-\x7eÀ-ÖØ-öø-ÿ]|<\|")
-
-
-class Encoder:
-    """A tokenizer that lower-cases, drops white space and marks word ends, with a memory of words.
-
-    Such a tokenizer never joins what white space parts, so a text's ids are those of its
-    chunks in turn, and each distinct chunk is encoded once. Chunks of plain letters are cut
-    into words first; new words are encoded many at a time and told apart by the word-end mark.
-    """
-
-    _loaded: dict[str, Encoder] = {}
-
-    def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
-        self.chunks: dict[str, bytes] = {"": b""}
-        self.words: dict[str, bytes] = {}
-
-    @classmethod
-    def load(cls, path: str) -> Encoder:
-        """The encoder of this worker process."""
-        if path not in cls._loaded:
-            cls._loaded[path] = cls(path)
-        return cls._loaded[path]
-
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, chunks: list[str]) -> None:
-        plain = [c for c in chunks if not OTHER.search(c)]
-        rest = [c for c in chunks if OTHER.search(c)]
-        for c, ids in zip(rest, self._encode(rest), strict=True):
-            self.chunks[c] = ids.tobytes()
-        cut = [WORDS.findall(c.lower()) for c in plain]
-        new = list(set(itertools.chain.from_iterable(cut)) - self.words.keys())
-        lots = [new[i : i + 200] for i in range(0, len(new), 200)]
-        for lot, ids in zip(lots, self._encode([" ".join(x) for x in lots]), strict=True):
-            found = np.split(ids, np.flatnonzero(self.ends[ids])[:-1] + 1)
-            if len(found) != len(lot):
-                found = self._encode(lot)
-            self.words.update(zip(lot, (f.tobytes() for f in found), strict=True))
-        get = self.words.__getitem__
-        for c, words in zip(plain, cut, strict=True):
-            self.chunks[c] = b"".join(map(get, words))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit numbers."""
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.chunks) > KNOWN_WORDS:
-            self.chunks, self.words = {"": b""}, {}
-        if new := set(itertools.chain.from_iterable(parts)) - self.chunks.keys():
-            self._learn(list(new))
-        get = self.chunks.__getitem__
-        return [b"".join(map(get, p)) for p in parts]
 
 
 class Bins:
@@ -120,33 +54,6 @@ def pack_lengths(lengths: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray,
     return bins, offsets
 
 
-def cut_documents(docs: DataFrame, tokenizer: str, length: int = LENGTH, with_ids: bool = False) -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens[, ids]): documents' ids cut into whole
-    sequences and a rest. ``ids`` are little-endian 32-bit numbers."""
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + (", ids binary" if with_ids else "")
-    end = np.array([END_ID], np.uint32).tobytes()
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder.load(tokenizer)
-        for batch in batches:
-            doc_ids, values = batch.column(0).to_pylist(), batch.column(1)
-            for at in range(0, len(doc_ids), 256):
-                rows = []
-                encoded = encoder.encode([v or "" for v in values.slice(at, 256).to_pylist()])
-                for doc_id, ids in zip(doc_ids[at : at + 256], encoded, strict=True):
-                    ids += end
-                    for start in range(0, len(ids), 4 * length):
-                        piece = ids[start : start + 4 * length]
-                        rows.append((doc_id, start // 4, len(piece) // 4, zlib.crc32(piece), len(ids) // 4, piece))
-                cols = list(zip(*rows, strict=True))[: 6 if with_ids else 5]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, pa.int64()) for c in cols[:5]] + [pa.array(c, pa.binary()) for c in cols[5:]],
-                    ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"][: len(cols)],
-                )
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
-
-
 def pack(
     work: Workspace, docs: DataFrame, tokenizer: str, length: int = LENGTH, group_pieces: int = GROUP_PIECES, with_ids: bool = False
 ) -> DataFrame:
@@ -154,11 +61,11 @@ def pack(
 
     A document's ids end with END_ID; a null or empty text is that id alone. Whole sequences
     are cut from long documents, what is left goes first-fit decreasing into bins. Groups of
-    pieces are random by a hash and packed on their own, so no task sees more than its groups
+    pieces are random by a hash of row numbers and packed on their own, so no task sees more than its groups
     and each group leaves one bin or so unfilled. Repeated rows are packed each; a null doc_id
     is kept. An empty table gives no rows; further columns are ignored.
     """
-    pieces = work.write(cut_documents(docs, tokenizer, length, with_ids), "pieces")
+    pieces = work.write(cut_documents(docs, tokenizer, length, END_ID, with_ids), "pieces")
     groups = max(1, -(-pieces.count() // group_pieces))
     schema = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in pieces.schema)}, sequence_id long, offset long"
 
@@ -178,5 +85,5 @@ def pack(
         out = rows.drop(["group"]).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
         yield from out.to_batches(max_chunksize=10_000)
 
-    dealt = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)))
+    dealt = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "start", F.monotonically_increasing_id()), F.lit(groups)))
     return dealt.repartition(groups, "group").mapInArrow(place, schema)
