@@ -125,16 +125,21 @@ def staged_backtest(
 
 def study(
     history: DataFrame, candidates: DataFrame, cfg: BacktestConfig | None = None, top_n: int = 10,
-    filtered_family: str = "autoregressive", lags: int = 10, prune: bool = False, **options,
+    filtered_family: str = "autoregressive", lags: int = 10, prune: bool = False, others: tuple[DataFrame, DataFrame] | None = None, **options,
 ) -> dict[str, DataFrame]:
     """Evaluate, test, rank and shortlist candidates: predictions, cycle metrics, tuning, prechampions.
 
-    Failed and pruned candidates stay in the tuning table with their status.
+    Failed and pruned candidates stay in the tuning table with their status. ``others`` are candidates of
+    families that are fitted elsewhere, such as pooled trees, and their backtest; they compete with the rest.
     """
     cfg = cfg or BacktestConfig()
     ids = ["sku", "family", "candidate_id"]
     run = staged_backtest if prune else backtest
-    predictions = stage(run(history, candidates, cfg, **options))
+    predictions = run(history, candidates, cfg, **options)
+    if others:
+        candidates = candidates.unionByName(others[0])
+        predictions = predictions.unionByName(others[1], allowMissingColumns=True)
+    predictions = stage(predictions)
     per_cycle = met.cycle_metrics(predictions, cfg)
     pooled = met.pooled_metrics(per_cycle, cfg)
     last = predictions.filter((F.col("cycle_index") == cfg.n_cycles) & (F.col("horizon_step") == 1))

@@ -1,139 +1,13 @@
-"""Boosted trees, pooled over all series: direct models per step, and recursion with one model.
-
-Rows of one series are scaled by its running mean up to the row, which keeps large and
-small series comparable in one model and looks at nothing later than the row. Fits are
-submitted from a few driver threads; each is a distributed MLlib job over staged vectors.
-"""
+"""Target features of the next period, as expressions on the demand so far."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Sequence
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from demandlake.config import BacktestConfig, FeatureConfig
-from demandlake.operators.features import target_feature_columns, target_features
-from demandlake.operators.rolling_origin import origin_position, positions, require_eligible
-from demandlake.session import stage
-
-FAMILY = "tree"
-MIN_PAIRS = 3
-
-
-def _levels(cfg: FeatureConfig) -> list[str]:
-    """Target features that are in units of demand (percent changes are not)."""
-    return [c for c in target_feature_columns(cfg) if not c.startswith(("demand_pct", "rolling_mean_3_vs"))]
-
-
-def regressor(params: dict | None = None, seed: int = 42) -> GBTRegressor:
-    p = params or {}
-    return GBTRegressor(
-        featuresCol="features", labelCol="label", seed=seed,
-        maxIter=int(p.get("iterations", 20)), maxDepth=int(p.get("depth", 3)), stepSize=float(p.get("learning_rate", 0.1)),
-        subsamplingRate=float(p.get("subsample", 1.0)), minInstancesPerNode=int(p.get("min_data_in_leaf", 2)),
-    )
-
-
-def frame(
-    features: DataFrame, regressors: Sequence[str], cfg: FeatureConfig, horizon: int, season: int = 12,
-    target: str = "monthly_demand", date: str = "month_start_date",
-) -> DataFrame:
-    """Vectors, scale and the targets 0..H steps ahead for every row of every series."""
-    w = Window.partitionBy("sku").orderBy(date)
-    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    y = F.col(target)
-    names = ["month", *regressors, *target_feature_columns(cfg)]
-    wide = positions(target_features(features.select("sku", date, target, *regressors), cfg, target, date), date).withColumns(
-        {
-            "month": F.month(date).cast("double"),
-            "_past": F.avg(y).over(upto.rowsBetween(Window.unboundedPreceding, -1)),
-            "_d": F.abs(y - F.lag(y, season).over(w)),
-            "ahead": F.array(*[F.lead(y, h).over(w) for h in range(1, horizon + 1)]),
-            "ahead_dates": F.array(*[F.lead(date, h).over(w) for h in range(1, horizon + 1)]),
-        }
-    ).withColumn("mase_scale", F.nullif(F.avg("_d").over(upto), F.lit(0.0)))
-    # Without past demand there is nothing to scale by: such rows keep their units and teach nothing.
-    wide = wide.withColumn("scale", F.when(F.col("_past") > 0, F.col("_past")).otherwise(1.0))
-    complete = F.coalesce(F.col("_past") > 0, F.lit(False))
-    for c in names:
-        complete = complete & F.col(c).isNotNull()
-    scaled = {c: F.coalesce(F.col(c) / F.col("scale"), F.lit(0.0)) for c in _levels(cfg)}
-    scaled |= {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in names if c not in scaled}
-    ready = wide.withColumn("complete", complete).withColumns(scaled)
-    out = VectorAssembler(inputCols=names, outputCol="features").transform(ready)
-    return out.select("sku", F.col(date).alias("date"), y.alias("y"), "_rn", "_n", "scale", "complete", "mase_scale", "ahead", "ahead_dates", "features")
-
-
-def _parallel(jobs: list[Callable], threads: int) -> list:
-    with ThreadPoolExecutor(max_workers=threads) as pool:
-        return [f.result() for f in [pool.submit(j) for j in jobs]]
-
-
-def backtest(
-    features: DataFrame, regressors: Sequence[str], candidates: dict[str, dict], cfg: BacktestConfig | None = None,
-    fcfg: FeatureConfig | None = None, threads: int = 8, **columns,
-) -> DataFrame:
-    """Direct multi-step backtest: one model per (candidate, cycle, step) over all series.
-
-    A model sees rows whose target lies at or before the origin. A step with fewer than
-    three such pairs is recorded as failed.
-    """
-    cfg, fcfg = cfg or BacktestConfig(), fcfg or FeatureConfig()
-    rows = stage(require_eligible(frame(features, regressors, fcfg, cfg.horizon, cfg.season, **columns), cfg))
-    cycles, steps = range(1, cfg.n_cycles + 1), range(1, cfg.horizon + 1)
-
-    def usable(k: int, h: int) -> Column:
-        return F.col("complete") & (F.col("_rn") + h <= origin_position(k, cfg)) & F.element_at("ahead", h).isNotNull()
-
-    n = rows.agg(*[F.count_if(usable(k, h)).alias(f"{k}_{h}") for k in cycles for h in steps]).first()
-
-    def one(cid: str, params: dict, k: int, h: int) -> Callable[[], DataFrame]:
-        def run() -> DataFrame:
-            origin = rows.filter(F.col("_rn") == origin_position(k, cfg))
-            if n[f"{k}_{h}"] < MIN_PAIRS:
-                scored = origin.withColumns({"prediction": F.lit(None).cast("double"), "status": F.lit("failed: fewer than 3 training pairs")})
-            else:
-                train = rows.filter(usable(k, h)).select("features", (F.element_at("ahead", h) / F.col("scale")).alias("label"))
-                scored = regressor(params).fit(train).transform(origin).withColumn("status", F.lit("success"))
-            return scored.select(
-                "sku", F.lit(FAMILY).alias("family"), F.lit(cid).alias("candidate_id"), F.lit(k).alias("cycle_index"),
-                F.col("date").alias("origin_date"), F.lit(h).alias("horizon_step"), F.element_at("ahead_dates", h).alias("target_date"),
-                F.element_at("ahead", h).alias("y_true"), (F.col("prediction") * F.col("scale")).alias("y_pred"),
-                F.col("_rn").cast("bigint").alias("n_train"), "mase_scale", "status",
-            )
-        return run
-
-    parts = _parallel([one(c, p, k, h) for c, p in candidates.items() for k in cycles for h in steps], threads)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def fit_direct(rows: DataFrame, horizon: int, params: dict | None = None, threads: int = 8) -> dict:
-    """One model per step on the whole history: {h: model}."""
-    def one(h: int) -> Callable:
-        train = rows.filter(F.col("complete") & F.element_at("ahead", h).isNotNull())
-        return lambda: regressor(params).fit(train.select("features", (F.element_at("ahead", h) / F.col("scale")).alias("label")))
-
-    return dict(zip(range(1, horizon + 1), _parallel([one(h) for h in range(1, horizon + 1)], threads), strict=True))
-
-
-def forecast_direct(rows: DataFrame, models: dict, candidate_id: str = "tree_000") -> DataFrame:
-    """Forecast of each step from every series' last row."""
-    last = rows.filter("_rn = _n")
-    out = None
-    for h, model in models.items():
-        part = model.transform(last).select(
-            "sku", F.lit(candidate_id).alias("candidate_id"), F.add_months("date", h).alias("date"), F.lit(h).alias("horizon"),
-            (F.col("prediction") * F.col("scale")).alias("forecast"),
-        )
-        out = part if out is None else out.unionByName(part)
-    return out
+from demandlake.config import FeatureConfig
 
 
 def buffer_features(buffer: Column, cfg: FeatureConfig) -> dict[str, Column]:
@@ -175,37 +49,3 @@ def demand_buffer(
     return tail.groupBy(*keys).agg(
         F.transform(F.array_sort(F.collect_list(F.struct(date, target))), lambda r: r[target]).alias("buffer"), F.max(date).alias("last_date")
     )
-
-
-def fit_recursive(history: DataFrame, cfg: FeatureConfig, params: dict | None = None, target: str = "monthly_demand", date: str = "month_start_date"):
-    """One model of the next value from the past ones, over all series."""
-    names = ["month", *target_feature_columns(cfg)]
-    wide = target_features(history.select("sku", date, target), cfg, target, date).withColumn("month", F.month(date).cast("double")).dropna()
-    base = wide.withColumn("_s", F.greatest(F.col("demand_lag_1"), F.lit(1.0)))
-    scaled = base.withColumns({c: F.col(c) / F.col("_s") for c in _levels(cfg)})
-    vectors = VectorAssembler(inputCols=names, outputCol="features").transform(scaled)
-    return regressor(params).fit(vectors.select("features", (F.col(target) / F.col("_s")).alias("label")))
-
-
-def forecast_recursive(history: DataFrame, model, horizon: int, cfg: FeatureConfig, target: str = "monthly_demand", date: str = "month_start_date") -> DataFrame:
-    """``horizon`` one-step forecasts, each fed back into the next step's features.
-
-    A fixed number of plan steps over one row per series.
-    """
-    names = ["month", *target_feature_columns(cfg)]
-    state = demand_buffer(history, cfg, target, date).withColumn("path", F.array().cast("array<double>"))
-    for h in range(1, horizon + 1):
-        feats = state.withColumns(buffer_features(F.col("buffer"), cfg)).withColumn("month", F.month(F.add_months("last_date", h)).cast("double"))
-        scale = F.greatest(F.col("demand_lag_1"), F.lit(1.0))
-        ready = feats.withColumn("_s", scale).withColumns({c: F.coalesce(F.col(c) / F.col("_s"), F.lit(0.0)) for c in _levels(cfg)})
-        rest = [c for c in names if c not in _levels(cfg)]
-        ready = ready.withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) for c in rest})
-        scored = model.transform(VectorAssembler(inputCols=names, outputCol="features").transform(ready))
-        value = F.array(F.col("prediction") * F.col("_s"))
-        state = scored.select(
-            "sku", "last_date", F.concat(F.slice("buffer", 2, F.greatest(F.size("buffer") - 1, F.lit(0))), value).alias("buffer"),
-            F.concat("path", value).alias("path"),
-        )
-    return state.select("sku", "last_date", F.posexplode("path").alias("_pos", "forecast")).select(
-        "sku", F.add_months("last_date", F.col("_pos") + 1).alias("date"), (F.col("_pos") + 1).alias("horizon"), "forecast"
-    )

@@ -67,10 +67,14 @@ def structural_importance(
     return contribution_importance(long).withColumn("importance_type", F.lit("contribution"))
 
 
-def tree_importance(model, names: Sequence[str], spark) -> DataFrame:
-    """Split importance of a fitted tree model: one row per feature of the model."""
-    values = [(n, float(v)) for n, v in zip(names, model.featureImportances.toArray(), strict=True)]
-    return spark.createDataFrame(values, "feature string, importance double").withColumn("importance_type", F.lit("split_gain"))
+def tree_importance(nodes: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Share of each feature in the total split gain of a stored forest: one row per feature, 0 where it splits nothing."""
+    gains = nodes.filter("feature IS NOT NULL").groupBy("feature").agg(F.sum("gain").alias("gain"))
+    listed = nodes.sparkSession.createDataFrame([(n,) for n in names], "feature string")
+    total = nodes.agg(F.sum("gain").alias("total"))
+    both = listed.join(F.broadcast(gains), "feature", "left").withColumn("_k", F.lit(1)).join(F.broadcast(total.withColumn("_k", F.lit(1))), "_k")
+    share = F.coalesce(F.try_divide("gain", "total"), F.lit(0.0))
+    return both.select("feature", share.alias("importance"), F.lit("split_gain").alias("importance_type"))
 
 
 def importance_table(per_family: Mapping[str, DataFrame], champion_ids: DataFrame | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from demandlake.config import FeatureConfig
 from demandlake.contracts import ContractError
-from demandlake.models import tree
+from demandlake.models import forest
 from demandlake.operators import calendar as cal
 from demandlake.operators import features as feat
 from demandlake.operators import inference as inf
@@ -47,8 +47,8 @@ def test_masking_takes_the_first_row_by_all_order_columns(spark):
 
 def test_leading_zero_months_teach_the_trees_nothing(spark):
     cfg = FeatureConfig(target_lags=(1,), rolling_windows=(2,), trend_diffs=(), trend_pct_changes=())
-    rows = tree.frame(series(spark, [0] * 6 + [100] * 20), [], cfg, 1)
-    used = rows.filter("complete").select((F.col("y") / F.col("scale")).alias("label")).collect()
+    rows = forest.rows(series(spark, [0] * 6 + [100] * 20), [], cfg, 1)
+    used = rows.filter("teaches").select((F.col("y") / F.col("scale")).alias("label")).collect()
     assert used and max(r.label for r in used) < 50
 
 
