@@ -12,6 +12,9 @@ from demandlake.config import FORECAST_COLUMNS, InferenceConfig
 from demandlake.contracts import ContractError, check_forecast_schema
 
 
+SKETCH = 4096  # values that an error sketch keeps exactly
+
+
 def normal_quantile(confidence: float) -> float:
     """Two-sided normal quantile of any confidence level between 0 and 1."""
     return NormalDist().inv_cdf((1 + confidence) / 2)
@@ -40,6 +43,59 @@ def add_intervals(forecasts: DataFrame, spread: DataFrame, confidence: float = 0
     ).drop("sigma", "horizon_step")
 
 
+def error_sketches(predictions: DataFrame, groups: Sequence[str] = ("family",), accuracy: int = SKETCH) -> DataFrame:
+    """Per group and step: a mergeable quantile sketch of the absolute errors in units of the series' scale.
+
+    ``predictions`` are backtest rows; ``mase_scale`` makes series comparable, and rows without it, a prediction or an
+    actual teach nothing. Sketches of several runs can be kept and merged by ``conformal_widths``.
+    """
+    error = F.abs(F.col("y_pred") - F.col("y_true")) / F.col("mase_scale")
+    good = predictions.withColumn("_e", error).filter(F.col("_e").isNotNull() & ~F.isnan("_e"))
+    return good.groupBy(*groups, "horizon_step").agg(F.kll_sketch_agg_double("_e", accuracy).alias("sketch"))
+
+
+def conformal_widths(sketches: DataFrame, confidence: float = 0.90, groups: Sequence[str] = ("family",)) -> DataFrame:
+    """(groups, horizon_step, n, width, growth): half widths of conformal bands, in units of the series' scale.
+
+    Sketches of a group and step are merged. With n errors the width is their quantile of rank
+    ceil((n + 1) * confidence) or, as sketches are asked at fixed shares, at most a hundredth of what is above
+    the confidence higher. So a further exchangeable error lies inside with at least that probability; with
+    too few errors for that rank it is null. ``growth`` is the power of the step by which
+    widths grow from the group's first step to its last one, from 0 (constant) to 1.
+    """
+    merged = sketches.groupBy(*groups, "horizon_step").agg(F.kll_merge_agg_double("sketch").alias("_s"))
+    counted = merged.withColumn("n", F.kll_sketch_get_n_double("_s"))
+    share = F.ceil((F.col("n") + 1) * F.lit(confidence) - 1e-9) / F.col("n")
+    shares = [confidence + (1 - confidence) * i / 100 for i in range(101)]
+    values = F.kll_sketch_get_quantile_double("_s", F.array(*[F.lit(min(x, 1.0)) for x in shares]))
+    at = F.ceil((share - confidence) / (1 - confidence) * 100 - 1e-9).cast("int")
+    wide = counted.withColumn("width", F.when(share <= 1, F.try_element_at(values, F.least(at, F.lit(100)) + 1)))
+    ends = wide.groupBy(*groups).agg(
+        F.min(F.when(F.col("width") > 0, F.struct("horizon_step", "width"))).alias("_a"), F.max(F.when(F.col("width") > 0, F.struct("horizon_step", "width"))).alias("_b")
+    )
+    slope = F.try_divide(F.log(F.col("_b.width") / F.col("_a.width")), F.log(F.col("_b.horizon_step") / F.col("_a.horizon_step")))
+    growth = ends.select(*groups, F.least(F.greatest(F.coalesce(slope, F.lit(0.0)), F.lit(0.0)), F.lit(1.0)).alias("growth"))
+    return wide.drop("_s").join(growth, list(groups))
+
+
+def add_conformal_intervals(forecasts: DataFrame, widths: DataFrame, groups: Sequence[str] = ("family",)) -> DataFrame:
+    """Bounds of forecasts (groups, horizon, forecast, mase_scale) from conformal widths.
+
+    A step beyond the last one that was backtested takes that one's width times (step / last) ** growth.
+    Without a width or a scale the bounds are null.
+    """
+    by = list(groups)
+    listed = widths.filter("width IS NOT NULL").groupBy(*by).agg(
+        F.map_from_entries(F.collect_list(F.struct("horizon_step", "width"))).alias("_w"), F.max("horizon_step").alias("_last"), F.first("growth").alias("_g")
+    )
+    joined = forecasts.join(listed, by, "left")
+    own = F.coalesce(F.try_element_at("_w", F.col("horizon").cast("int")), F.try_element_at("_w", F.col("_last")) * F.pow(F.col("horizon") / F.col("_last"), F.col("_g")))
+    half = own * F.col("mase_scale")
+    return joined.withColumns({
+        "forecast_lower": F.col("forecast") - half, "forecast_upper": F.col("forecast") + half, "interval_method": F.when(half.isNotNull(), "conformal"),
+    }).drop("_w", "_last", "_g")
+
+
 def clip_negative(df: DataFrame, group: Sequence[str] = ("sku",), enforce: bool = False) -> DataFrame:
     """Set negative forecasts to 0; negative lower bounds only where the group has a negative forecast."""
     if enforce:

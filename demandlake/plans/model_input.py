@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from demandlake.config import BacktestConfig, InferenceConfig
@@ -15,7 +18,7 @@ from demandlake.operators import model_input as mi
 from demandlake.operators import selection as sel
 from demandlake.plans import backtest as bt
 from demandlake.plans.features import _r, feature_frame, rounded
-from demandlake.plans.registry import query, shared
+from demandlake.plans.registry import SHARED, query, shared
 from demandlake.session import stage
 from demandlake.sources import series
 
@@ -286,6 +289,81 @@ def m16_intervals(spark, sf_dir):
     return rounded(s.withColumn("half_width", F.col("sigma") * inf.normal_quantile(0.90)))
 
 
+LONG = BacktestConfig(n_cycles=18)
+_LONG = {"s_cyc": "s_long_cyc", "s_scale": "s_long_scale", "s_step": "s_long_step", "s_pred": "s_long_pred"}
+
+
+def _long(name: str) -> str:
+    """A shared expression of the backtest with eighteen origins in place of four."""
+    text = SHARED[name].replace("(4 - k)", "(18 - k)").replace("generate_series(1, 4)", "generate_series(1, 18)").replace("n >= 30", "n >= 44")
+    for old, new in _LONG.items():
+        text = re.sub(rf"\b{old}\b", new, text)
+    return text
+
+
+for _name, _new in _LONG.items():
+    shared(_new, _long(_name))
+# Errors of the first twelve origins, in units of the series' scale; the last three targets lie before the origins of the holdout.
+shared("s_long_error", """
+SELECT family, horizon_step, abs(y_pred - y_true) / mase_scale AS e FROM s_long_pred WHERE cycle_index <= 12 AND y_pred IS NOT NULL AND mase_scale IS NOT NULL
+""")
+shared("s_conformal", """
+SELECT family, horizon_step, n, CASE WHEN r <= n THEN es[CAST(ceil(round((0.9 + ceil((r / n - 0.9) * 1000 - 1e-9) / 1000) * n, 7)) AS BIGINT)] END AS width FROM (
+  SELECT family, horizon_step, COUNT(*) AS n, ceil((COUNT(*) + 1) * 0.9 - 1e-9) AS r, list(e ORDER BY e) AS es FROM s_long_error GROUP BY 1, 2)
+""")
+shared("s_conformal_growth", """
+SELECT family, least(greatest(ln(arg_max(width, horizon_step) / arg_min(width, horizon_step)) / ln(MAX(horizon_step) / MIN(horizon_step)), 0), 1) AS growth FROM s_conformal GROUP BY 1
+""")
+
+
+def calibrated(spark, sf_dir):
+    """Backtest of eighteen origins, and the conformal widths that the first twelve give."""
+    preds = stage(baseline.backtest(series.demand_months(spark, sf_dir), LONG))
+    old = preds.filter("cycle_index <= 12")
+    # Sketches of two halves, as two runs would leave them.
+    kept = inf.error_sketches(old.filter("cycle_index <= 6")).unionByName(inf.error_sketches(old.filter("cycle_index > 6")))
+    return preds, inf.conformal_widths(kept)
+
+
+@query("m16_conformal_widths", """
+SELECT c.family, CAST(horizon_step AS INTEGER) AS horizon_step, n, round(width, 6) AS width, round(growth, 6) AS growth FROM s_conformal c JOIN s_conformal_growth g ON g.family = c.family
+""")
+def m16_conformal_widths(spark, sf_dir):
+    """Half widths of 90 % bands per family and step from merged sketches of backtest errors."""
+    return rounded(calibrated(spark, sf_dir)[1])
+
+
+@query("m16_conformal_coverage", """
+SELECT p.family, CAST(p.horizon_step AS INTEGER) AS horizon_step, COUNT(*) AS n, round(avg(CASE WHEN abs(p.y_pred - p.y_true) <= c.width * p.mase_scale THEN 1 ELSE 0 END), 6) AS coverage
+FROM s_long_pred p JOIN s_conformal c ON c.family = p.family AND c.horizon_step = p.horizon_step WHERE p.cycle_index > 15 GROUP BY 1, 2
+""")
+def m16_conformal_coverage(spark, sf_dir):
+    """Share of the last three origins' actuals inside bands that the first twelve origins gave."""
+    from demandlake.operators import metrics as met
+
+    preds, widths = calibrated(spark, sf_dir)
+    held = preds.filter("cycle_index > 15").withColumnsRenamed({"horizon_step": "horizon", "y_pred": "forecast"})
+    banded = inf.add_conformal_intervals(held, widths)
+    share = met.coverage(F.col("y_true"), F.col("forecast_lower"), F.col("forecast_upper"))
+    return rounded(banded.groupBy("family", F.col("horizon").alias("horizon_step")).agg(F.count(F.lit(1)).alias("n"), share.alias("coverage")))
+
+
+@query("m16_conformal_forecast", """
+SELECT f.sku, f.date, CAST(f.horizon AS INTEGER) AS horizon, f.forecast, round(f.forecast - w * s.scale, 6) AS forecast_lower, round(f.forecast + w * s.scale, 6) AS forecast_upper, 'conformal' AS interval_method
+FROM (SELECT n.*, CASE WHEN horizon <= 3 THEN c.width ELSE c.width * pow(horizon / 3, growth) END AS w FROM s_naive_future n
+  JOIN s_conformal c ON c.family = 'seasonal_naive' AND c.horizon_step = least(n.horizon, 3) JOIN s_conformal_growth g ON g.family = c.family) f
+JOIN (SELECT a.sku, avg(abs(a.y - b.y)) AS scale FROM s_pos a JOIN s_pos b ON b.sku = a.sku AND b.rn = a.rn - 12 GROUP BY 1) s ON s.sku = f.sku
+""")
+def m16_conformal_forecast(spark, sf_dir):
+    """Twelve months with conformal bands that widen beyond the backtested steps."""
+    history = stage(series.demand_months(spark, sf_dir))
+    _, widths = calibrated(spark, sf_dir)
+    gap = F.abs(F.col("monthly_demand") - F.lag("monthly_demand", 12).over(Window.partitionBy("sku").orderBy(MONTH)))
+    scale = history.withColumn("_g", gap).groupBy("sku").agg(F.nullif(F.avg("_g"), F.lit(0.0)).alias("mase_scale"))
+    fc = baseline.forecast(history, 12, 12).select("sku", "date", F.col("horizon").cast("int").alias("horizon"), "forecast").join(scale, "sku").withColumn("family", F.lit(baseline.SEASONAL))
+    return rounded(inf.add_conformal_intervals(fc, widths).drop("family", "mase_scale"))
+
+
 @query("interval_coverage", """
 SELECT horizon_step, round(avg(CASE WHEN y_true BETWEEN y_pred - 1.6448536269514722 * sigma AND y_pred + 1.6448536269514722 * sigma THEN 1 ELSE 0 END), 6) AS coverage
 FROM (SELECT CAST(t.horizon_step AS INTEGER) AS horizon_step, t.y_true, t.y_pred, s.sigma FROM s_two t JOIN s_sigma s ON s.sku = t.sku AND s.candidate_id = t.candidate_id AND s.horizon_step = t.horizon_step) GROUP BY 1

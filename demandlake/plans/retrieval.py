@@ -349,6 +349,21 @@ def io6_scanned_uploads(spark, sf_dir):
     return files.scan_uploads(spark, path, "demand")
 
 
+@query("io6_recorded_uploads", """
+SELECT event_type, 1::BIGINT AS n_records, '.csv' AS extension FROM (SELECT DISTINCT event_type FROM events)
+""")
+def io6_recorded_uploads(spark, sf_dir):
+    """Records per file of an event export after the manifest job has run three times, once before the last files came."""
+    path, manifest, checkpoint = (files.scratch(spark, n) for n in ("uploads", "manifest", "manifest-checkpoint"))
+    events = series.table(spark, sf_dir, "events")
+    for part in (events.filter("event_type <= 'm'"), events.filter("event_type > 'm'"), None):
+        if part is not None:
+            part.repartition("event_type").write.mode("append").partitionBy("event_type").csv(path)
+        files.record_uploads(spark, path, "demand", manifest, checkpoint)
+    kind = F.regexp_extract("stored_path", "event_type=([^/]+)", 1)
+    return spark.read.parquet(manifest).groupBy(kind.alias("event_type"), "extension").agg(F.count(F.lit(1)).alias("n_records"))
+
+
 @query("t4_newest_records", "SELECT event_id, ts FROM events ORDER BY ts DESC, event_id LIMIT 5")
 def t4_newest_records(spark, sf_dir):
     """The five newest records."""

@@ -84,9 +84,15 @@ def accepted(name, category) -> Column:
     return F.coalesce(F.array_contains(F.try_element_at(allowed, category), suffix(name)), F.lit(False))
 
 
+BINARY = "path string, modificationTime timestamp, length bigint, content binary"
+
+
 def scan_uploads(spark: SparkSession, path: str, category: str) -> DataFrame:
     """Manifest records of the files under a path, from file metadata only."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return _records(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path), category)
+
+
+def _records(files: DataFrame, category: str) -> DataFrame:
     name = F.element_at(F.split("path", "/"), -1)
     return files.select(
         name.alias("filename"),
@@ -99,8 +105,24 @@ def scan_uploads(spark: SparkSession, path: str, category: str) -> DataFrame:
     )
 
 
+def record_uploads(spark: SparkSession, path: str, category: str, manifest_path: str, checkpoint: str) -> None:
+    """Bring the manifest up to the files under a path: each accepted file is recorded once, however often this runs.
+
+    A file stream takes what is there and stops. Its checkpoint knows the files that were taken, and the
+    manifest's own log the batches that were written, so a run that is repeated, or killed and run
+    again, adds no record twice. Files that come later are taken by the next run; a file that changes its content
+    under the same name stays recorded as it was first seen.
+    """
+    found = spark.readStream.format("binaryFile").schema(BINARY).option("recursiveFileLookup", True).load(path)
+    query = (
+        _records(found, category).filter("status = 'saved'").writeStream.format("parquet").outputMode("append")
+        .option("path", manifest_path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+
+
 def append_manifest(records: DataFrame, manifest_path: str) -> None:
-    """Append accepted files to the manifest."""
+    """Append accepted files to the manifest, again on each call; ``record_uploads`` records a file once."""
     records.filter("status = 'saved'").write.mode("append").parquet(manifest_path)
 
 
