@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from demandlake.config import CALENDAR_COLUMNS
@@ -82,6 +82,80 @@ def holiday_table(years: DataFrame) -> DataFrame:
     )
 
 
+# Holiday rules of further countries, by law. (country, holiday, kind, month, day, weekday, nth, offset, first_year, last_year).
+# Kinds: "date" (month, day), "monday" (month, day, moved to the next Monday), "nth" (nth weekday of the month, Monday = 0; -1: the last), "easter" (days after Easter).
+COUNTRY_RULES = (
+    ("UNITED STATES", "New Year", "date", 1, 1, None, None, None, None, None),
+    ("UNITED STATES", "Martin Luther King Day", "nth", 1, None, 0, 3, None, 1986, None),
+    ("UNITED STATES", "Washington's Birthday", "nth", 2, None, 0, 3, None, 1971, None),
+    ("UNITED STATES", "Memorial Day", "nth", 5, None, 0, -1, None, 1971, None),
+    ("UNITED STATES", "Juneteenth", "date", 6, 19, None, None, None, 2021, None),
+    ("UNITED STATES", "Independence Day", "date", 7, 4, None, None, None, None, None),
+    ("UNITED STATES", "Labor Day", "nth", 9, None, 0, 1, None, None, None),
+    ("UNITED STATES", "Columbus Day", "nth", 10, None, 0, 2, None, 1971, None),
+    ("UNITED STATES", "Veterans Day", "date", 11, 11, None, None, None, None, None),
+    ("UNITED STATES", "Thanksgiving", "nth", 11, None, 3, 4, None, None, None),
+    ("UNITED STATES", "Christmas", "date", 12, 25, None, None, None, None, None),
+    ("GERMANY", "New Year", "date", 1, 1, None, None, None, None, None),
+    ("GERMANY", "Good Friday", "easter", None, None, None, None, -2, None, None),
+    ("GERMANY", "Easter Monday", "easter", None, None, None, None, 1, None, None),
+    ("GERMANY", "Labour Day", "date", 5, 1, None, None, None, None, None),
+    ("GERMANY", "Ascension", "easter", None, None, None, None, 39, None, None),
+    ("GERMANY", "Whit Monday", "easter", None, None, None, None, 50, None, None),
+    ("GERMANY", "Repentance Day", "nth", 11, None, 2, 3, None, 1990, 1994),
+    ("GERMANY", "German Unity Day", "date", 10, 3, None, None, None, 1990, None),
+    ("GERMANY", "Christmas", "date", 12, 25, None, None, None, None, None),
+    ("GERMANY", "Second Christmas Day", "date", 12, 26, None, None, None, None, None),
+    ("FRANCE", "New Year", "date", 1, 1, None, None, None, None, None),
+    ("FRANCE", "Easter Monday", "easter", None, None, None, None, 1, None, None),
+    ("FRANCE", "Labour Day", "date", 5, 1, None, None, None, None, None),
+    ("FRANCE", "Victory Day", "date", 5, 8, None, None, None, 1982, None),
+    ("FRANCE", "Ascension", "easter", None, None, None, None, 39, None, None),
+    ("FRANCE", "Whit Monday", "easter", None, None, None, None, 50, None, None),
+    ("FRANCE", "Bastille Day", "date", 7, 14, None, None, None, None, None),
+    ("FRANCE", "Assumption", "date", 8, 15, None, None, None, None, None),
+    ("FRANCE", "All Saints", "date", 11, 1, None, None, None, None, None),
+    ("FRANCE", "Armistice", "date", 11, 11, None, None, None, None, None),
+    ("FRANCE", "Christmas", "date", 12, 25, None, None, None, None, None),
+)
+RULES = "country string, holiday string, kind string, month int, day int, weekday int, nth int, offset int, first_year int, last_year int"
+
+
+def holiday_rules(spark: SparkSession) -> DataFrame:
+    """The rules that come with the library, as a table that a user can extend or replace: those of Colombia too."""
+    home = [("COLOMBIA", n, "monday" if moved else "date", m, d, None, None, None, None, None) for n, m, d, moved in FIXED_HOLIDAYS]
+    home += [("COLOMBIA", n, "easter", None, None, None, None, o, None, None) for n, o in EASTER_HOLIDAYS]
+    return spark.createDataFrame([*home, *COUNTRY_RULES], RULES)
+
+
+def rule_date(year: Column) -> Column:
+    """Date of a rule (columns of ``RULES``) in a year, null for an unknown kind, a date that the year does not have,
+    or an nth weekday that the month does not have."""
+    on = F.try_make_timestamp(year, F.col("month"), F.col("day"), F.lit(0), F.lit(0), F.lit(0)).cast("date")
+    first = F.make_date(year, F.coalesce("month", F.lit(1)), F.lit(1))
+    last = F.last_day(first)
+    nth = F.date_add(first, (F.pmod(F.col("weekday") - F.weekday(first), F.lit(7)) + 7 * (F.col("nth") - 1)).cast("int"))
+    final = F.date_sub(last, (F.pmod(F.weekday(last) - F.col("weekday"), F.lit(7)) - 7 * (F.col("nth") + 1)).cast("int"))
+    weekday = F.when(F.col("nth") > 0, nth).when(F.col("nth") < 0, final)
+    return (
+        F.when(F.col("kind") == "date", on)
+        .when(F.col("kind") == "monday", F.date_add(on, F.pmod(7 - F.weekday(on), F.lit(7)).cast("int")))
+        .when(F.col("kind") == "easter", F.date_add(easter_sunday(year), F.col("offset")))
+        .when((F.col("kind") == "nth") & (F.month(weekday) == F.col("month")), weekday)
+    )
+
+
+def country_holidays(years: DataFrame, rules: DataFrame) -> DataFrame:
+    """(country, date, holiday) of all rules in the years that they hold for; two rules may share a date."""
+    bounds = years.agg(F.min("year").alias("low"), F.max("year").alias("high")).first()
+    if bounds.low is None:
+        return rules.limit(0).select("country", F.lit(None).cast("date").alias("date"), "holiday")
+    each = rules.select("*", F.explode(F.sequence(F.lit(bounds.low), F.lit(bounds.high))).alias("year"))
+    dated = each.filter((F.col("year") >= F.coalesce("first_year", "year")) & (F.col("year") <= F.coalesce("last_year", "year")))
+    dated = dated.join(F.broadcast(years.select("year").distinct()), "year", "left_semi")
+    return dated.select("country", rule_date(F.col("year")).alias("date"), "holiday").filter("date IS NOT NULL")
+
+
 def years_of(months: DataFrame, date: str = "month_start_date") -> DataFrame:
     """Distinct years of a date column."""
     return months.select(F.year(date).alias("year")).distinct()

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from demandlake.config import CALENDAR_COLUMNS, FeatureConfig
 from demandlake.functions import dates as fd
 from demandlake.operators import calendar as cal
 from demandlake.operators import features as feat
-from demandlake.plans.registry import query, shared
+from demandlake.plans.registry import SHARED, query, shared
 from demandlake.session import stage
 from demandlake.sources import series
 
@@ -137,6 +139,41 @@ def a9_holiday_demand(spark, sf_dir):
     )
 
 
+_RULES = ", ".join("(" + ", ".join("NULL" if v is None else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'" for v in r) + ")" for r in cal.COUNTRY_RULES)
+shared("s_country_days", """
+SELECT ['UNITED STATES', 'GERMANY', 'FRANCE'][n.n_nationkey % 3 + 1] AS country, CAST(l.l_shipdate AS DATE) AS date, SUM(l.l_quantity) AS quantity
+FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey JOIN customer c ON c.c_custkey = o.o_custkey JOIN nation n ON n.n_nationkey = c.c_nationkey
+WHERE l.l_shipdate IS NOT NULL GROUP BY 1, 2
+""")
+shared("s_all_easter", re.sub(r"\(SELECT DISTINCT.*?s_monthly\)", "(SELECT DISTINCT CAST(year(date) AS INTEGER) AS yr FROM s_country_days)", SHARED["s_easter"]))
+shared("s_country_holidays", f"""
+SELECT country, holiday, CASE kind WHEN 'date' THEN make_date(yr, mo, dd) WHEN 'easter' THEN easter + off
+  WHEN 'nth' THEN (SELECT CASE WHEN nth > 0 THEN list(CAST(d AS DATE) ORDER BY d)[nth] ELSE list(CAST(d AS DATE) ORDER BY d DESC)[-nth] END
+    FROM generate_series(make_date(yr, mo, 1), last_day(make_date(yr, mo, 1)), INTERVAL 1 DAY) g(d) WHERE isodow(d) = wd + 1) END AS date
+FROM s_all_easter, (VALUES {_RULES}) r(country, holiday, kind, mo, dd, wd, nth, off, first_year, last_year)
+WHERE yr >= COALESCE(first_year, yr) AND yr <= COALESCE(last_year, yr)
+""")
+
+
+@query("a9_country_holidays", """
+SELECT d.country, h.holiday, d.date, d.quantity FROM s_country_days d JOIN s_country_holidays h ON h.country = d.country AND h.date = d.date
+""")
+def a9_country_holidays(spark, sf_dir):
+    """Quantity shipped to each country on its own holidays, several countries' rules in one run.
+
+    The test tables' nations have numbers for names; the number modulo three picks the law.
+    """
+    laws = F.array(*[F.lit(c) for c in ("UNITED STATES", "GERMANY", "FRANCE")])
+    lines, orders, customers, nations = (series.table(spark, sf_dir, t) for t in ("lineitem", "orders", "customer", "nation"))
+    daily = lines.filter("l_shipdate IS NOT NULL").groupBy("l_orderkey", F.col("l_shipdate").cast("date").alias("date")).agg(F.sum("l_quantity").alias("quantity"))
+    placed = daily.join(orders.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey")), "l_orderkey")
+    homes = customers.select("c_custkey", F.col("c_nationkey").alias("n_nationkey")).join(nations.select("n_nationkey", F.element_at(laws, (F.col("n_nationkey") % 3 + 1).cast("int")).alias("country")), "n_nationkey")
+    days = stage(placed.join(homes, "c_custkey").groupBy("country", "date").agg(F.sum("quantity").alias("quantity")))
+    # Rules of law by calendar years: bounded, so the holidays are broadcast.
+    holidays = cal.country_holidays(cal.years_of(days, "date"), cal.holiday_rules(spark))
+    return days.join(F.broadcast(holidays), ["country", "date"]).select("country", "holiday", "date", "quantity")
+
+
 @query("driver_months", "SELECT month_start_date, supply_limited, substitute_limited, promo_target, round(expected_share, 6) AS expected_share FROM s_drivers")
 def driver_months(spark, sf_dir):
     """Monthly drivers from the order book."""

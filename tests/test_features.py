@@ -120,3 +120,28 @@ def test_stress_curve_knots(spark):
     df = spark.createDataFrame([(40.0,), (50.0,), (65.0,), (70.0,), (80.0,), (100.0,), (120.0,)], "p double")
     got = [round(r[0], 4) for r in df.select(feat.stress_curve(F.col("p"))).collect()]
     assert got == [0.0, 0.0, 0.14, 0.57, 1.55, 3.0, 3.0]
+
+
+def test_holidays_of_several_countries(spark):
+    years = spark.createDataFrame([(1990,), (1994,), (2021,), (2024,)], "year int")
+    got = {(r.country, r.holiday, r.date.year): r.date for r in cal.country_holidays(years, cal.holiday_rules(spark)).collect()}
+    want = {
+        ("UNITED STATES", "Thanksgiving", 2024): date(2024, 11, 28), ("UNITED STATES", "Memorial Day", 2021): date(2021, 5, 31),
+        ("UNITED STATES", "Martin Luther King Day", 1990): date(1990, 1, 15), ("UNITED STATES", "Labor Day", 2024): date(2024, 9, 2),
+        ("UNITED STATES", "Juneteenth", 2021): date(2021, 6, 19), ("GERMANY", "Whit Monday", 2024): date(2024, 5, 20),
+        ("GERMANY", "Good Friday", 2021): date(2021, 4, 2), ("GERMANY", "Repentance Day", 1994): date(1994, 11, 16),
+        ("FRANCE", "Ascension", 2024): date(2024, 5, 9), ("COLOMBIA", "Saint Joseph", 2024): date(2024, 3, 25), ("COLOMBIA", "Sacred Heart", 2024): date(2024, 6, 10),
+    }
+    assert {k: got.get(k) for k in want} == want
+    assert ("UNITED STATES", "Juneteenth", 1994) not in got and ("GERMANY", "Repentance Day", 2021) not in got
+    assert {r.date for r in cal.holiday_table(years).collect()} == {d for (c, _, _), d in got.items() if c == "COLOMBIA"}
+
+
+def test_odd_holiday_rules_give_no_date(spark):
+    rules = spark.createDataFrame([
+        ("X", "leap", "date", 2, 29, None, None, None, None, None), ("X", "fifth", "nth", 2, None, 3, 5, None, None, None), ("X", "last", "nth", 2, None, 4, -1, None, None, None),
+        ("X", "second last", "nth", 2, None, 4, -2, None, None, None), ("X", "none", "lunar", 1, 1, None, None, None, None, None),
+    ], cal.RULES)
+    got = {(r.holiday, str(r.date)) for r in cal.country_holidays(spark.createDataFrame([(2023,), (2024,)], "year int"), rules).collect()}
+    assert got == {("leap", "2024-02-29"), ("fifth", "2024-02-29"), ("last", "2023-02-24"), ("last", "2024-02-23"), ("second last", "2023-02-17"), ("second last", "2024-02-16")}
+    assert cal.country_holidays(spark.createDataFrame([], "year int"), rules).count() == 0
