@@ -150,9 +150,10 @@ def fit_structural(
 
     ``sums`` comes from ``running_sums`` with the same regressors, ``candidates`` has (sku, family, candidate_id, params). A
     fit that fails keeps its row with the reason. The whole-history fit has cycle_index 0; with ``cfg``, a series
-    shorter than its protocol needs gets no rows.
+    shorter than its protocol needs gets no rows. Candidates with a column ``origins`` are fitted after each of
+    these numbers of periods instead, which are then the cycle_index.
     """
-    names, columns = list(regressors), _names(STRUCTURAL)
+    names, columns, own = list(regressors), _names(STRUCTURAL), "origins" in candidates.columns
 
     def run(hist: pd.DataFrame, cand: pd.DataFrame) -> pd.DataFrame:
         hist = hist.sort_values("rn")
@@ -166,7 +167,7 @@ def fit_structural(
         grams[:, upper[1], upper[0]] = flat
         ends = {k: total - cfg.horizon - cfg.step * (cfg.n_cycles - k) for k in range(1, cfg.n_cycles + 1)} if cfg else {0: total}
         for c in cand.itertuples(index=False):
-            for k, n in ends.items():
+            for k, n in ({n: n for n in c.origins if 0 < n <= total} if own else ends).items():
                 at = hist.iloc[n - 1]
                 row = {"sku": c.sku, "family": c.family, "candidate_id": c.candidate_id, "cycle_index": k, "origin_date": at["date"], "n_train": n, "mase_scale": at["mase_scale"]}
                 try:
@@ -178,7 +179,8 @@ def fit_structural(
         return out.astype(object).where(out.notna(), None)
 
     left = sums.withColumn("sku", F.col("sku").alias("sku")).repartition("sku").groupBy("sku")
-    right = candidates.select(F.col("sku").alias("sku"), "family", "candidate_id", "params").repartition("sku").groupBy("sku")
+    more = ["origins"] if own else []
+    right = candidates.select(F.col("sku").alias("sku"), "family", "candidate_id", "params", *more).repartition("sku").groupBy("sku")
     return left.cogroup(right).applyInPandas(run, STRUCTURAL)
 
 
@@ -233,6 +235,34 @@ def backtest_structural(
     )
 
 
+def lead_time_predictions(
+    history: DataFrame, candidates: DataFrame, leads: Sequence[int], window: int, regressors: Sequence[str] = (),
+    target: str = "monthly_demand", date: str = "month_start_date",
+) -> DataFrame:
+    """Predictions of each of the last ``window`` periods by refits that end ``lead`` periods before it.
+
+    The job list of (origin, target, lead) is sparse: an origin that several targets share is fitted once per
+    candidate, others not at all. The columns of ``backtest_structural`` with lead_time for the step; a target
+    whose origin lies before the series has no row.
+    """
+    rows = positions(history.select("sku", date, target, *regressors), date)
+    late = rows.filter(F.col("_rn") > F.col("_n") - window).select(
+        "sku", F.col("_rn").alias("_target"), F.explode(F.array(*[F.lit(int(k)) for k in leads])).alias("lead_time"), F.col(date).alias("target_date"),
+        F.col(target).alias("y_true"), _driver_map(regressors).alias("_x"),
+    )
+    jobs = late.withColumn("cycle_index", (F.col("_target") - F.col("lead_time")).cast("int")).filter("cycle_index > 0")
+    origins = jobs.groupBy("sku").agg(F.sort_array(F.collect_set("cycle_index")).alias("origins"))
+    sums = running_sums(history, regressors, target, date)
+    fits = fit_structural(sums, candidates.select("sku", "family", "candidate_id", "params").join(origins, "sku"), regressors)
+    value = structural_value(F.col("_target") - 1, F.month("target_date"), F.col("_x"))
+    scored = fits.join(jobs, ["sku", "cycle_index"]).withColumn("y_pred", value)
+    unknown = (F.col("status") == "success") & F.col("y_pred").isNull()
+    return scored.select(
+        "sku", "family", "candidate_id", "cycle_index", "origin_date", "lead_time", "target_date", "y_true", "y_pred", "n_train", "mase_scale",
+        F.when(unknown, "failed: a regressor is missing").otherwise(F.col("status")).alias("status"),
+    )
+
+
 def fit_autoregressive(
     history: DataFrame, candidates: DataFrame, regressors: Sequence[str] = (), target: str = "monthly_demand", date: str = "month_start_date"
 ) -> DataFrame:

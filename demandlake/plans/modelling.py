@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from demandlake.config import BacktestConfig, FeatureConfig
@@ -287,13 +288,21 @@ def io5_model_store(spark, sf_dir):
     return rounded(forest.forecast_direct(rows, loaded, names, CFG.horizon, ["tree_000"]))
 
 
+def prechampions_of_the_past(hist, n=6, top=3):
+    """Structural prechampions (sku, family, candidate_id, params) of a study that does not see the last block."""
+    back = F.row_number().over(Window.partitionBy("sku").orderBy(F.col("month_start_date").desc()))
+    past = stage(hist.withColumn("_back", back).filter(F.col("_back") > CFG.horizon).drop("_back"))
+    chosen = grouped.study(past, candidates.sample(past, "structural", n), CFG, top_n=top, regressors=REGRESSORS)["prechampions"]
+    return stage(chosen.select("sku", "family", "candidate_id", F.col("config").alias("params")))
+
+
 @query("m23_test_block")
 def m23_test_block(spark, sf_dir):
-    """Prechampions on the last block: guarded metrics, lead times, ranks and the business flag."""
+    """Prechampions on the last block: guarded metrics, lead times by refits per origin and target, ranks and the business flag."""
     hist = doubles(spark, sf_dir)
-    preds = stage(grouped.backtest(hist, candidates.sample(hist, "structural", 4), CFG, REGRESSORS))
-    block = preds.filter(F.col("cycle_index") == CFG.n_cycles)
-    lead = preds.withColumnRenamed("horizon_step", "lead_time").filter("lead_time >= 2")
+    chosen = prechampions_of_the_past(hist)
+    block = stage(linear.backtest_structural(hist, chosen, BacktestConfig(n_cycles=1), REGRESSORS))
+    lead = linear.lead_time_predictions(hist, chosen, (2, 3), CFG.horizon, REGRESSORS)
     test = met.extended_metrics(block).join(met.horizon_metrics(block, [2, 3]), list(met.KEYS)).join(met.lead_time_wape(lead, (2, 3)), list(met.KEYS))
     ranked = sel.rank_mixed(test, ["wape", "test_m3_wape", "test_m2_wape", "mae"])
     return rounded(ranked.withColumn("is_champion", F.col("test_rank") == 1))

@@ -128,3 +128,22 @@ def test_store_replaces_a_family_and_lists_terms(spark, history):
     assert {r.term for r in linear.terms(linear.load(spark, path, "autoregressive")).collect()} == {"constant", "lag_1", "lag_2", "days", "share"}
     empty = history.limit(0)
     assert linear.backtest_structural(empty, structural(empty), BacktestConfig(), DRIVERS).count() == 0
+
+
+def test_lead_times_are_refits_per_origin_and_target(spark, history):
+    from demandlake.models.solvers import structural as solve
+
+    cand = structural(history)
+    rows = linear.lead_time_predictions(history, cand, (2, 3), 3, DRIVERS).collect()
+    assert len(rows) == 4 * 6 * 3 * 2 and len({(r.sku, r.candidate_id, r.cycle_index) for r in rows}) == 4 * 6 * 4
+    params = {(r.sku, r.candidate_id): json.loads(r.params) for r in cand.collect()}
+    frame = history.toPandas()
+    for r in rows:
+        mine = frame[frame["sku"] == r.sku].sort_values("month_start_date")
+        y, x = mine["monthly_demand"].to_numpy(), mine[list(DRIVERS)].to_numpy()
+        month = np.array([d.month for d in mine["month_start_date"]])
+        at = mine["month_start_date"].tolist().index(r.target_date)
+        o = at + 1 - r.lead_time
+        assert o == r.cycle_index == r.n_train and r.origin_date == mine["month_start_date"].iloc[o - 1]
+        want, _ = solve(y[:o], x[:o], month[:o], x[o : at + 1], month[o : at + 1], params[r.sku, r.candidate_id])
+        assert math.isclose(r.y_pred, want[-1], rel_tol=1e-8) and r.y_true == y[at]
