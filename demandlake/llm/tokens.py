@@ -4,23 +4,24 @@ from __future__ import annotations
 
 import itertools
 import os
-import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KNOWN = 600_000  # chunks, and as many words, that a worker remembers; beyond, it keeps the more frequent half
+TEXTS = 512  # texts that are encoded together
 LOT = 400  # new words that are encoded as one text
 PART_CHARS = 1 << 20  # a longer text is encoded in parts
 #: How the tokenizer cuts a lower-cased text of the letters below into words.
-WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
-#: A chunk with any other character, or with the start of a special token, is left to the tokenizer whole.
-OTHER = re.compile(r"[^\x21-\x7eÀ-ÖØ-öø-ÿ]|<\|")
+WORDS = r"('s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+)"
+#: An empty chunk, or one with any other character or the start of a special token, is left to the tokenizer whole.
+OTHER = r"^$|[^\x21-\x7eÀ-ÖØ-öø-ÿ]|<\|"
 
 
 def spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -114,17 +115,22 @@ class Encoder:
         if new:
             self.words.learn(np.concatenate(ids), np.concatenate(sizes))
 
-    def _learn_chunks(self, new: list[str]) -> None:
-        other = [bool(OTHER.search(c)) for c in new]
-        cut = [() if o else WORDS.findall(c.lower()) for c, o in zip(new, other, strict=True)]
-        counts = np.array([len(w) for w in cut])
-        numbers, new_words = self.words.numbers(itertools.chain.from_iterable(cut), int(counts.sum()))
+    def _learn_chunks(self, strings: list[str]) -> None:
+        new = pa.array(strings, pa.string())
+        other = pc.match_substring_regex(new, OTHER)
+        marked = pc.replace_substring_regex(pc.utf8_lower(new.filter(pc.invert(other))), WORDS, r"\1 ")
+        counts = pc.count_substring(marked, " ").to_numpy()
+        together = pc.binary_join(pa.ListArray.from_arrays([0, len(marked)], marked), "")
+        words = together[0].as_py().split(" ")[:-1]  # each is followed by a space
+        numbers, new_words = self.words.numbers(words, len(words))
         self._learn_words(new_words)
         ids, sizes = self.words.recall(numbers)
-        per_chunk = np.diff(np.append(0, np.cumsum(sizes))[np.append(0, np.cumsum(counts))])
+        other = other.to_numpy(zero_copy_only=False)
+        per_chunk = np.zeros(len(new), np.int64)
+        per_chunk[~other] = np.diff(np.append(0, np.cumsum(sizes))[np.append(0, np.cumsum(counts))])
         at = np.flatnonzero(other)
         if len(at):  # put the ids of chunks that were encoded whole between those of the others
-            whole = self._encode([new[i] for i in at])
+            whole = self._encode(new.filter(pa.array(other)).to_pylist())
             before = (np.cumsum(per_chunk) - per_chunk)[at]
             ids = np.insert(ids, np.repeat(before, [len(x) for x in whole]), np.concatenate(whole))
             per_chunk[at] = [len(x) for x in whole]
@@ -162,13 +168,12 @@ def cut_documents(docs: DataFrame, tokenizer: str, length: int, end_id: int, wit
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.load(tokenizer)
         for batch in batches:
-            doc_ids, values = batch.column(0).to_pylist(), batch.column(1)
-            for at in range(0, len(doc_ids), 256):
-                rows = []
-                some = [v or "" for v in values.slice(at, 256).to_pylist()]
+            doc_ids, values = batch.column(0).to_pylist(), batch.column(1).fill_null("")
+            for at in range(0, len(doc_ids), TEXTS):
+                rows, some = [], values.slice(at, TEXTS).to_pylist()
                 short = [v for v in some if len(v) <= PART_CHARS]
                 encoded = iter(encoder.encode(short) if short else [])
-                for doc_id, text in zip(doc_ids[at : at + 256], some, strict=True):
+                for doc_id, text in zip(doc_ids[at : at + TEXTS], some, strict=True):
                     ids = np.append(next(encoded) if len(text) <= PART_CHARS else encoder.encode_text(text), end)
                     for start in range(0, len(ids), length):
                         piece = ids[start : start + length].tobytes()
