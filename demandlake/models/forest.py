@@ -11,7 +11,7 @@ from __future__ import annotations
 import base64
 import json
 import math
-from collections.abc import Callable, Iterable, Iterator, Sequence
+from collections.abc import Callable, Generator, Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -30,6 +30,7 @@ FAMILY = "tree"
 BINS = 32
 MIN_PAIRS = 3
 HELD_ROWS = 500_000  # rows that one task may hold whole; more are shared out
+MESSAGE_BYTES = 16 << 20  # of histograms that a task sends at once
 SLICE_ROWS = 20_000  # series, about, that a task scores at once
 PARAMETERS = ("iterations", "depth", "learning_rate", "subsample", "min_data_in_leaf", "l2")
 MODEL = ("candidate_id", "cycle_index", "horizon_step")
@@ -129,18 +130,18 @@ def _used(ids: np.ndarray, turn: int, share: float) -> np.ndarray:
     return (h >> np.uint64(40)).astype(float) / (1 << 24) < share
 
 
-def grow(
-    codes: np.ndarray, label: np.ndarray, ids: np.ndarray, cuts: list[np.ndarray], params: dict, gather: Gather = lambda a: a
-) -> tuple[int, list[tuple]]:
+def growing(
+    codes: np.ndarray, label: np.ndarray, ids: np.ndarray, cuts: list[np.ndarray], params: dict
+) -> Generator[np.ndarray, np.ndarray, tuple[int, list[tuple]]]:
     """One model: pairs it has learnt from, and its nodes (tree, node, feature, threshold, missing left, value, cover, gain).
 
-    Nodes are numbered 1, 2 and 3 below it, and so on; tree 0 is the mean. ``gather`` adds up an array over all
-    tasks that hold rows of the model.
+    Nodes are numbered 1, 2 and 3 below it, and so on; tree 0 is the mean. It yields arrays and wants them back added
+    up over all tasks that hold rows of the model; what it does next depends on these sums alone.
     """
     width, last = codes.shape[1], max((len(c) for c in cuts), default=0) + 2
     depth, rate = int(params["depth"]), float(params["learning_rate"])
     least, l2 = int(params["min_data_in_leaf"]), float(params["l2"])
-    n, total = gather(np.array([len(label), label.sum()]))
+    n, total = yield np.array([len(label), label.sum()])
     if n < MIN_PAIRS:
         return int(n), []
     mean = total / n
@@ -155,12 +156,12 @@ def grow(
             seen = here[used[here]]
             if level == depth:  # sums alone
                 flat = node[seen] - first
-                sums = gather(np.stack([np.bincount(flat, rest[seen], size), np.bincount(flat, minlength=size)]))
+                sums = yield np.stack([np.bincount(flat, rest[seen], size), np.bincount(flat, minlength=size)])
                 s, c, split = sums[0], sums[1], np.zeros(size, bool)
             else:
                 flat = ((node[seen] - first)[:, None] * width * last + place[seen]).ravel()
                 cells = size * width * last
-                sums = gather(np.stack([np.bincount(flat, np.repeat(rest[seen], width), cells), np.bincount(flat, minlength=cells)]))
+                sums = yield np.stack([np.bincount(flat, np.repeat(rest[seen], width), cells), np.bincount(flat, minlength=cells)])
                 hist, count = sums.reshape(2, size, width, last)
                 s, c = hist[:, 0].sum(axis=1), count[:, 0].sum(axis=1)
                 gain, feature, bound, missing_left, _ = best_splits(hist, count, least, l2)
@@ -185,6 +186,29 @@ def grow(
     return int(n), out
 
 
+def grow(codes: np.ndarray, label: np.ndarray, ids: np.ndarray, cuts: list[np.ndarray], params: dict) -> tuple[int, list[tuple]]:
+    """One model from rows that are held whole."""
+    return grow_together([growing(codes, label, ids, cuts, params)])[0]
+
+
+def grow_together(models: list[Generator], gather: Gather = lambda a: a) -> list[tuple[int, list[tuple]]]:
+    """Grow models in step: what all of them want added up goes out as one array."""
+    results: list = [None] * len(models)
+    replies: dict[int, np.ndarray | None] = dict.fromkeys(range(len(models)))
+    while replies:
+        wanted = {}
+        for i, reply in replies.items():
+            try:
+                wanted[i] = models[i].send(reply)
+            except StopIteration as done:
+                results[i] = done.value
+        sums, at, replies = gather(np.concatenate([a.ravel() for a in wanted.values()])) if wanted else None, 0, {}
+        for i, a in wanted.items():
+            replies[i] = sums[at : at + a.size].reshape(a.shape)
+            at += a.size
+    return results
+
+
 def _all_sum(a: np.ndarray) -> np.ndarray:
     """The sum of the tasks' arrays, the same in all of them: messages come in the order of the tasks."""
     sent = BarrierTaskContext.get().allGather(base64.b64encode(np.ascontiguousarray(a, np.float64).tobytes()).decode())
@@ -220,12 +244,19 @@ def fit(
             listed = lambda name, k: held[name].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
             x, target = listed("x", width).astype(float), listed("target", horizon).astype(float)
             rn, n, ids = (held[c].to_numpy() for c in ("_rn", "_n", "id"))
-        codes, out = binned(x, cuts), []
-        for candidate, params, cycle, step in share:
+        codes, out, room = binned(x, cuts), [], max((len(c) for c in cuts), default=0) + 2
+
+        def model(params: dict, cycle: int, step: int) -> Generator:
             origin = _origin(n, cycle, cfg) if cfg else n
             pairs = np.isfinite(target[:, step - 1]) & (rn + step <= origin)
-            n_pairs, nodes = grow(codes[pairs], target[pairs, step - 1], ids[pairs], cuts, params, gather)
-            out += [(candidate, cycle, step, n_pairs, t, i, None if j < 0 else names[j], *more) for t, i, j, *more in nodes]
+            return growing(codes[pairs], target[pairs, step - 1], ids[pairs], cuts, params)
+
+        # Models that are grown in step: as many as one message holds the deepest levels of.
+        size = np.cumsum([16 * 2 ** int(p["depth"]) * width * room for _, p, _, _ in share]) // MESSAGE_BYTES
+        for lot in np.unique(size):
+            some = [m for m, s in zip(share, size, strict=True) if s == lot]
+            for (candidate, _, cycle, step), (n_pairs, nodes) in zip(some, grow_together([model(*m[1:]) for m in some], gather), strict=True):
+                out += [(candidate, cycle, step, n_pairs, t, i, None if j < 0 else names[j], *more) for t, i, j, *more in nodes]
         yield pa.RecordBatch.from_pylist([dict(zip(_columns(NODES), r, strict=True)) for r in out], schema=_arrow(NODES))
 
     teach = data.filter("teaches").select(
