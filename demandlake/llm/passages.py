@@ -33,9 +33,10 @@ GRAM = 18
 WIDTH = LENGTH - GRAM + 1  # strings around a position, and grams in a string
 CONTEXT = LENGTH + WIDTH - 1  # bytes around a position: those of all strings that hold its gram
 SEGMENT = 1 << 18
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 4 << 20  # of texts whose grams are announced at once
+SHIP_BYTES = 1 << 20  # of texts whose entries are made at once: an entry has CONTEXT bytes and more
 GROUP_BYTES = 24 << 20  # text of a group of documents
-TASK_BYTES = 8 << 20  # packed entries that a task holds, about
+TASK_BYTES = 4 << 20  # packed entries that a task holds, about
 SPREAD = 16  # a gram in more groups of a chunk than this is announced to all groups
 BATCH = 1 << 15  # strings in a batch of the index
 ONE, TWO, THREE = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
@@ -82,13 +83,15 @@ def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     In each string of LENGTH bytes within a text, the gram of least hash is chosen (all, if tied).
     """
     places, grams = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-    room = np.repeat(ends, np.diff(ends, prepend=0)) - np.arange(len(data))
+    short = np.zeros(len(data), bool)  # fewer than LENGTH bytes of the text are left
+    late = ends[:, None] - np.arange(1, LENGTH)
+    short[late[late >= 0]] = True
     for at in range(0, len(data) - LENGTH + 1, SEGMENT):
         part = data[at : at + SEGMENT + LENGTH - 1]
         gram = _hash_strings(LETTERS[part], GRAM)
         rank = (gram >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
         least = _slide(rank, np.minimum, WIDTH)
-        least[room[at : at + len(least)] < LENGTH] = 0
+        least[short[at : at + len(least)]] = 0
         padded = np.zeros(len(least) + 2 * (WIDTH - 1), np.uint32)
         padded[WIDTH - 1 : WIDTH - 1 + len(least)] = least
         chosen = np.flatnonzero(_slide(padded, np.maximum, WIDTH) == rank)
@@ -175,8 +178,13 @@ def _sent(to: np.ndarray, rows: np.ndarray, spans: bool = False) -> pa.RecordBat
 
 def _unpress(batches: list[pa.RecordBatch], kind: np.dtype, spans: bool) -> np.ndarray:
     payloads = [x for b in batches for x, s in zip(b.column(2).to_pylist(), b.column(1).to_pylist(), strict=True) if s == spans]
-    parts = [pa.decompress(x[4:], int.from_bytes(x[:4], "little"), codec="zstd", asbytes=True) for x in payloads]
-    return np.concatenate([np.zeros(0, kind), *[np.frombuffer(x, kind) for x in parts]])
+    sizes = [int.from_bytes(x[:4], "little") for x in payloads]
+    out, at = np.zeros(sum(sizes) // kind.itemsize, kind), 0
+    for x, size in zip(payloads, sizes, strict=True):  # one at a time, so that nothing is held twice
+        n = size // kind.itemsize
+        out[at : at + n] = np.frombuffer(pa.decompress(x[4:], size, codec="zstd", asbytes=True), kind)
+        at += n
+    return out
 
 
 def _grams(rows: np.ndarray) -> np.ndarray:
@@ -275,7 +283,7 @@ def repeated_spans(work: Workspace, docs: DataFrame, groups: int) -> DataFrame:
                     known = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in held]))
                 if not len(known):
                     continue
-                for chunk, values in _chunks([rest], CHUNK_BYTES):
+                for chunk, values in _chunks([rest], SHIP_BYTES):
                     usable = chunk.column("_doc").is_valid().to_numpy(zero_copy_only=False)
                     data, ends, place, gram, text = _scan(values, usable)
                     key = gram >> shift
@@ -318,6 +326,7 @@ def repeated_spans(work: Workspace, docs: DataFrame, groups: int) -> DataFrame:
         done = _unpress(held, SPAN, True)
         yield _packed(_group_of(done["row"], groups), done, ("group", "payload"))
         rows = _unpress(held, ENTRY, False)
+        del held, done
         if not len(rows):
             return
         for to, spans in _matches(rows, groups):
