@@ -70,11 +70,11 @@ def structural_importance(
 def tree_importance(nodes: DataFrame, names: Sequence[str]) -> DataFrame:
     """Share of each feature in the total split gain of a stored forest: one row per feature, 0 where it splits nothing."""
     gains = nodes.filter("feature IS NOT NULL").groupBy("feature").agg(F.sum("gain").alias("gain"))
+    # As many rows as there are features, so one window partition holds them.
+    shares = gains.select("feature", F.try_divide("gain", F.sum("gain").over(Window.partitionBy(F.lit(0)))).alias("share"))
     listed = nodes.sparkSession.createDataFrame([(n,) for n in names], "feature string")
-    total = nodes.agg(F.sum("gain").alias("total"))
-    both = listed.join(F.broadcast(gains), "feature", "left").withColumn("_k", F.lit(1)).join(F.broadcast(total.withColumn("_k", F.lit(1))), "_k")
-    share = F.coalesce(F.try_divide("gain", "total"), F.lit(0.0))
-    return both.select("feature", share.alias("importance"), F.lit("split_gain").alias("importance_type"))
+    both = listed.join(shares, "feature", "left")
+    return both.select("feature", F.coalesce("share", F.lit(0.0)).alias("importance"), F.lit("split_gain").alias("importance_type"))
 
 
 def importance_table(per_family: Mapping[str, DataFrame], champion_ids: DataFrame | None = None) -> DataFrame:

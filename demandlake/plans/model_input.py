@@ -357,10 +357,11 @@ JOIN (SELECT a.sku, avg(abs(a.y - b.y)) AS scale FROM s_pos a JOIN s_pos b ON b.
 def m16_conformal_forecast(spark, sf_dir):
     """Twelve months with conformal bands that widen beyond the backtested steps."""
     history = stage(series.demand_months(spark, sf_dir))
-    _, widths = calibrated(spark, sf_dir)
+    preds, widths = calibrated(spark, sf_dir)
+    families = preds.filter(F.col("family") == baseline.SEASONAL).select("sku", "family").distinct()
     gap = F.abs(F.col("monthly_demand") - F.lag("monthly_demand", 12).over(Window.partitionBy("sku").orderBy(MONTH)))
     scale = history.withColumn("_g", gap).groupBy("sku").agg(F.nullif(F.avg("_g"), F.lit(0.0)).alias("mase_scale"))
-    fc = baseline.forecast(history, 12, 12).select("sku", "date", F.col("horizon").cast("int").alias("horizon"), "forecast").join(scale, "sku").withColumn("family", F.lit(baseline.SEASONAL))
+    fc = baseline.forecast(history, 12, 12).select("sku", "date", F.col("horizon").cast("int").alias("horizon"), "forecast").join(scale, "sku").join(families, "sku")
     return rounded(inf.add_conformal_intervals(fc, widths).drop("family", "mase_scale"))
 
 
