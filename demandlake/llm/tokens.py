@@ -90,7 +90,10 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
-        self.chunks, self.words = Memory(), Memory()
+        self.path, self.chunks, self.words = path, Memory(), Memory()
+
+    def __reduce__(self):
+        return Encoder.load, (self.path,)  # a copy learns anew
 
     @classmethod
     def load(cls, path: str) -> Encoder:
