@@ -60,8 +60,10 @@ def count_words(docs: DataFrame, min_chars: int = MIN_CHARS, noise: int | None =
                 for part in segments(text):
                     found = Counter(LETTERS.findall(part.lower()))
                     if noise and doc_id is not None:
-                        for word in [w for w in found if zlib.crc32(w, seed) % noise == 0]:
-                            found[_without_a_letter(word, zlib.crc32(word, seed))] += found.pop(word)
+                        picked = [w for w in found if zlib.crc32(w, seed) % noise == 0]
+                        picked = [(w, found.pop(w)) for w in picked]  # all leave before any comes back shorter
+                        for word, n in picked:
+                            found[_without_a_letter(word, zlib.crc32(word, seed))] += n
                     counts.update(found)
                 if len(counts) > HELD_WORDS:
                     yield emit(counts)

@@ -91,3 +91,16 @@ def test_long_texts_and_planted_errors(work, spark):
         h = zlib.crc32(f"{i}:{w}".encode())
         want[w if h % 199 else w[: h % 7] + w[h % 7 + 1 :]] += 1
     assert got == dict(want) and len(got) > 8
+
+
+def test_a_word_loses_one_letter_only(work, spark):
+    def picked(i, w):
+        h = zlib.crc32(f"{i}:{w}".encode())
+        return w[: h % len(w)] + w[h % len(w) + 1 :] if h % 199 == 0 else None
+
+    # A document that holds a word, and also what is left of it, both to lose a letter.
+    doc_id, word = next((i, w) for i in range(10**6) for w in ("montanas", "palabras") if picked(i, w) and picked(i, picked(i, w)))
+    short = picked(doc_id, word)
+    rows = [(doc_id, f"{a} {b}") for a, b in ((word, short), (short, word)) for _ in range(3)]
+    got = {r.word: r.n for r in spelling.count_words(spark.createDataFrame(rows, "doc_id long, text string"), 1, 199).collect()}
+    assert got == {short: 6, picked(doc_id, short): 6}
