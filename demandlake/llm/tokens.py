@@ -72,6 +72,13 @@ class Memory:
         self.used = used
 
 
+class Loaded(dict):
+    """Encoders of one process; a copy, as goes out with the class, is empty."""
+
+    def __reduce__(self):
+        return Loaded, ()
+
+
 class Encoder:
     """A tokenizer that lower-cases, drops white space and marks word ends, with a memory of words.
 
@@ -80,7 +87,7 @@ class Encoder:
     words are encoded many at a time and told apart by the word-end mark.
     """
 
-    _loaded: dict[str, Encoder] = {}
+    _loaded: dict[str, Encoder] = Loaded()
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
