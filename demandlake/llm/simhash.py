@@ -6,8 +6,8 @@ hold correlated bits, so that their selectivity differs, and thresholds go where
 least. Codes are filed under their value in each group; a code also looks under the values
 near its own. Who meets is compared in full.
 
-The removal of near duplicates needs no fingerprint: shingle sets meet under the rare shingles of
-which two similar sets must share one.
+The removal of near duplicates takes the groups of these links, checks them by shingle sets, and finds
+what fingerprints miss where sets meet under the rare shingles of which two similar sets must share one.
 """
 
 from __future__ import annotations
@@ -455,8 +455,8 @@ def _sketch(packed: bytes) -> bytes:
     return np.bincount(classes, minlength=1 << bits).astype("<u4").tobytes()
 
 
-def _possible(packed: list[bytes], similarity: float) -> np.ndarray:
-    """Which sets have another one that, from the sketches, may be similar enough."""
+def _possible(packed: list[bytes], known: np.ndarray, similarity: float) -> np.ndarray:
+    """Which sets have another one, not ``known`` to be of their group, that from the sketches may be similar enough."""
     m, classes = len(packed), min(len(x) for x in packed) // 4
     sketches = np.array([np.frombuffer(x, "<u4").reshape(classes, -1).sum(axis=1) for x in packed]).astype(np.uint32)
     if m * m * classes <= 1 << 20:
@@ -467,8 +467,7 @@ def _possible(packed: list[bytes], similarity: float) -> np.ndarray:
             both += np.minimum(sketches[:, None, k], sketches[None, :, k])
     sizes = sketches.sum(axis=1, dtype=np.float64)
     may = both >= similarity * (sizes[:, None] + sizes[None, :] - both) - 1e-6
-    np.fill_diagonal(may, False)
-    return may.any(axis=1)
+    return (may & (known[:, None] != known[None, :])).any(axis=1)
 
 
 def _windows(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
@@ -547,24 +546,56 @@ def _meetings(work: Workspace, docs: DataFrame, nodes: DataFrame, words: int, si
     return met.union(met.select("centre", F.col("centre").alias("member")).distinct())
 
 
-def _alike(work: Workspace, docs: DataFrame, nodes: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Pairs (a, b) of shingle sets that connect what all pairs of similar sets connect.
+def _shingle_sets(work: Workspace, docs: DataFrame, nodes: DataFrame, needed: DataFrame, words: int, name: str) -> DataFrame:
+    """(set, shingles) of the needed sets, each from one of its texts."""
 
-    The members of a centre are compared, a large group in blocks, each two in one task: first by
-    sketches, which rule out most, then the sets in full.
-    """
     def collect_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, values in texts(batches):
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([shingle_set(v, words) for v in values], pa.binary())], ["set", "shingles"]
             )
 
+    texts_of = nodes.groupBy("set").agg(F.min("node").alias("node")).join(needed, "set")
+    wanted = docs.join(texts_of, F.col("_node") == F.col("node")).groupBy("set").agg(F.first("text").alias("text"))
+    return work.write(wanted.mapInArrow(collect_sets, "set long, shingles binary"), name)
+
+
+def _by_fingerprint(
+    work: Workspace, docs: DataFrame, nodes: DataFrame, words: int, similarity: float, code_words: int, distance: int
+) -> DataFrame:
+    """Pairs (a, b) of similar shingle sets from the groups of linked fingerprints.
+
+    A set is compared in full with that of its group's smallest text; ``_alike`` finds what is similar to others.
+    """
+
+    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            same = [jaccard(x, y) >= similarity for x, y in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist(), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(same, pa.bool_()))
+
+    own = Workspace(work.spark, "fingerprints")
+    found = near_duplicates(own, docs.select(F.col("_node").alias("doc_id"), "text"), code_words, distance)
+    group = found.select(F.col("doc_id").alias("node"), "component_id").distinct()
+    member = group.join(nodes.select("node", F.col("set").alias("b")), "node")
+    centre = nodes.select(F.col("node").alias("component_id"), F.col("set").alias("a"))
+    pairs = work.write(member.join(centre, "component_id").filter("a <> b").select("a", "b").distinct(), "linked")
+    sets = _shingle_sets(work, docs, nodes, pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct(), words, "linked-shingles")
+    left, right = sets.toDF("a", "left"), sets.toDF("b", "right")
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "left", "right").mapInArrow(compare, "a long, b long")
+
+
+def _alike(work: Workspace, docs: DataFrame, nodes: DataFrame, known: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Pairs (a, b) of shingle sets that, with those ``known``, connect what all pairs of similar sets connect.
+
+    The members of a centre are compared unless known pairs connect them, a large group in blocks, each two in
+    one task: first by sketches, which rule out most, then the sets in full.
+    """
     def sift(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, bounds in _windows(batches):
-            sketches = rows["sketch"].to_pylist()
+            sketches, group = rows["sketch"].to_pylist(), rows["known"].to_numpy()
             keep = np.zeros(len(rows), bool)
             for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                keep[a:b] = _possible(sketches[a:b], similarity)
+                keep[a:b] = _possible(sketches[a:b], group[a:b], similarity)
             yield from rows.select(["pair", "member"]).filter(pa.array(keep)).combine_chunks().to_batches()
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -578,28 +609,35 @@ def _alike(work: Workspace, docs: DataFrame, nodes: DataFrame, words: int, simil
     def together(rows: DataFrame) -> DataFrame:
         return rows.repartition(partitions(work.spark), "pair").sortWithinPartitions("pair")
 
-    met = work.write(_meetings(work, docs, nodes, words, similarity), "meetings")
-    blocks = met.groupBy(F.col("centre").alias("_centre")).agg(F.ceil(F.count(F.lit(1)) / SETS_BLOCK).cast("int").alias("_blocks"))
+    # Sets with one value of ``known`` are the set of that value or have a known pair with it.
+    first = known.groupBy(F.col("b").alias("member")).agg(F.min("a").alias("known"))
+    met = _meetings(work, docs, nodes, words, similarity).join(first, "member", "left")
+    met = work.write(met.select("centre", "member", F.coalesce("known", "member").alias("known")), "meetings")
+    blocks = (
+        met.groupBy(F.col("centre").alias("_centre"))
+        .agg(F.ceil(F.count(F.lit(1)) / SETS_BLOCK).cast("int").alias("_blocks"), F.min("known").alias("_low"), F.max("known").alias("_high"))
+        .filter("_low < _high")
+    )
     mine = F.pmod(F.xxhash64("member"), F.col("_blocks")).cast("int")
     dealt = met.join(blocks, F.col("centre") == F.col("_centre")).select(
-        "centre", "member", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("other")
-    ).select(F.xxhash64("centre", F.least("mine", "other"), F.greatest("mine", "other")).alias("pair"), "member")
-    one = nodes.groupBy("set").agg(F.min(F.struct("node", "sketch")).alias("one")).select("set", "one.*")
-    sketched = dealt.join(one, F.col("member") == F.col("set")).select("pair", "member", "sketch")
+        "centre", "member", "known", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("other")
+    ).select(F.xxhash64("centre", F.least("mine", "other"), F.greatest("mine", "other")).alias("pair"), "member", "known")
+    one = nodes.groupBy("set").agg(F.min(F.struct("node", "sketch")).alias("one")).select("set", "one.sketch")
+    sketched = dealt.join(one, F.col("member") == F.col("set")).select("pair", "member", "known", "sketch")
     possible = work.write(together(sketched).mapInArrow(sift, "pair long, member long"), "possible")
-    needed = possible.select(F.col("member").alias("set")).distinct()
-    texts_of = one.join(needed, "set").select("set", "node")
-    wanted = docs.join(texts_of, F.col("_node") == F.col("node")).groupBy("set").agg(F.first("text").alias("text"))
-    sets = work.write(wanted.mapInArrow(collect_sets, "set long, shingles binary"), "shingles")
+    sets = _shingle_sets(work, docs, nodes, possible.select(F.col("member").alias("set")).distinct(), words, "shingles")
     shipped = possible.join(sets, F.col("member") == F.col("set")).select("pair", "member", "shingles")
     return together(shipped).mapInArrow(compare, "a long, b long")
 
 
-def drop_near_duplicates(work: Workspace, docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+def drop_near_duplicates(
+    work: Workspace, docs: DataFrame, words: int = 5, similarity: float = 0.8, code_words: int = 4, distance: int = 4
+) -> DataFrame:
     """Rows of docs (doc_id, text, ...) less all but one of each group of near duplicates.
 
     Two texts are near duplicates if their sets of ``words``-word shingles share at least
-    ``similarity``; all such pairs count, see ``_meetings``. Groups are what such
+    ``similarity``. They are looked for in the groups of fingerprints (of ``code_words``-word shingles, linked at
+    ``distance`` bits or fewer), then under rare shingles, so that all such pairs count, see ``_meetings``. Groups are what such
     pairs connect; the row of the smallest doc_id stays, of repeated rows one. Equal texts and
     texts of equal sets (by 64-bit hashes) are one node from the start. A null text counts as empty; empty texts are
     copies of each other; a null doc_id stays only if its group has no other. Further columns
@@ -622,8 +660,9 @@ def drop_near_duplicates(work: Workspace, docs: DataFrame, words: int = 5, simil
         "marked",
     )
     nodes = work.write(marked.groupBy("node", "set", "n", "sketch").agg(F.min("doc_id").alias("first_id")), "nodes")
-    alike = work.write(_alike(work, hashed, nodes, words, similarity), "alike")
-    roots = components(work, alike)
+    known = work.write(_by_fingerprint(work, hashed, nodes, words, similarity, code_words, distance), "known")
+    alike = work.write(_alike(work, hashed, nodes, known, words, similarity), "alike")
+    roots = components(work, known.union(alike))
     rooted = work.write(
         nodes.join(roots.withColumnRenamed("node", "_n"), F.col("set") == F.col("_n"), "left")
         .select("node", "first_id", F.coalesce("root", "set").alias("root")), "rooted"

@@ -2,6 +2,7 @@
 
 import numpy as np
 
+import corpus_pipeline
 from demandlake.llm import simhash
 from tests.llm.test_operators import groups_of
 
@@ -40,3 +41,25 @@ def test_every_pair_at_the_limit_is_found(work, spark):
         words = [f"w{g}_{i}" for i in range(60)]
         texts += [" ".join(words), " ".join([*words[:54], *(f"x{g}_{i}" for i in range(6))])]
     assert check(work, spark, texts) == 150
+
+
+def test_the_pipeline_finds_copies_by_fingerprint_and_checks_them(work, spark, monkeypatch):
+    texts = []
+    for g in range(20):  # a word of 400 moves few bits of a fingerprint
+        words = [f"w{g}_{i}" for i in range(400)]
+        texts += [" ".join(words), " ".join([*words[:200], "other", *words[201:]]), " ".join([*words[:-1], "last"])]
+    for g in range(5):  # one fingerprint, few shingles in common
+        texts.append(" ".join(["a"] * 80 + [f"t{g}_{i}" for i in range(60)]))
+    frame = spark.createDataFrame([(i, t, "en", "web", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    codes = [simhash.fingerprint(t.encode(), 4) for t in texts]
+    near = [(a, b) for a in range(len(texts)) for b in range(a) if (codes[a] ^ codes[b]).bit_count() <= 4]
+    sets = [simhash.shingle_set(t.encode(), 5) for t in texts]
+    alike = [(a, b) for a, b in near if simhash.jaccard(sets[a], sets[b]) >= 0.8]
+    assert len(near) - len(alike) == 10 and len(alike) > 10
+    whole = sorted(r.doc_id for r in corpus_pipeline.drop_copies(spark, frame, "").collect())
+    assert whole == [*range(0, 60, 3), *range(60, 65)]
+    none = spark.createDataFrame([], "centre long, member long")
+    monkeypatch.setattr(simhash, "_meetings", lambda *_: none)  # fingerprints alone
+    alone = sorted(r.doc_id for r in corpus_pipeline.drop_copies(spark, frame, "").collect())
+    assert len(whole) <= len(alone) < len(texts) and set(range(60, 65)) <= set(alone)
+    assert set(range(60)) - set(alone) <= {max(p) for p in alike} | {min(p) for p in alike}
