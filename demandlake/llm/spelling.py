@@ -155,24 +155,28 @@ def _filed(vocabulary: DataFrame, rank: dict[str, int], number: dict[str, int],
 def near_words(vocabulary: DataFrame) -> DataFrame:
     """(a, b, n_a, n_b): all pairs of words (word, n) with exactly one letter inserted, deleted or replaced, a < b.
 
-    Words are distinct and have at least four letters.
+    Words are distinct and have at least four letters. A word is filed under many keys, which Spark's estimate of
+    size does not see: neither side may be broadcast.
     """
     rank, number = gram_ranks(vocabulary)
     left = _filed(vocabulary, rank, number, pivotal=True)
     right = _filed(vocabulary, rank, number, pivotal=False)
     right = right.select("key", *[F.col(c).alias(f"_{c}") for c in ("word", "n", "last")])
-    met = left.join(right, "key").filter((F.col("last") <= F.col("_last")) & (F.levenshtein("word", "_word", 1) == 1))
+    met = left.join(right.hint("merge"), "key").filter((F.col("last") <= F.col("_last")) & (F.levenshtein("word", "_word", 1) == 1))
     swap = F.col("word") > F.col("_word")
     pick = lambda yes, no, name: F.when(swap, F.col(yes)).otherwise(F.col(no)).alias(name)
     return met.select(pick("_word", "word", "a"), pick("word", "_word", "b"), pick("_n", "n", "n_a"), pick("n", "_n", "n_b")).distinct()
 
 
 def roots(work: Workspace, links: DataFrame) -> DataFrame:
-    """(word, root): where the links (word, form) end. Each round halves the way; links never lead round."""
+    """(word, root): where the links (word, form) end. Each round halves the way; links never lead round.
+
+    Files tell little of how large words are in memory, so no join here broadcasts them.
+    """
     now, n = links.select("word", F.col("form").alias("root")), 0
     while True:
         now = work.write(now, f"roots-{n}")
-        on = now.select(F.col("word").alias("_word"), F.col("root").alias("_root"))
+        on = now.select(F.col("word").alias("_word"), F.col("root").alias("_root")).hint("merge")
         if now.join(on, F.col("root") == F.col("_word"), "left_semi").isEmpty():
             return now
         now = now.join(on, F.col("root") == F.col("_word"), "left").select("word", F.coalesce("_root", "root").alias("root"))
@@ -199,9 +203,9 @@ def variants(
     both = pairs.select(F.col("a").alias("word"), F.col("b").alias("near"), F.col("n_b").alias("near_n")).union(pairs.select("b", "a", "n_a"))
     of = both.groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("less"), "near")).alias("best"))
     much = -F.col("best.less") >= ratio * F.col("n")
-    found = work.write(vocabulary.join(of, "word", "left").select(
+    found = work.write(vocabulary.join(of.hint("merge"), "word", "left").select(
         "word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
         F.when(much, F.col("best.near")).alias("form"), F.when(much, -F.col("best.less")).alias("form_n"),
     ), "forms")
     ends = roots(work, found.filter("form IS NOT NULL"))
-    return found.join(ends, "word", "left").withColumn("root", F.coalesce("root", "word"))
+    return found.join(ends.hint("merge"), "word", "left").withColumn("root", F.coalesce("root", "word"))

@@ -104,3 +104,19 @@ def test_a_word_loses_one_letter_only(work, spark):
     rows = [(doc_id, f"{a} {b}") for a, b in ((word, short), (short, word)) for _ in range(3)]
     got = {r.word: r.n for r in spelling.count_words(spark.createDataFrame(rows, "doc_id long, text string"), 1, 199).collect()}
     assert got == {short: 6, picked(doc_id, short): 6}
+
+
+def test_words_are_not_broadcast(spark):
+    """A few MB of words are filed under dozens of keys each: sizes as Spark estimates them must not decide."""
+    plans = []
+
+    class Listed(Workspace):
+        def write(self, df, name):
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+            return super().write(df, name)
+
+    docs = spark.createDataFrame([(i, "castle castles castl " * 9 + "lantern lanterns " * 3 * i) for i in range(4)], "doc_id long, text string")
+    found = spelling.variants(Listed(spark, "test"), docs, min_chars=4, ratio=2)
+    assert found.count() == 5
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert "SortMergeJoin" in "".join(plans) and not [p for p in plans if "BroadcastHashJoin" in p or "BroadcastExchange" in p]
