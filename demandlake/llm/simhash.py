@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import itertools
 import math
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -328,9 +329,10 @@ def near_duplicates(work: Workspace, docs: DataFrame, words: int, distance: int)
     return join_equal(marked, named, ["code"])
 
 
-#: The removal of near duplicates: documents whose shingles are counted to tell frequent ones, how
-#: many frequent shingles are listed, and sets of a group that are compared with as many others.
+#: The removal of near duplicates: documents whose shingles and words are counted to tell frequent ones, how
+#: many frequent ones of each are listed, and sets of a group that are compared with as many others.
 SAMPLE_DOCS, SAMPLE_LEAST, FREQUENT, SETS_BLOCK = 10_000, 3, 50_000, 1024
+WORD_BYTES = 64  # longer words are not listed
 COLUMNS, RARE = 4096, 32  # shingles at a time in a dense product; held by more sets than this
 WINDOW_ROWS, WINDOW_BYTES = 20_000, 16 << 20
 
@@ -341,6 +343,16 @@ def shingle_set(text: bytes, words: int) -> bytes:
     return np.sort(np.fromiter(found, np.uint64, len(found))).tobytes()
 
 
+def weighted_set(text: bytes, words: int, weights: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """A text's shingle set with, for each shingle, the sum of its words' weights (0 if not listed)."""
+    found = shingles(text, words)
+    hashed = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in found), np.uint64, len(found))
+    of = np.cumsum([0, *(weights.get(w, 0) for w in text.lower().split())])
+    last = np.minimum(np.arange(len(found)) + words, len(of) - 1)
+    kept, first = np.unique(hashed, return_index=True)
+    return kept, (of[last] - of[: len(found)])[first]
+
+
 def jaccard(a: bytes, b: bytes) -> float:
     """Shared share of two shingle sets; two without any word are alike."""
     x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
@@ -349,18 +361,20 @@ def jaccard(a: bytes, b: bytes) -> float:
     return both / union if union else 1.0
 
 
-def _prefix(shingles: np.ndarray, frequent: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+def _prefix(shingles: np.ndarray, weights: np.ndarray, frequent: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
     """The first shingles of a set, rare ones first, of which a set as similar has one at least.
 
     Two sets of Jaccard ``similarity`` share that part of either. Ordered by whatever order they
     have in common, the first shared shingle is then among the first n - ceil(similarity n) + 1 of both.
+    Frequent shingles are last by their counts, the others go by the weights of their words: shingles of
+    frequent words meet by chance, and the more texts there are, the more often.
     """
     rank = np.zeros(len(shingles), np.int64)
     if len(frequent):
         at = np.minimum(np.searchsorted(frequent, shingles), len(frequent) - 1)
         rank = np.where(frequent[at] == shingles, counts[at], 0)
     n = len(shingles) - math.ceil(similarity * len(shingles) - 1e-9) + 1
-    return shingles[np.lexsort((shingles, rank))[:n]]
+    return shingles[np.lexsort((shingles, weights, rank))[:n]]
 
 
 def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -401,8 +415,13 @@ def _joined(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
     alike = both >= similarity * (sizes[:, None] + sizes[None, :] - both) - 1e-6
     at = np.nonzero(alike)
     alike[at] = both[at] / (sizes[at[0]] + sizes[at[1]] - both[at]) >= similarity
-    out, left = [], np.ones(len(sets), bool)
-    for seed in range(len(sets)):
+    return _connected(alike)
+
+
+def _connected(alike: np.ndarray) -> list[tuple[int, int]]:
+    """(first, other) index pairs of the groups that a symmetric matrix of links connects."""
+    out, left = [], np.ones(len(alike), bool)
+    for seed in range(len(alike)):
         if not left[seed]:
             continue
         left[seed], front = False, np.array([seed])
@@ -414,30 +433,37 @@ def _joined(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
     return out
 
 
-def _frequent(work: Workspace, docs: DataFrame, n: int, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of shingles that are frequent in a sample of the n texts, and their counts.
+def _frequent(work: Workspace, docs: DataFrame, n: int, words: int) -> tuple[np.ndarray, np.ndarray, dict[bytes, int]]:
+    """Sorted hashes of shingles that are frequent in a sample of the n texts, their counts, and the weights of frequent words.
 
+    A weight is the logarithm of a word's count, rounded, so that a shingle has one sum in every text.
     This only gives an order, so that groups are small: any order finds every pair.
     """
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch, values in texts(batches):
-            sets = []
+            sets, spoken = [], Counter()
             for node, text in zip(batch.column(0).to_pylist(), values, strict=True):
                 if node not in seen:
                     seen.add(node)
                     sets.append(np.frombuffer(shingle_set(text, words), np.uint64))
+                    spoken.update(w for w in text.lower().split() if len(w) <= WORD_BYTES)
             found, times = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(times)], ["shingle", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.nulls(len(found), pa.binary()), pa.array(times)], ["shingle", "word", "n"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(len(spoken), pa.int64()), pa.array([*spoken], pa.binary()), pa.array([*spoken.values()], pa.int64())], ["shingle", "word", "n"]
+            )
 
     part = docs.filter(F.pmod("_node", F.lit(max(1, n // SAMPLE_DOCS))) == 0)
-    rows = (
-        part.select("_node", "text").mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-        .filter(F.col("n") >= SAMPLE_LEAST).orderBy(F.desc("n"), "shingle").limit(FREQUENT).collect()
-    )
+    counted = part.select("_node", "text").mapInArrow(count, "shingle long, word binary, n long").groupBy("shingle", "word").agg(F.sum("n").alias("n"))
+    counted = work.write(counted.filter(F.col("n") >= SAMPLE_LEAST), "frequent")
+    rows = counted.filter("word IS NULL").orderBy(F.desc("n"), "shingle").limit(FREQUENT).collect()
     shingle = np.array([r.shingle for r in rows], np.int64).view(np.uint64)
     order = np.argsort(shingle)
-    return shingle[order], np.array([r.n for r in rows], np.int64)[order]
+    spoken = counted.filter("word IS NOT NULL").orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
+    weights = {bytes(r.word): round(16 * math.log2(r.n)) for r in spoken}
+    work.drop("frequent")
+    return shingle[order], np.array([r.n for r in rows], np.int64)[order], weights
 
 
 def _set_key(packed: bytes) -> int:
@@ -456,7 +482,7 @@ def _sketch(packed: bytes) -> bytes:
 
 
 def _possible(packed: list[bytes], known: np.ndarray, similarity: float) -> np.ndarray:
-    """Which sets have another one, not ``known`` to be of their group, that from the sketches may be similar enough."""
+    """Which two sets, not ``known`` to be of one group, may from their sketches be similar enough."""
     m, classes = len(packed), min(len(x) for x in packed) // 4
     sketches = np.array([np.frombuffer(x, "<u4").reshape(classes, -1).sum(axis=1) for x in packed]).astype(np.uint32)
     if m * m * classes <= 1 << 20:
@@ -467,7 +493,7 @@ def _possible(packed: list[bytes], known: np.ndarray, similarity: float) -> np.n
             both += np.minimum(sketches[:, None, k], sketches[None, :, k])
     sizes = sketches.sum(axis=1, dtype=np.float64)
     may = both >= similarity * (sizes[:, None] + sizes[None, :] - both) - 1e-6
-    return (may & (known[:, None] != known[None, :])).any(axis=1)
+    return may & (known[:, None] != known[None, :])
 
 
 def _windows(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
@@ -500,7 +526,7 @@ def _meetings(work: Workspace, docs: DataFrame, nodes: DataFrame, words: int, si
     Sets are filed under each shingle of their prefix; those under one, and of sizes not too far apart, meet at the smallest.
     """
     total = nodes.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("n") * (1 - similarity) + 1).alias("entries")).first()
-    frequent, counts = _frequent(work, docs, total.n, words)
+    frequent, counts, weights = _frequent(work, docs, total.n, words)
     record = np.dtype([("shingle", "<u8"), ("member", "<i8"), ("size", "<u4")])
     deals = partitions(work.spark, int((total.entries or 0) * record.itemsize / SHIP_BYTES) + 1)
 
@@ -512,10 +538,10 @@ def _meetings(work: Workspace, docs: DataFrame, nodes: DataFrame, words: int, si
                 if node in seen:
                     continue
                 seen.add(node)
-                own = shingle_set(text, words)
-                prefix = _prefix(np.frombuffer(own, np.uint64), frequent, counts, similarity) if own else []
+                own, weight = weighted_set(text, words, weights)
+                prefix = _prefix(own, weight, frequent, counts, similarity) if len(own) else []
                 rows = np.zeros(len(prefix), record)
-                rows["shingle"], rows["member"], rows["size"] = prefix, _set_key(own), len(own) // 8
+                rows["shingle"], rows["member"], rows["size"] = prefix, _set_key(own.tobytes()), len(own)
                 packed.append(rows)
             rows = np.concatenate(packed)
             to = ((rows["shingle"] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)) % np.uint64(deals)).astype(np.int64)
@@ -588,15 +614,20 @@ def _alike(work: Workspace, docs: DataFrame, nodes: DataFrame, known: DataFrame,
     """Pairs (a, b) of shingle sets that, with those ``known``, connect what all pairs of similar sets connect.
 
     The members of a centre are compared unless known pairs connect them, a large group in blocks, each two in
-    one task: first by sketches, which rule out most, then the sets in full.
+    one task: first by sketches, which rule out most, then the sets in full. What sketches connect goes on as a
+    group named after its members, so that sets which meet at many centres are shipped and compared once.
     """
     def sift(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, bounds in _windows(batches):
-            sketches, group = rows["sketch"].to_pylist(), rows["known"].to_numpy()
-            keep = np.zeros(len(rows), bool)
+            sketches, group, member = rows["sketch"].to_pylist(), rows["known"].to_numpy(), rows["member"].to_numpy()
+            found = set()
             for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                keep[a:b] = _possible(sketches[a:b], group[a:b], similarity)
-            yield from rows.select(["pair", "member"]).filter(pa.array(keep)).combine_chunks().to_batches()
+                linked: dict[int, list[int]] = {}
+                for first, other in _connected(_possible(sketches[a:b], group[a:b], similarity)):
+                    linked.setdefault(first, [first]).append(other)
+                found |= {np.sort(member[a:b][x]).tobytes() for x in linked.values()}
+            names = np.repeat(np.array([_set_key(x) for x in found], np.int64), np.array([len(x) // 8 for x in found], np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.frombuffer(b"".join(found), np.int64))], ["pair", "member"])
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, bounds in _windows(batches):
@@ -613,6 +644,7 @@ def _alike(work: Workspace, docs: DataFrame, nodes: DataFrame, known: DataFrame,
     first = known.groupBy(F.col("b").alias("member")).agg(F.min("a").alias("known"))
     met = _meetings(work, docs, nodes, words, similarity).join(first, "member", "left")
     met = work.write(met.select("centre", "member", F.coalesce("known", "member").alias("known")), "meetings")
+    work.drop("met")
     blocks = (
         met.groupBy(F.col("centre").alias("_centre"))
         .agg(F.ceil(F.count(F.lit(1)) / SETS_BLOCK).cast("int").alias("_blocks"), F.min("known").alias("_low"), F.max("known").alias("_high"))
@@ -624,7 +656,8 @@ def _alike(work: Workspace, docs: DataFrame, nodes: DataFrame, known: DataFrame,
     ).select(F.xxhash64("centre", F.least("mine", "other"), F.greatest("mine", "other")).alias("pair"), "member", "known")
     one = nodes.groupBy("set").agg(F.min(F.struct("node", "sketch")).alias("one")).select("set", "one.sketch")
     sketched = dealt.join(one, F.col("member") == F.col("set")).select("pair", "member", "known", "sketch")
-    possible = work.write(together(sketched).mapInArrow(sift, "pair long, member long"), "possible")
+    possible = work.write(together(sketched).mapInArrow(sift, "pair long, member long").distinct(), "possible")
+    work.drop("meetings")
     sets = _shingle_sets(work, docs, nodes, possible.select(F.col("member").alias("set")).distinct(), words, "shingles")
     shipped = possible.join(sets, F.col("member") == F.col("set")).select("pair", "member", "shingles")
     return together(shipped).mapInArrow(compare, "a long, b long")
@@ -661,7 +694,9 @@ def drop_near_duplicates(
     )
     nodes = work.write(marked.groupBy("node", "set", "n", "sketch").agg(F.min("doc_id").alias("first_id")), "nodes")
     known = work.write(_by_fingerprint(work, hashed, nodes, words, similarity, code_words, distance), "known")
+    work.drop("linked-shingles")
     alike = work.write(_alike(work, hashed, nodes, known, words, similarity), "alike")
+    work.drop("shingles")
     roots = components(work, known.union(alike))
     rooted = work.write(
         nodes.join(roots.withColumnRenamed("node", "_n"), F.col("set") == F.col("_n"), "left")
@@ -672,6 +707,8 @@ def drop_near_duplicates(
     chosen = best.select(F.col("best.first_id").alias("doc_id"), F.col("best.node").alias("_node"))
     repeats = marked.groupBy("doc_id", F.col("node").alias("_node")).agg(F.count(F.lit(1)).alias("_copies"))
     stay = work.write(join_equal(chosen, repeats, ["doc_id", "_node"]), "stay")
+    for name in ("marked", "nodes", "rooted"):
+        work.drop(name)
     once = join_equal(hashed, stay.filter("_copies = 1"), ["doc_id", "_node"])
     one_of = join_equal(hashed, stay.filter("_copies > 1"), ["doc_id", "_node"]).dropDuplicates(["doc_id", "_node"])
     return put_back(once.unionByName(one_of), docs.columns, own)

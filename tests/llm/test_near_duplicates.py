@@ -4,6 +4,7 @@ import numpy as np
 
 import corpus_pipeline
 from demandlake.llm import simhash
+from demandlake.llm.common import Workspace
 from tests.llm.test_operators import groups_of
 
 
@@ -63,3 +64,35 @@ def test_the_pipeline_finds_copies_by_fingerprint_and_checks_them(work, spark, m
     alone = sorted(r.doc_id for r in corpus_pipeline.drop_copies(spark, frame, "").collect())
     assert len(whole) <= len(alone) < len(texts) and set(range(60, 65)) <= set(alone)
     assert set(range(60)) - set(alone) <= {max(p) for p in alike} | {min(p) for p in alike}
+
+
+class Counted(Workspace):
+    """Counts the rows of what is written."""
+
+    def write(self, df, name):
+        out = super().write(df, name)
+        self.rows = getattr(self, "rows", {}) | {name: out.count()}
+        return out
+
+
+def test_texts_with_rare_words_do_not_meet_by_frequent_ones(spark):
+    rng = np.random.default_rng(3)
+    texts = [" ".join(str(rng.choice(["of", "the", "and", "in", "to", "is"])) if rng.random() < 0.6 else f"r{g}_{i}" for i in range(200)) for g in range(400)]
+    work = Counted(spark, "test")
+    assert check(work, spark, texts) == 0
+    assert work.rows["met"] == 0
+
+
+def test_sets_that_meet_at_many_centres_are_compared_once(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SAMPLE_LEAST", 1000)  # no order but that of hashes
+    words = [f"a{i}" for i in range(100)]
+    texts = [" ".join(words), " ".join([*words[:90], *(f"b{i}" for i in range(10))])]
+    for g in range(60):  # one shingle of the two texts, and words of its own
+        own = [f"c{g}_{i}" for i in range(95)]
+        texts.append(" ".join([*own[:40], *words[g : g + 5], *own[40:]]))
+    work = Counted(spark, "test")
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    kept = sorted(r.doc_id for r in simhash.drop_near_duplicates(work, frame, similarity=0.6).collect())
+    assert kept == [0, *range(2, 62)]
+    assert work.rows["known"] == 0 and work.rows["met"] > 10  # at several centres
+    assert work.rows["possible"] == 2
